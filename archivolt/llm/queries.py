@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from archivolt.llm import ann, sharding, simhash, topk
+from archivolt.llm import ann, bpe, packing, sharding, simhash, substring, topk
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op2_packing": packing.op2_packing,
     "op3_exact_topk": topk.op3_exact_topk,
     "op4_ann": ann.op4_ann,
+    "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op10_simhash": simhash.op10_simhash,
 }
 
-SQL = {"op3_exact_topk": topk.OP3_SQL}
+SQL = {"op3_exact_topk": topk.OP3_SQL, "op6_substring_dedup": substring.OP6_SQL}
