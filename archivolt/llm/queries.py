@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from archivolt.llm import ann, bpe, packing, sharding, simhash, substring, topk
+from archivolt.llm import ann, bpe, langid, licenses, packing, sharding, simhash, substring, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_packing": packing.op2_packing,
     "op3_exact_topk": topk.op3_exact_topk,
     "op4_ann": ann.op4_ann,
+    "op5_licenses": licenses.op5_licenses,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_langid": langid.op8_langid,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
 

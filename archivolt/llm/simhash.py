@@ -38,14 +38,14 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(prints.view(np.int64))], names=["doc_id", "th", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp) of every document, fp as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(words), "doc_id long, fp long")
+    """(doc_id, th, fp) of every document: a hash of its text, and the fingerprint as a signed long."""
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_fingerprints(words), "doc_id long, th long, fp long")
 
 
 FIVES = np.uint64(0x5555555555555555)
@@ -210,7 +210,9 @@ def near_links(nodes: DataFrame, distance: int = 4, block_rows: int = 16384) ->
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every document, component_id the smallest doc_id reachable.
+    """(doc_id, th, fp, component_id, label) for every document, component_id the smallest doc_id reachable.
+
+    label is the component's smallest fingerprint, th a hash of the text.
 
     Documents of one fingerprint are one node, so copies make no pairs. Texts
     that are null or have no words have fingerprint 0 and link like any other.
@@ -223,8 +225,25 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     found = components(near_links(nodes, distance))
     labelled = nodes.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    member = scratch(labelled.join(smallest, "label").select("fp", "component_id"), "members")
-    return prints.join(member, "fp").select("doc_id", "fp", "component_id")
+    member = scratch(labelled.join(smallest, "label").select("fp", "component_id", "label"), "members")
+    return prints.join(member, "fp").select("doc_id", "th", "fp", "component_id", "label")
+
+
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
+    """Rows of docs, one of each group of near-duplicates: that of the smallest doc_id.
+
+    Of rows that share that doc_id the one whose text has the smallest hash
+    stays, and of rows repeated with their text, one. A group without any
+    doc_id keeps one row. All columns stay.
+    """
+    found = scratch(near_duplicates(docs, words, distance).select("doc_id", "th", "label"), "found")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m"))
+    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    chosen = scratch(first.select("m.doc_id", "m.th").select(*key, F.col("th").alias("_th")).distinct(), "chosen")
+    kept = docs.select("*", *key, F.xxhash64("text").alias("_th")).join(chosen, ["_id", "_none", "_th"], "left_semi")
+    if found.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_id", "_none", "_th"])
+    return kept.select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
