@@ -52,7 +52,7 @@ def record_number(c: Column) -> Column:
 
 def short_list(items: Column, cap: int = 8) -> Column:
     """Trimmed items, without empty ones and repeats whatever their case, the first cap."""
-    clean = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), F.trim), lambda s: s.isNotNull() & (s != ""))
-    low = F.transform(clean, F.lower)
+    clean = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != ""))
+    low = F.transform(clean, lambda s: F.lower(s))
     first = F.filter(F.transform(clean, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda p: F.array_position(low, F.lower(p["s"])) == p["i"] + 1)
     return F.slice(F.transform(first, lambda p: p["s"]), 1, cap)

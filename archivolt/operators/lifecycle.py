@@ -19,9 +19,9 @@ def dedupe_by_hash(files: DataFrame, existing: DataFrame | None = None) -> DataF
 def validate_files(files: DataFrame, existing: DataFrame | None = None, most: int = 100 * 1024 * 1024) -> DataFrame:
     """ok, status_code and error of each file instead of exceptions."""
     head = F.ltrim(F.decode(F.substring(F.col("content").cast("binary"), 1, 1024), "ISO-8859-1"))
-    checks = F.when(~F.lower("filename").endswith(".pdf"), F.struct(F.lit(400).alias("code"), F.lit("not a PDF").alias("error")))
-    checks = checks.when(F.length("content") > most, F.struct(F.lit(413), F.lit("too large")))
-    checks = checks.when(~head.startswith("%PDF"), F.struct(F.lit(400), F.lit("no PDF header")))
+    wrong = lambda code, error: F.struct(F.lit(code).alias("code"), F.lit(error).alias("error"))
+    checks = F.when(~F.lower("filename").endswith(".pdf"), wrong(400, "not a PDF"))
+    checks = checks.when(F.length("content") > most, wrong(413, "too large")).when(~head.startswith("%PDF"), wrong(400, "no PDF header"))
     out = files.withColumn("_c", checks).withColumn("file_hash", F.sha2(F.col("content").cast("binary"), 256))
     w = Window.partitionBy("file_hash").orderBy("file_id")
     repeat = F.row_number().over(w) > 1

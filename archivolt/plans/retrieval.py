@@ -191,3 +191,11 @@ def grounding_flags(t):
     a = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" [1] [2][1]"))).otherwise(F.concat("text", F.lit(" [3]")))
     c = t.raw("conversations").select("conv_id", "turn", a.alias("a"))
     return c.select("conv_id", "turn", F.array_join(F.transform(text.citations(F.col("a")), lambda x: x.cast("string")), ",").alias("cited"), text.is_grounded(F.col("a"), F.lit(2)).alias("grounded"))
+
+
+@query()
+def fulltext_topk(t):
+    """Stemmed prefix matches by trigram similarity and cover density; no SQL engine here has that stemmer."""
+    from archivolt.operators import fts
+
+    return fts.text_leg(t.chunks, t.queries, 10).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), F.round("density", 6).alias("density"), "rank")
