@@ -93,24 +93,25 @@ def bounded_ring(df: DataFrame, key: str, shards: int = 8, virtual_nodes: int =
     within their cell, so the work spreads over all cells. Repeated keys fall
     into one cell: there they are told apart by all their columns' hash, and
     equal rows in any order. Rows with a null key share one cell. An empty df
-    gives an empty result. df's own columns called shard or slot are replaced.
+    gives an empty result. df's own columns called shard or slot are replaced; none may be
+    called __ring_ and so on.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
     order = [F.col(key), F.xxhash64(*[F.col(c) for c in df.columns])]
-    placed = df.withColumn("_cell", ring_cell(key, cells))
-    counts = {r[0]: r[1] for r in placed.groupBy("_cell").count().collect()}
+    placed = df.withColumn("__ring_cell", ring_cell(key, cells))
+    counts = {r[0]: r[1] for r in placed.groupBy("__ring_cell").count().collect()}
     schema = T.StructType(
-        [T.StructField("_cell", T.IntegerType())]
-        + [T.StructField(c, T.LongType()) for c in ("_from", "_to")]
-        + [T.StructField("shard", T.IntegerType()), T.StructField("_slot", T.LongType())]
+        [T.StructField("__ring_cell", T.IntegerType())]
+        + [T.StructField(c, T.LongType()) for c in ("__ring_from", "__ring_to")]
+        + [T.StructField("shard", T.IntegerType()), T.StructField("__ring_slot", T.LongType())]
     )
     parts = spark.createDataFrame(place(counts, shards, virtual_nodes, cells), schema)
-    w = Window.partitionBy("_cell").orderBy(*order)
-    numbered = placed.withColumn("_at", F.row_number().over(w).cast("long") - 1)
-    inside = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
-    joined = numbered.join(F.broadcast(parts), "_cell").where(inside)
-    return joined.withColumn("slot", F.col("_slot") + F.col("_at") - F.col("_from")).drop("_cell", "_at", "_from", "_to", "_slot")
+    w = Window.partitionBy("__ring_cell").orderBy(*order)
+    numbered = placed.withColumn("__ring_at", F.row_number().over(w).cast("long") - 1)
+    inside = (F.col("__ring_at") >= F.col("__ring_from")) & (F.col("__ring_at") < F.col("__ring_to"))
+    joined = numbered.join(F.broadcast(parts), "__ring_cell").where(inside)
+    return joined.withColumn("slot", F.col("__ring_slot") + F.col("__ring_at") - F.col("__ring_from")).drop("__ring_cell", "__ring_at", "__ring_from", "__ring_to", "__ring_slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, virtual_nodes: int = 128) -> DataFrame:

@@ -238,11 +238,12 @@ def keep_one(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
     """
     found = scratch(near_duplicates(docs, words, distance).select("doc_id", "th", "label"), "found")
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m"))
-    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
-    chosen = scratch(first.select("m.doc_id", "m.th").select(*key, F.col("th").alias("_th")).distinct(), "chosen")
-    kept = docs.select("*", *key, F.xxhash64("text").alias("_th")).join(chosen, ["_id", "_none", "_th"], "left_semi")
+    names = ["__kept_id", "__kept_null", "__kept_text"]  # joined by; no column of docs may have such a name
+    key = [F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1])]
+    chosen = scratch(first.select("m.doc_id", "m.th").select(*key, F.col("th").alias(names[2])).distinct(), "chosen")
+    kept = docs.select("*", *key, F.xxhash64("text").alias(names[2])).join(chosen, names, "left_semi")
     if found.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_id", "_none", "_th"])
+        kept = kept.dropDuplicates(names)
     return kept.select(*docs.columns)
 
 

@@ -211,14 +211,16 @@ def remove_repeats(docs: DataFrame, length: int = 35, with_text: bool = False, c
     other. Null doc_ids stay null. Windows are compared by 64-bit hashes.
     An empty table gives an empty result.
     """
-    base = docs.select(F.col("doc_id").alias("own_id"), "text", *carry).withColumn("doc_id", F.coalesce("own_id", F.lit(0))).withColumn("th", F.xxhash64("text"))
+    held = {f"__carried{n}": c for n, c in enumerate(carry)}
+    base = docs.select(F.col("doc_id").alias("own_id"), "text", *[F.col(c).alias(h) for h, c in held.items()]).withColumn("doc_id", F.coalesce("own_id", F.lit(0))).withColumn("th", F.xxhash64("text"))
     starts = scratch(repeated_starts(base.select("doc_id", "th", "text"), length), "starts")
     joined = base.join(starts, ["doc_id", "th"], "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
         types = dict(docs.dtypes)
-        schema += ", kept string" + "".join(f", `{c}` {types[c]}" for c in carry)
-    return joined.select("own_id", "text", "starts", *carry).mapInArrow(_cut(length, with_text), schema)
+        schema += ", kept string" + "".join(f", {h} {types[c]}" for h, c in held.items())
+    cut = joined.select("own_id", "text", "starts", *held).mapInArrow(_cut(length, with_text), schema)
+    return cut.withColumnsRenamed(held) if with_text else cut
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
