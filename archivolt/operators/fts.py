@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from archivolt.functions import text as tx
+from archivolt.functions import vector
+from archivolt.operators.retrieval import top
+
 LEXEMES = ArrayType(StructType([StructField("lexeme", StringType()), StructField("position", IntegerType())]))
 WORD = re.compile(r"\w+")
 VOWELS = "aeiouáéíóúü"
@@ -67,6 +72,7 @@ def _longest(w: str, suffixes: list[str], start: int) -> str:
     return max((s for s in suffixes if w.endswith(s) and len(w) - len(s) >= start), key=len, default="")
 
 
+@lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
     """Stem by the published Snowball rules for Spanish."""
     w = word.lower()
@@ -167,20 +173,22 @@ def to_lexemes(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"lexeme": x, "position": p} for x, p in lexemes(t)])
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def to_stems(terms: pd.Series) -> pd.Series:
+    return terms.map(lambda ts: sorted({stem(t.lower()) for t in ts}))
+
+
 @F.pandas_udf(DoubleType())
-def rank(texts: pd.Series, terms: pd.Series) -> pd.Series:
-    """Cover density of prefix terms in a text."""
+def density(marks: pd.Series) -> pd.Series:
+    """Cover density of (stem, position) marks."""
 
-    def one(text: str, asked) -> float:
+    def one(found) -> float:
         places: dict[str, list[int]] = {}
-        wanted = [stem(t.lower()) for t in asked]
-        for x, p in lexemes(text):
-            for t in wanted:
-                if x.startswith(t):
-                    places.setdefault(t, []).append(p)
-        return cover_density(places, wanted)
+        for m in found:
+            places.setdefault(m["stem"], []).append(m["position"])
+        return cover_density(places, list(places))
 
-    return pd.Series([one(t, a) for t, a in zip(texts, terms, strict=True)], dtype=float)
+    return marks.map(one).astype(float)
 
 
 def index(chunks: DataFrame) -> DataFrame:
@@ -189,10 +197,16 @@ def index(chunks: DataFrame) -> DataFrame:
     return each.groupBy(F.col("l.lexeme").alias("lexeme"), "chunk_id").agg(F.sort_array(F.collect_list("l.position")).alias("positions"))
 
 
-def matches(lexeme_array: Column, terms: list[str]) -> Column:
-    """Whether any lexeme starts with the stem of any term."""
-    stems = F.array(*[F.lit(stem(t.lower())) for t in terms])
-    return F.exists(lexeme_array, lambda x: F.exists(stems, lambda s: F.startswith(x["lexeme"], s)))
+def matches(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, density) of chunks with a lexeme that starts with a query term's stem.
+
+    Prefixes are compared with the vocabulary only; postings are joined by
+    lexeme. queries has query_id and terms.
+    """
+    asked = queries.select("query_id", F.explode(to_stems("terms")).alias("stem"))
+    wanted = postings.select("lexeme").distinct().join(F.broadcast(asked), F.startswith("lexeme", "stem"))
+    marks = postings.join(wanted, "lexeme").select("query_id", "chunk_id", "stem", F.explode("positions").alias("position"))
+    return marks.groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("stem", "position")).alias("m")).select("query_id", "chunk_id", density("m").alias("density"))
 
 
 def _grams(text: str) -> list[str]:
@@ -225,18 +239,19 @@ def word_similarity_of(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([word_similarity(q or "", t) for q, t in zip(query, text, strict=True)], dtype=float)
 
 
-def text_leg(chunks: DataFrame, queries: DataFrame, k: int, least: float = 0.6) -> DataFrame:
+def text_leg(chunks: DataFrame, queries: DataFrame, k: int, least: float = 0.6, postings: DataFrame | None = None) -> DataFrame:
     """Chunks that match any stemmed prefix term or are word-similar, by trigram similarity and cover density.
 
     chunks: chunk_id, content; queries: query_id, query_text, a stated set.
+    postings is the stored index; without it the chunks are indexed here. Word
+    similarity is computed only where enough trigrams are shared for it.
     """
-    from archivolt.functions import text as tx
-    from archivolt.functions import vector
-    from archivolt.operators.retrieval import top
-
     q = queries.select("query_id", "query_text", tx.query_terms(F.lower("query_text")).alias("terms"), vector.trigrams(F.col("query_text")).alias("_q"))
-    met = chunks.select("chunk_id", "content", vector.trigrams(F.col("content")).alias("_c")).crossJoin(F.broadcast(q))
-    scored = met.withColumn("density", rank("content", "terms"))
-    scored = scored.where((F.col("density") > 0) | (word_similarity_of("query_text", "content") >= least))
+    grams = chunks.select("chunk_id", "content", vector.trigrams(F.col("content")).alias("_c"))
+    pairs = grams.crossJoin(F.broadcast(q))
+    enough = pairs.where((F.size("_q") > 0) & (F.size(F.array_intersect("_c", "_q")) >= least * F.size("_q")))
+    similar = enough.where(word_similarity_of("query_text", "content") >= least).select("query_id", "chunk_id", F.lit(0.0).alias("density"))
+    met = matches(index(chunks) if postings is None else postings, q).unionByName(similar).groupBy("query_id", "chunk_id").agg(F.max("density").alias("density"))
+    scored = met.join(grams, "chunk_id").join(F.broadcast(q), "query_id")
     scored = scored.select("query_id", "chunk_id", vector.trigram_similarity(F.col("_c"), F.col("_q")).alias("similarity"), "density")
     return top(scored, k, F.desc("similarity"), F.desc("density"), F.asc("chunk_id"))

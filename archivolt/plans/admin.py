@@ -97,3 +97,71 @@ def role_permissions(t):
 def extra_hourly_windows(t):
     """Not a parity feature: event-time windows over the events."""
     return t.raw("events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("window_start"), "n")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_path_projection(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return t.raw("events").select("event_id", k.alias("k")).where("k is not null")
+
+
+@query("SELECT keyword_id, term, CASE WHEN term = 'was' THEN true WHEN term = 'the' THEN false ELSE is_active END AS is_active, CASE WHEN keyword_id = 3 THEN 'words' ELSE category END AS category FROM keywords UNION ALL SELECT 15, 'fresh', true, 'legal'", "keywords")
+def keyword_upsert(t):
+    k = t.keywords.withColumn("category", F.col("category").cast("string"))
+    k = l.upsert_keyword(l.upsert_keyword(k, "was", None), "fresh", "legal")
+    return l.patch_keyword(l.delete_keyword(k, 1), 3, domain="words").select("keyword_id", "term", "is_active", "category")
+
+
+@query("SELECT canonical, synonym FROM synonyms WHERE canonical <> 'license' UNION ALL SELECT 'license', unnest(['license', 'permit', 'Grant'])", "synonyms")
+def synonym_upsert(t):
+    return l.replace_synonyms(t.synonyms, "license", ["permit ", "PERMIT", "Grant", ""], "legal").select("canonical", "synonym")
+
+
+@query("SELECT * FROM (VALUES ('canon', 'one'), ('canon', 'two'), ('one', 'canon'), ('two', 'canon')) AS t(canonical, synonym)")
+def synonym_seed_edges(t):
+    groups = t.spark.sql("SELECT * FROM VALUES (1, 'canon', array('canon', 'one', 'two', 'one'), 'c'), (2, 'one', array('canon'), 'c') AS t(group_id, canonical, forms, category)")
+    return l.seed_edges(groups).select("canonical", "synonym")
+
+
+@query("SELECT keyword_id, term FROM keywords WHERE keyword_id > 5", "keywords")
+def seed_missing(t):
+    return l.seed_missing(t.keywords.where("keyword_id <= 5"), t.keywords, "term").select("keyword_id", "term")
+
+
+@query("SELECT 'conversations' AS name, count(DISTINCT conv_id) AS n FROM conversations WHERE conv_id % 10 <> 3 UNION ALL SELECT 'messages', count(*) FROM conversations WHERE conv_id % 10 <> 3 UNION ALL SELECT 'keywords', count(*) FILTER (WHERE keyword_id % 2 = 0) FROM keywords UNION ALL SELECT 'proposals', count(*) FROM docs WHERE document_id % 10 = 3 OR document_id % 10 = 0", "keywords", "docs")
+def user_delete_cascade(t):
+    """Rows that are left, keywords that keep an author, proposals that are the admin's."""
+    m = t.messages
+    tables = {
+        "users": t.spark.range(10).select(F.col("id").alias("user_id")),
+        "messages": m.select("conversation_id", "turn"),
+        "conversations": m.select("conversation_id", (F.col("conversation_id") % 10).alias("user_id")).distinct(),
+        "keywords": t.keywords.withColumn("created_by", F.when(F.col("keyword_id") % 2 == 0, F.lit(1)).otherwise(3)),
+        "proposals": t.documents.select(F.col("document_id").alias("chunk_id"), (F.col("document_id") % 10).alias("proposer"), F.lit(3).alias("reviewer")),
+    }
+    left = l.delete_user(tables, 3, 0)
+    kept = {"conversations": left["conversations"], "messages": left["messages"], "keywords": left["keywords"].where("created_by is not null"), "proposals": left["proposals"].where("proposer = 0 and reviewer is null")}
+    out = None
+    for name, df in kept.items():
+        n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("SELECT document_id, CASE WHEN document_id % 2 = 0 THEN '45' ELSE '30' END AS edad, document_id % 2 = 0 AS manual FROM docs", "docs")
+def patient_patch(t):
+    d = t.documents.select("document_id", *[F.lit(v).alias(c) for c, v in {"nombre": "Ana Rojas", "edad": "30", "sexo": "F", "dni": "12345678", "historia_clinica": "HC-100", "fecha_atencion": "01/02/2024"}.items()], F.lit(False).alias("manual"))
+    patch = t.documents.where("document_id % 2 = 0").select("document_id", F.lit("45 anios").alias("edad"), *[F.lit(None).cast("string").alias(c) for c in ("nombre", "sexo", "dni", "historia_clinica", "fecha_atencion")])
+    return l.patch_patient(d, patch).select("document_id", "edad", "manual")
+
+
+@query("SELECT chunk_id, CASE WHEN chunk_id % 4 = 0 AND status = 'proposed' THEN 'approved' ELSE status END AS status FROM (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'rejected' ELSE 'proposed' END AS status FROM documents WHERE doc_id = 8 OR doc_id = 9)")
+def proposal_review(t):
+    p = t.raw("documents").where("doc_id in (8, 9)").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 3 == 0, "rejected").otherwise("proposed").alias("status"), F.lit(None).cast("int").alias("reviewer"), F.lit(None).cast("string").alias("comment"))
+    return l.review(p, 8, "approved", 1, "ok").select("chunk_id", "status")
+
+
+@query("SELECT conversation_id, turn, CASE WHEN conversation_id = 1 AND turn = 1 THEN 'useful' ELSE feedback END AS feedback FROM messages", "messages")
+def message_feedback(t):
+    own = t.messages.select("conversation_id").distinct().withColumn("user_id", F.lit(5))
+    return l.give_feedback(t.messages, own, 5, 1, 1, "useful").select("conversation_id", "turn", "feedback")

@@ -159,3 +159,24 @@ def normalize_terms(t):
 def role_names(t):
     r = t.spark.sql("SELECT * FROM VALUES (1, ' Administrador '), (2, 'especialista'), (3, 'otro'), (4, 'auditoría'), (5, NULL) AS t(id, name)")
     return r.select("id", text.role(F.col("name")).alias("role"))
+
+
+PAIRS = "(VALUES (1, 'x', 12.0, 'y', 88.0), (2, 'x', 92.0, 'y', 99.0), (3, 'x', 50.0, NULL, NULL), (4, '', 70.0, 'y', 1.0), (5, 'x', 59.0, 'y', 58.0))"
+
+
+@query("SELECT * FROM (VALUES (1, 'second', true), (2, 'first', false), (3, 'first', false), (4, 'second', false), (5, 'first', false)) AS t(id, engine, turned)")
+def ocr_cascade(t):
+    p = t.spark.sql(f"SELECT * FROM {PAIRS[1:-1]} AS t(id, a, s, b, u)")
+    turned = F.coalesce(ocr.rotate(F.col("s").cast("double"), F.col("u").cast("double")), F.lit(False))
+    chosen = ocr.cascade(F.col("a"), F.col("s").cast("double"), F.col("b"), F.col("u").cast("double"))
+    return p.select("id", chosen.alias("engine"), turned.alias("turned"))
+
+
+@query("SELECT document_id, length(trim(text)) < 20 AS empty FROM docs", "docs")
+def empty_pages(t):
+    return t.documents.select("document_id", ocr.is_empty_page(F.col("text")).alias("empty"))
+
+
+@query("SELECT document_id, regexp_matches(lower(text), 'no (se encuentra|encuentro|dispongo|tengo informaci|hay informaci|puedo (proporcionar|responder))') AS refusal FROM docs", "docs")
+def refusal_flags(t):
+    return t.documents.select("document_id", text.is_refusal(F.col("text")).alias("refusal"))

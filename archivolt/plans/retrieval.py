@@ -199,3 +199,18 @@ def fulltext_topk(t):
     from archivolt.operators import fts
 
     return fts.text_leg(t.chunks, t.queries, 10).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), F.round("density", 6).alias("density"), "rank")
+
+
+@query("SELECT id, CAST(floor(least(100.0, greatest(0.0, coalesce(c, 0)) * 60 + least(40, 15 * h + CASE WHEN h > 0 AND h = n THEN 12 ELSE 0 END))) AS INTEGER) AS relevance FROM (SELECT doc_id AS id, (doc_id % 13 - 2) / 10.0 AS c, doc_id % 4 AS h, doc_id % 3 + 1 AS n FROM documents)")
+def relevance_bonus(t):
+    d = F.col("doc_id")
+    return t.raw("documents").select(d.alias("id"), r.relevance((d % 13 - 2) / 10.0, d % 4, d % 3 + 1).alias("relevance"))
+
+
+@query(f"SELECT a.vec_id AS vec_id, round({DOT.format(a='a.embedding', b='b.embedding')}, 6) AS product FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.embedding IS NOT NULL")
+def vector_products(t):
+    from archivolt.functions import vector
+
+    e = t.raw("embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(after, "vec_id").select("vec_id", F.round(vector.dot(F.col("embedding"), F.col("b")), 6).alias("product"))
