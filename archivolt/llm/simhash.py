@@ -194,7 +194,7 @@ def near_links(nodes: DataFrame, distance: int = 4, block_rows: int = 16384) ->
     """
     rows = scratch(nodes.select("fp", "node").mapInArrow(_grid(distance), "grid int, cell long, visitor boolean, fp long, node long"), "grid")
     size = rows.groupBy("grid", "cell").agg(F.count("*").alias("size"), F.bool_or(~F.col("visitor")).alias("homes"))
-    useful = size.where("homes and size > 1").select("grid", "cell", F.ceil(F.col("size") / block_rows).cast("int").alias("parts"))
+    useful = scratch(size.where("homes and size > 1").select("grid", "cell", F.ceil(F.col("size") / block_rows).cast("int").alias("parts")), "cells")
     joined = rows.join(useful, ["grid", "cell"])
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     each = F.sequence(F.lit(0), F.col("parts") - 1)

@@ -239,7 +239,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 12
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("toxicity sample"))
-    drawn = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
+    sizes = {r[0]: r[1] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    part = F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20))  # thins a large table before it is sorted
+    drawn = [
+        known.where(F.col("toxic") == y).where(part < min(1.0, (1.2 * n + 1000) / sizes.get(y, 1))).orderBy(part, order, "doc_id").limit(n)
+        for y, n in ((1, toxic), (0, clean))
+    ]
     ids = drawn[0].unionByName(drawn[1])
     rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
     got = sorted(tuple(r) for r in rows.dropDuplicates(["doc_id"]).collect())
