@@ -102,34 +102,29 @@ def _grid(distance: int):
     return run
 
 
-def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node: np.ndarray, within: bool, distance: int) -> list[tuple[int, int]]:
+def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node: np.ndarray, within: bool, possible, distance: int) -> list[tuple[int, int]]:
     """Edges between a cell's own fingerprints and others, thinned to a forest.
 
-    The Manhattan distance of the count vectors excludes most pairs; those it
-    leaves are verified by the fingerprints. Edges that join what is joined
-    already are left out, so a cell sends fewer edges than it has rows.
+    Fingerprints are rows of 64-bit words. `possible` is a lower bound on their
+    distances and excludes most pairs; those it leaves are verified. Edges that
+    join what is joined already are left out, so a cell sends fewer edges than
+    it has rows.
     """
     every = np.concatenate([home_node, other_node])
     group = np.arange(len(every))
-    n, m = len(home), len(other)
-    code, edges = embed(home), []
+    base, edges = len(home), []
     if within:
-        other, m = np.concatenate([home, other]), n + m
-        base = 0
-    else:
-        base = n
-    other_code = embed(other)
-    step = max(1, (1 << 20) // max(1, n))
-    for start in range(0, m, step):
-        part = slice(start, min(m, start + step))
-        near = np.bitwise_count(other_code[part, None] ^ code[None, :]) <= distance
-        at, to = np.nonzero(near)
-        sure = np.bitwise_count(other[part][at] ^ home[to]) <= distance
+        other, base = np.concatenate([home, other]), 0
+    step = max(1, (1 << 20) // max(1, len(home)))
+    for start in range(0, len(other), step):
+        part = other[start : start + step]
+        at, to = np.nonzero(possible(part, home))
+        sure = np.bitwise_count(part[at] ^ home[to]).sum(axis=1, dtype=np.int64) <= distance
         at, to = at[sure] + start + base, to[sure]
         keep = at != to
         at, to = at[keep], to[keep]
         for a in np.unique(at):
-            b = to[at == a] if len(at) < 64 else to[np.searchsorted(at, a) : np.searchsorted(at, a, "right")]
+            b = to[np.searchsorted(at, a) : np.searchsorted(at, a, "right")]
             roots, first = np.unique(group[b], return_index=True)
             for r, f in zip(roots, first, strict=True):
                 if r != group[a]:
@@ -138,19 +133,15 @@ def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node
     return edges
 
 
-def _cells(distance: int):
-    """Stream over rows sorted by block; hold one block at a time."""
+def _cells(words: tuple[str, ...], possible, distance: int):
+    """Stream over rows sorted by block; hold one pair of blocks at a time."""
 
-    def flush(rows: list[np.ndarray]) -> list[tuple[int, int]]:
+    def flush(rows: list[tuple]) -> list[tuple[int, int]]:
         own, visitor, fp, node = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        if len(fp) < 2:
-            return []
-        home = own & ~visitor
-        other = ~own | visitor
-        if not home.any():
+        home, other = own & ~visitor, ~own | visitor
+        if len(fp) < 2 or not home.any():
             return []
-        same_block = bool(rows[0][4])
-        return links(fp[home], node[home], fp[other], node[other], same_block, distance)
+        return links(fp[home], node[home], fp[other], node[other], rows[0][4], possible, distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -159,9 +150,10 @@ def _cells(distance: int):
             if not len(batch):
                 continue
             keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("grid", "cell", "home_block", "other_block")])
-            own = np.asarray(batch.column("own").to_numpy(zero_copy_only=False))
-            visitor = np.asarray(batch.column("visitor").to_numpy(zero_copy_only=False))
-            fp, node = np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("node"))
+            own = batch.column("own").to_numpy(zero_copy_only=False)
+            visitor = batch.column("visitor").to_numpy(zero_copy_only=False)
+            fp = np.stack([np.asarray(batch.column(c)) for c in words], axis=1).view(np.uint64)
+            node = np.asarray(batch.column("node"))
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             edges: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True):
@@ -184,29 +176,34 @@ def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
 
-def near_links(nodes: DataFrame, distance: int = 4, block_rows: int = 16384) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints within the distance.
+def in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Rows of cells (grid, cell, visitor, node ...) dealt so that no cell has to fit into one task.
 
-    nodes has fp and node (long), each fp once. A cell of more than block_rows
-    rows is dealt by a hash into blocks, and each pair of its blocks is a task
-    of its own, so no cell has to fit into one task. Between two blocks the
-    homes of the first meet all rows of the second.
+    A cell of more than block_rows rows is dealt by a hash into blocks, and
+    each pair of its blocks is a group of its own: homes of the first block
+    meet all rows of the second. Cells in which nothing can link are left out.
     """
-    rows = scratch(nodes.select("fp", "node").mapInArrow(_grid(distance), "grid int, cell long, visitor boolean, fp long, node long"), "grid")
+    columns = rows.columns
     size = rows.groupBy("grid", "cell").agg(F.count("*").alias("size"), F.bool_or(~F.col("visitor")).alias("homes"))
     useful = scratch(size.where("homes and size > 1").select("grid", "cell", F.ceil(F.col("size") / block_rows).cast("int").alias("parts")), "cells")
     joined = rows.join(useful, ["grid", "cell"])
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     each = F.sequence(F.lit(0), F.col("parts") - 1)
     as_home = F.when(~F.col("visitor"), F.transform(each, lambda j: F.struct(own.alias("home_block"), j.alias("other_block"), F.lit(True).alias("own"))))
     as_other = F.transform(F.filter(each, lambda i: i != own), lambda i: F.struct(i.alias("home_block"), own.alias("other_block"), F.lit(False).alias("own")))
     as_visitor = F.when(F.col("visitor"), F.array(F.struct(own.alias("home_block"), own.alias("other_block"), F.lit(True).alias("own"))))
     none = F.array().cast("array<struct<home_block:int,other_block:int,own:boolean>>")
     places = F.concat(F.coalesce(as_home, none), as_other, F.coalesce(as_visitor, none))
-    dealt = joined.select("*", F.explode(places).alias("p")).select("grid", "cell", "visitor", "fp", "node", "p.home_block", "p.other_block", "p.own")
+    dealt = joined.select("*", F.explode(places).alias("p")).select(*columns, "p.home_block", "p.other_block", "p.own")
     keys = ["grid", "cell", "home_block", "other_block"]
-    sorted_ = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return sorted_.mapInArrow(_cells(distance), "u long, v long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def near_links(nodes: DataFrame, distance: int = 4, block_rows: int = 16384) -> DataFrame:
+    """Edges (u, v) that connect all fingerprints within the distance; nodes has fp and node (long), each fp once."""
+    rows = scratch(nodes.select("fp", "node").mapInArrow(_grid(distance), "grid int, cell long, visitor boolean, fp long, node long"), "grid")
+    exclude = lambda a, b: np.bitwise_count(embed(a[:, 0])[:, None] ^ embed(b[:, 0])[None, :]) <= distance
+    return in_blocks(rows, block_rows).mapInArrow(_cells(("fp",), exclude, distance), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
@@ -229,19 +226,78 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return prints.join(member, "fp").select("doc_id", "th", "fp", "component_id", "label")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
+LANES = ("f0", "f1", "f2", "f3")
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> tuple[np.ndarray, int]:
+    """256-bit SimHash, and the number of shingles; zeros and 0 for no words."""
+    parts = (text or "").encode().translate(LOWER).split()
+    if not parts:
+        return np.zeros(len(LANES), np.uint64), 0
+    shingles = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))]
+    ones = np.zeros((len(LANES), 64), dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    for start in range(0, len(shingles), 1 << 15):
+        h = np.array([digest(s, SEED) for s in shingles[start : start + (1 << 15)]], dtype=np.uint64)
+        for k, odd in enumerate(_ODD):
+            x = (h ^ (h >> np.uint64(29))) * odd
+            x ^= x >> np.uint64(32)
+            ones[k] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(shingles), axis=1, bitorder="little").view("<u8")[:, 0], len(shingles)
+
+
+def _wide(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t.as_py(), words) for t in batch.column("text")]
+            lanes = np.array([f for f, _ in found], dtype=np.uint64).reshape(-1, len(LANES)).view(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), *[pa.array(lanes[:, k]) for k in range(len(LANES))], pa.array([n for _, n in found], pa.int32())], names=["doc_id", "th", *LANES, "shingles"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = 16384) -> DataFrame:
+    """(doc_id, th, label) of every document; label is the same throughout a group of near-duplicates.
+
+    Two texts link if their 256-bit fingerprints differ in no more bits than
+    those of texts whose shingles have that Jaccard similarity s are expected
+    to, and half a standard deviation: the angle between their counts is
+    arccos(2s / (1 + s)). Texts that similar have shingle counts within a
+    factor of s, so the grid has the logarithm of the count as its axis, and
+    smaller texts visit the next cell. The fingerprints' first 64 bits bound
+    the distance before it is verified on all. Equal texts are one node. Texts
+    without words are alike. Work in a cell grows with the square of its rows.
+    """
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * len(LANES)
+    distance = int(bits * angle + 0.5 * np.sqrt(bits * angle * (1 - angle)))
+    first = int(64 * angle + 3.5 * np.sqrt(64 * angle * (1 - angle)))
+    source = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
+    prints = scratch(source.mapInArrow(_wide(words), "doc_id long, th long, " + ", ".join(f"{c} long" for c in LANES) + ", shingles int"), "fingerprints")
+    nodes = prints.groupBy(F.col("th").alias("node")).agg(*[F.min(c).alias(c) for c in LANES], F.min("shingles").alias("shingles"))
+    size = F.when(F.col("shingles") == 0, -1).otherwise(F.floor(F.log(F.col("shingles").cast("double")) / F.lit(-np.log(similarity))).cast("long"))
+    places = F.array(F.struct(size.alias("cell"), F.lit(False).alias("visitor")), F.struct((size + 1).alias("cell"), F.lit(True).alias("visitor")))
+    rows = scratch(nodes.select("node", *LANES, F.explode(places).alias("p")).select(F.lit(0).alias("grid"), F.col("p.cell").alias("cell"), "p.visitor", "node", *LANES), "grid")
+    possible = lambda a, b: np.bitwise_count(a[:, 0][:, None] ^ b[:, 0][None, :]) <= first
+    found = components(in_blocks(rows, block_rows).mapInArrow(_cells(LANES, possible, distance), "u long, v long"))
+    labels = scratch(found.withColumnRenamed("node", "th"), "labels")
+    return prints.select("doc_id", "th").join(labels, "th", "left").withColumn("label", F.coalesce("label", "th"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of docs, one of each group of near-duplicates: that of the smallest doc_id.
 
     Of rows that share that doc_id the one whose text has the smallest hash
     stays, and of rows repeated with their text, one. A group without any
     doc_id keeps one row. All columns stay.
     """
-    found = scratch(near_duplicates(docs, words, distance).select("doc_id", "th", "label"), "found")
+    found = scratch(similar_groups(docs, words, similarity), "found")
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m"))
     names = ["__kept_id", "__kept_null", "__kept_text"]  # joined by; no column of docs may have such a name
     key = [F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1])]
     chosen = scratch(first.select("m.doc_id", "m.th").select(*key, F.col("th").alias(names[2])).distinct(), "chosen")
-    kept = docs.select("*", *key, F.xxhash64("text").alias(names[2])).join(chosen, names, "left_semi")
+    kept = docs.select("*", *key, F.coalesce(F.xxhash64("text"), F.lit(0)).alias(names[2])).join(chosen, names, "left_semi")
     if found.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(names)
     return kept.select(*docs.columns)

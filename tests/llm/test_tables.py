@@ -206,6 +206,26 @@ def test_op10_on_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_near_copies_are_one_group(spark):
+    r = np.random.default_rng(9)
+    rows, group = [], {}
+    for g in range(60):
+        words = prose(1000 + g, 60 + 13 * g).split()
+        for c in range(5):
+            copy = list(words)
+            for at in r.choice(len(copy), max(1, len(copy) // 120), replace=False) if c else []:
+                copy[at] = f"new{r.integers(1000)}"
+            rows.append((g * 10 + c, " ".join(copy)))
+            group[g * 10 + c] = g
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (16384, 40):
+        found = {}
+        for x in simhash.similar_groups(df, block_rows=block).collect():
+            found.setdefault(x.label, set()).add(group[x.doc_id])
+        assert len(found) == 60 and all(len(g) == 1 for g in found.values())
+    assert sorted(x.doc_id for x in simhash.keep_one(df).collect()) == [g * 10 for g in range(60)]
+
+
 def test_sql_agrees(spark):
     c = duckdb.connect()
     for t in ("documents", "embeddings"):
@@ -233,7 +253,8 @@ def test_pipeline_stages(spark, tmp_path):
             assert not docs.where("doc_id > 10000").count() and seen == before.count() - 3
         if name == "simhash_near_dedup":
             assert docs.count() == docs.select("doc_id").distinct().count()
-            assert simhash.near_duplicates(docs, 5).where("component_id <> doc_id").count() == 0
+            groups = simhash.similar_groups(docs)
+            assert groups.count() == groups.select("label").distinct().count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.where("piece = 0").count() == seen
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
