@@ -39,13 +39,26 @@ def scratch(df: DataFrame, name: str = "table") -> DataFrame:
 
     This cuts the lineage: what follows survives the loss of any executor
     without computing df again, and df is computed once however often it is
-    read. The table is removed when the driver process ends.
+    read. The table is removed by `drop`, or when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/archivolt-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing reads any more, and the shuffle files of finished jobs.
+
+    Spark frees shuffle files once the driver has collected their handles as
+    garbage, which a large driver heap does late; so it is asked to do it here.
+    """
+    for df in tables:
+        _remove(df.sparkSession, df.scratch_path)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

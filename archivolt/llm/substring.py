@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import scratch
+from archivolt.llm.common import drop, scratch
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -140,14 +140,16 @@ def _window_rows(length: int):
     return run
 
 
-def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key occurs more than once.
+def repeated(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Rows of a scratch table whose key occurs more than once, as a scratch table that takes its place.
 
     Counts are partial sums before the shuffle; the keys found are a table of
     their own so that adaptive execution can split the rows of a frequent key.
     """
     often = scratch(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeated")
-    return rows.join(often, key, "left_semi")
+    out = scratch(rows.join(often, key, "left_semi"), name)
+    drop(often, rows)
+    return out
 
 
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
@@ -159,12 +161,15 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     every start left is a window of its own.
     """
     rows = scratch(docs.mapInArrow(_anchor_rows(length), ROWS), "anchors")
-    alive = repeated(rows, ["key"])
-    alive = repeated(scratch(alive, "alive"), ["key", "half", "next"])
-    ranges = alive.groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    texts = docs.join(scratch(ranges, "ranges"), ["doc_id", "th"])
+    alive = repeated(repeated(rows, ["key"], "alive"), ["key", "half", "next"], "alive")
+    ranges = scratch(alive.groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
+    texts = docs.join(ranges, ["doc_id", "th"])
     windows = scratch(texts.select("doc_id", "th", "text", "ranges").mapInArrow(_window_rows(length), "key long, doc_id long, th long, start int"), "windows")
-    return repeated(windows, ["key"]).groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"))
+    drop(alive, ranges)
+    left = repeated(windows, ["key"], "left")
+    starts = scratch(left.groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts")), "starts")
+    drop(left)
+    return starts
 
 
 def keep(words: list[bytes], starts: list[int] | None, length: int) -> list[bytes]:
@@ -213,7 +218,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, with_text: bool = False, c
     """
     held = {f"__carried{n}": c for n, c in enumerate(carry)}
     base = docs.select(F.col("doc_id").alias("own_id"), "text", *[F.col(c).alias(h) for h, c in held.items()]).withColumn("doc_id", F.coalesce("own_id", F.lit(0))).withColumn("th", F.xxhash64("text"))
-    starts = scratch(repeated_starts(base.select("doc_id", "th", "text"), length), "starts")
+    starts = repeated_starts(base.select("doc_id", "th", "text"), length)
     joined = base.join(starts, ["doc_id", "th"], "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
