@@ -119,3 +119,8 @@ def candidate_upsert(t):
 @query("SELECT original_name, chunk_id, CAST(page AS VARCHAR) AS pages, CASE WHEN length(content) <= 240 THEN content ELSE substring(content, 1, 237) || '...' END AS fragment, match_count FROM ck JOIN keywords USING (keyword_id) JOIN chunks USING (chunk_id) JOIN docs ON docs.document_id = chunks.document_id WHERE lower(term) = 'license' AND is_active", "ck", "docs")
 def keyword_exact_search(t):
     return k.search_keyword("License", t.keywords, t.chunk_keywords, t.chunks, t.documents).drop("section")
+
+
+@query(f"SELECT coverage, weighted_coverage FROM ({COVER.replace('FROM keywords k', 'FROM (SELECT * FROM keywords WHERE keyword_id <> 1) k')})", "ck")
+def coverage_weighted(t):
+    return k.coverage(t.keywords.where("keyword_id <> 1"), t.chunk_keywords).select("coverage", "weighted_coverage")

@@ -214,3 +214,9 @@ def vector_products(t):
     e = t.raw("embeddings").select("vec_id", "embedding")
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
     return e.join(after, "vec_id").select("vec_id", F.round(vector.dot(F.col("embedding"), F.col("b")), 6).alias("product"))
+
+
+@query(", ".join(["", VECTOR_LEG.format(k=15), _lexical("vectors", 15), FUSED]) + "\nSELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) - 1 AS INTEGER) AS rank FROM f QUALIFY rank < 10", "vectors", "qv")
+def rrf_fusion_asc_compat(t):
+    legs = r.vector_leg(t.vectors, t.query_vectors, 15), r.lexical_leg(t.vectors, t.queries, 15)
+    return r.top(r.fuse(*legs), 10, F.asc("score"), F.asc("chunk_id")).select("query_id", "chunk_id", "rank")
