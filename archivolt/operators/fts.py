@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from archivolt.functions import text as tx
 from archivolt.functions import vector
 from archivolt.operators.retrieval import top
+from archivolt.operators.sizes import meet
 
 LEXEMES = ArrayType(StructType([StructField("lexeme", StringType()), StructField("position", IntegerType())]))
 WORD = re.compile(r"\w+")
@@ -204,7 +205,7 @@ def matches(postings: DataFrame, queries: DataFrame) -> DataFrame:
     lexeme. queries has query_id and terms.
     """
     asked = queries.select("query_id", F.explode(to_stems("terms")).alias("stem"))
-    wanted = postings.select("lexeme").distinct().join(F.broadcast(asked), F.startswith("lexeme", "stem"))
+    wanted = meet(postings.select("lexeme").distinct(), asked).where(F.startswith("lexeme", "stem"))
     marks = postings.join(wanted, "lexeme").select("query_id", "chunk_id", "stem", F.explode("positions").alias("position"))
     return marks.groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("stem", "position")).alias("m")).select("query_id", "chunk_id", density("m").alias("density"))
 
@@ -248,10 +249,10 @@ def text_leg(chunks: DataFrame, queries: DataFrame, k: int, least: float = 0.6,
     """
     q = queries.select("query_id", "query_text", tx.query_terms(F.lower("query_text")).alias("terms"), vector.trigrams(F.col("query_text")).alias("_q"))
     grams = chunks.select("chunk_id", "content", vector.trigrams(F.col("content")).alias("_c"))
-    pairs = grams.crossJoin(F.broadcast(q))
+    pairs = meet(grams, q)
     enough = pairs.where((F.size("_q") > 0) & (F.size(F.array_intersect("_c", "_q")) >= least * F.size("_q")))
     similar = enough.where(word_similarity_of("query_text", "content") >= least).select("query_id", "chunk_id", F.lit(0.0).alias("density"))
     met = matches(index(chunks) if postings is None else postings, q).unionByName(similar).groupBy("query_id", "chunk_id").agg(F.max("density").alias("density"))
-    scored = met.join(grams, "chunk_id").join(F.broadcast(q), "query_id")
+    scored = met.join(grams, "chunk_id").join(q, "query_id")
     scored = scored.select("query_id", "chunk_id", vector.trigram_similarity(F.col("_c"), F.col("_q")).alias("similarity"), "density")
     return top(scored, k, F.desc("similarity"), F.desc("density"), F.asc("chunk_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import fixed, text
+from archivolt.operators.sizes import meet
 
 NO_DOMAIN = "Sin dominio"
 
@@ -28,7 +29,7 @@ def match_keywords(chunks: DataFrame, keywords: DataFrame) -> DataFrame:
     exact = hits.where("whole").select("chunk_id", "keyword_id", "match_count")
     counted = text.word_count_of(F.col("_f"), F.col("norm")).cast("long")
     parts = hits.where("not whole").select("chunk_id", "keyword_id", "norm").join(folded, "chunk_id").select("chunk_id", "keyword_id", counted.alias("match_count"))
-    rest = folded.crossJoin(terms.where("word is null")).select("chunk_id", "keyword_id", counted.alias("match_count"))
+    rest = meet(folded, terms.where("word is null")).select("chunk_id", "keyword_id", counted.alias("match_count"))
     return exact.unionByName(parts.unionByName(rest).where("match_count > 0"))
 
 
@@ -48,7 +49,7 @@ def substring_coverage(terms: DataFrame, chunks: DataFrame) -> DataFrame:
     """Distinct terms found anywhere in the corpus, whatever their case, in percent."""
     t = terms.select(F.lower("term").alias("term")).distinct()
     low = chunks.select(F.lower("content").alias("_c"))
-    found = low.crossJoin(F.broadcast(t)).where(F.contains("_c", "term")).select("term").distinct().withColumn("_found", F.lit(1))
+    found = meet(low, t).where(F.contains("_c", "term")).select("term").distinct().withColumn("_found", F.lit(1))
     sums = t.join(found, "term", "left").agg(F.count("*").alias("total"), F.count("_found").alias("found"))
     return sums.select("total", "found", F.when(F.col("total") == 0, 100.0).otherwise(F.round(F.try_divide(F.col("found") * 100.0, F.col("total")), 2)).alias("coverage"))
 
@@ -66,7 +67,7 @@ def match_counts(keywords: DataFrame, chunk_keywords: DataFrame) -> DataFrame:
     """Matches per active term and category, most first."""
     k = keywords.where("is_active").select("keyword_id", "term", "category")
     n = chunk_keywords.groupBy("keyword_id").agg(F.sum("match_count").alias("n"))
-    return n.join(F.broadcast(k), "keyword_id").groupBy("term", "category").agg(F.sum("n").alias("matches")).select("term", F.coalesce("category", F.lit(NO_DOMAIN)).alias("domain"), "matches")
+    return n.join(k, "keyword_id").groupBy("term", "category").agg(F.sum("n").alias("matches")).select("term", F.coalesce("category", F.lit(NO_DOMAIN)).alias("domain"), "matches")
 
 
 def heatmap(keywords: DataFrame, chunk_keywords: DataFrame, chunks: DataFrame, documents: DataFrame, domain: str | None = None) -> DataFrame:
@@ -75,14 +76,14 @@ def heatmap(keywords: DataFrame, chunk_keywords: DataFrame, chunks: DataFrame, d
     if domain is not None:
         k = k.where(F.col("category") == domain)
     n = chunk_keywords.join(chunks.select("chunk_id", "document_id"), "chunk_id").groupBy("document_id", "keyword_id").agg(F.sum("match_count").alias("n"))
-    named = n.join(F.broadcast(k.select("keyword_id", "term")), "keyword_id").join(documents.select("document_id", "original_name"), "document_id")
+    named = n.join(k.select("keyword_id", "term"), "keyword_id").join(documents.select("document_id", "original_name"), "document_id")
     return named.groupBy("original_name", "term").agg(F.sum("n").alias("matches"))
 
 
 def substring_heatmap(terms: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Non-overlapping substring counts per document and term."""
     t = terms.select(F.lower("term").alias("term")).distinct()
-    n = chunks.select("document_id", F.lower("content").alias("_c")).crossJoin(F.broadcast(t)).withColumn("n", text.occurrences(F.col("_c"), F.col("term")).cast("long"))
+    n = meet(chunks.select("document_id", F.lower("content").alias("_c")), t).withColumn("n", text.occurrences(F.col("_c"), F.col("term")).cast("long"))
     sums = n.where("n > 0").groupBy("document_id", "term").agg(F.sum("n").alias("matches"))
     names = documents.select("document_id", "original_name")
     return sums.join(names, "document_id", "left").select(F.coalesce("original_name", F.lit("sin_documento")).alias("original_name"), "term", "matches")
@@ -90,18 +91,18 @@ def substring_heatmap(terms: DataFrame, chunks: DataFrame, documents: DataFrame)
 
 def document_domains(keywords: DataFrame, chunk_keywords: DataFrame, chunks: DataFrame) -> DataFrame:
     """Sorted distinct categories of the keywords met in each document."""
-    pairs = chunk_keywords.join(F.broadcast(keywords.where("category is not null").select("keyword_id", "category")), "keyword_id")
+    pairs = chunk_keywords.join(keywords.where("category is not null").select("keyword_id", "category"), "keyword_id")
     return pairs.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("document_id", "category").distinct().groupBy("document_id").agg(F.array_join(F.sort_array(F.collect_list("category")), ",").alias("domains"))
 
 
 def chunk_domains(keywords: DataFrame, chunk_keywords: DataFrame) -> DataFrame:
-    pairs = chunk_keywords.join(F.broadcast(keywords.where("category is not null").select("keyword_id", "category")), "keyword_id")
+    pairs = chunk_keywords.join(keywords.where("category is not null").select("keyword_id", "category"), "keyword_id")
     return pairs.groupBy("chunk_id").agg(F.array_join(F.sort_array(F.collect_set("category")), ",").alias("domains"))
 
 
 def corpus_domains(keywords: DataFrame, chunk_keywords: DataFrame) -> DataFrame:
     """Categories with evidence and the number of chunks and matches behind them."""
-    pairs = chunk_keywords.join(F.broadcast(keywords.where("category is not null").select("keyword_id", "category")), "keyword_id")
+    pairs = chunk_keywords.join(keywords.where("category is not null").select("keyword_id", "category"), "keyword_id")
     return pairs.groupBy("category").agg(F.sum("match_count").alias("matches"), F.countDistinct("chunk_id").alias("chunks"))
 
 
@@ -117,14 +118,14 @@ def emerging_terms(chunks: DataFrame, known: DataFrame, pool: int = 50, k: int =
     """Frequent words not yet in the catalogue: of the pool most frequent, the first k unknown ones."""
     counted = words(chunks).groupBy("term").agg(F.count("*").alias("n"))
     pooled = counted.orderBy(F.desc("n"), F.asc("term")).limit(pool)
-    return pooled.join(F.broadcast(known.select(F.lower("term").alias("term")).distinct()), "term", "left_anti").orderBy(F.desc("n"), F.asc("term")).limit(k)
+    return pooled.join(known.select(F.lower("term").alias("term")).distinct(), "term", "left_anti").orderBy(F.desc("n"), F.asc("term")).limit(k)
 
 
 def candidates(chunks: DataFrame, known: DataFrame, k: int = 10, least: int = 2) -> DataFrame:
     """Per document its k most frequent unknown words, if met at least twice."""
     stop = known.select(F.lower("term").alias("term")).union(chunks.sparkSession.createDataFrame([(w,) for w in fixed.STOP_CANDIDATES], "term string"))
     counted = words(chunks, "document_id").groupBy("document_id", "term").agg(F.count("*").alias("n"))
-    new = counted.join(F.broadcast(stop.distinct()), "term", "left_anti")
+    new = counted.join(stop.distinct(), "term", "left_anti")
     w = Window.partitionBy("document_id").orderBy(F.desc("n"), F.asc("term"))
     return new.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("n") >= least)).select("document_id", "term", "n")
 
@@ -144,5 +145,5 @@ def search_keyword(term: str, keywords: DataFrame, chunk_keywords: DataFrame, ch
     """Where a catalogue term occurs: document, pages, section, fragment and count."""
     k = keywords.where(F.lower("term") == term.strip().lower()).where("is_active").select("keyword_id")
     c = chunks.select("chunk_id", "document_id", "page_numbers", "content")
-    j = chunk_keywords.join(F.broadcast(k), "keyword_id").join(c, "chunk_id").join(documents.select("document_id", "original_name"), "document_id")
+    j = chunk_keywords.join(k, "keyword_id").join(c, "chunk_id").join(documents.select("document_id", "original_name"), "document_id")
     return j.select("original_name", "chunk_id", F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ",").alias("pages"), text.heading(F.col("content")).alias("section"), text.excerpt(F.col("content")).alias("fragment"), "match_count")

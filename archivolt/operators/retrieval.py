@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text, vector
+from archivolt.operators.sizes import meet
 
 RRF_K, LEG_FACTOR, MIN_RELEVANCE = 60, 3, 12
 MIN_EVIDENCE, MIN_SOURCES = 0.15, 1
@@ -30,7 +31,7 @@ def vector_leg(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     c = chunks.where("embedding is not null").select("chunk_id", "embedding", vector.norm(F.col("embedding")).alias("_n"))
     q = queries.where("query_vector is not null").select("query_id", "query_vector", vector.norm(F.col("query_vector")).alias("_m"))
-    scored = c.crossJoin(F.broadcast(q)).select("query_id", "chunk_id", (vector.dot(F.col("embedding"), F.col("query_vector")) / (F.col("_n") * F.col("_m"))).alias("similarity"))
+    scored = meet(c, q).select("query_id", "chunk_id", (vector.dot(F.col("embedding"), F.col("query_vector")) / (F.col("_n") * F.col("_m"))).alias("similarity"))
     return top(scored.where("similarity is not null"), k, F.desc("similarity"), F.asc("chunk_id"))
 
 
@@ -41,7 +42,7 @@ def lexical_leg(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     q = queries.select("query_id", text.query_terms(F.lower("query_text")).alias("terms"), vector.trigrams(F.col("query_text")).alias("_q"))
     c = chunks.select("chunk_id", F.lower("content").alias("_low"), vector.trigrams(F.col("content")).alias("_c"))
-    met = c.crossJoin(F.broadcast(q)).where(F.exists("terms", lambda t: F.contains(F.col("_low"), t)))
+    met = meet(c, q).where(F.exists("terms", lambda t: F.contains(F.col("_low"), t)))
     scored = met.select("query_id", "chunk_id", vector.trigram_similarity(F.col("_c"), F.col("_q")).alias("similarity"))
     return top(scored, k, F.desc("similarity"), F.asc("chunk_id"))
 
@@ -74,7 +75,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 30, ascending: bool =
     legs = vector_leg(chunks, queries, LEG_FACTOR * k), lexical_leg(chunks, queries, LEG_FACTOR * k)
     fused = fuse(*legs)
     terms = queries.select("query_id", text.query_terms(F.lower("query_text")).alias("terms"))
-    full = fused.join(chunks.select("chunk_id", "content"), "chunk_id").join(F.broadcast(terms), "query_id")
+    full = fused.join(chunks.select("chunk_id", "content"), "chunk_id").join(terms, "query_id")
     full = full.withColumn("matched_terms", term_hits(F.col("content"), F.col("terms")))
     full = full.withColumn("relevance", relevance(F.col("cosine"), F.size("matched_terms"), F.size("terms"))).where(F.col("relevance") >= MIN_RELEVANCE)
     order = F.asc("score") if ascending else F.desc("score")
@@ -84,13 +85,12 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 30, ascending: bool =
 def expand_query(queries: DataFrame, edges: DataFrame, distinct: bool = False, least: int = 0) -> DataFrame:
     """Append the other side of each edge whose one side is in the query, in edge order.
 
-    edges: edge_id, canonical, synonym; a dictionary, broadcast for the
-    substring condition. The canonical side is looked for first.
+    edges: edge_id, canonical, synonym; a dictionary that every query meets. The canonical side is looked for first.
     """
     low = F.lower("query_text")
     e = edges.where((F.length("canonical") >= least) & (F.length("synonym") >= least))
     hit = F.when(F.contains(low, F.lower("canonical")), F.col("synonym")).when(F.contains(low, F.lower("synonym")), F.col("canonical"))
-    met = queries.crossJoin(F.broadcast(e)).select("query_id", "edge_id", hit.alias("extra")).where("extra is not null")
+    met = meet(queries, e).select("query_id", "edge_id", hit.alias("extra")).where("extra is not null")
     if distinct:
         met = met.groupBy("query_id", "extra").agg(F.min("edge_id").alias("edge_id"))
     extra = met.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("edge_id", "extra"))).alias("_x"))
@@ -143,7 +143,7 @@ def in_age_range(chunks: DataFrame, least: int | None = None, most: int | None =
 def in_domain(chunks: DataFrame, chunk_keywords: DataFrame, keywords: DataFrame, domain: str) -> DataFrame:
     """Chunks with a keyword of the category, active or not."""
     ids = keywords.where(F.col("category") == domain).select("keyword_id")
-    return chunks.join(chunk_keywords.join(F.broadcast(ids), "keyword_id", "left_semi"), "chunk_id", "left_semi")
+    return chunks.join(chunk_keywords.join(ids, "keyword_id", "left_semi"), "chunk_id", "left_semi")
 
 
 def evidence(hits: DataFrame, least: float = MIN_EVIDENCE) -> DataFrame:

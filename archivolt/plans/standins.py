@@ -67,7 +67,7 @@ class Tables:
     @property
     def query_vectors(self) -> DataFrame:
         e = self.raw("embeddings").select("vec_id", F.col("embedding").alias("query_vector"))
-        return e.join(F.broadcast(self.queries), "vec_id").select("query_id", "query_text", "query_vector")
+        return e.join(self.queries, "vec_id").select("query_id", "query_text", "query_vector")
 
     @property
     def keywords(self) -> DataFrame:

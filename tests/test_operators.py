@@ -145,3 +145,12 @@ def test_schemas(spark):
     with pytest.raises(ValueError):
         schemas.check(spark.createDataFrame([("x",)], "keyword_id string"), "keywords")
     assert all(schemas.schema(n) for n in schemas.SCHEMAS)
+
+
+def test_a_large_set_meets_rows_in_blocks(spark):
+    from archivolt.operators.sizes import meet
+
+    rows, few = spark.range(7).toDF("a"), spark.range(25).select("id", F.array("id").alias("v"))
+    for most in (100, 4):
+        got = meet(rows, few, most)
+        assert got.columns == ["a", "id", "v"] and got.count() == 175 and got.distinct().count() == 175
