@@ -20,7 +20,7 @@ from archivolt.llm.bpe import ranks
 from archivolt.llm.common import blocks, scratch
 
 SPECIAL, SPECIAL_ID, END_ID = "<|endoftext|>", 50256, 2
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 150_000
 CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 

@@ -20,7 +20,7 @@ from archivolt.llm.common import remainder
 WORD = re.compile(r"[^\W\d_]+")
 WIDTH = 1 << 18
 WINDOW = 16
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 MOST = 30.0
 
 
