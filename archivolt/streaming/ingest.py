@@ -45,7 +45,7 @@ def merge_buckets(df: DataFrame, path: str, buckets: int) -> None:
     bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
     new = df.withColumn("bucket", bucket)
     try:
-        old = spark.read.parquet(path)
+        old = spark.read.schema(new.schema).parquet(path)  # an empty table has no file to tell its schema
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -56,7 +56,7 @@ def merge_buckets(df: DataFrame, path: str, buckets: int) -> None:
         kept = old.where(F.col("bucket").isin(touched)).join(ids, "document_id", "left_anti")
         staged = f"{path}__staging"
         new.unionByName(kept.select(*new.columns)).write.mode("overwrite").parquet(staged)
-        new = spark.read.parquet(staged)
+        new = spark.read.schema(new.schema).parquet(staged)
     new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

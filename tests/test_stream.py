@@ -43,3 +43,29 @@ def test_questions_are_answered_or_declined(spark):
     found = engine.search(q, User(1, "v", "viewer")).select("chunk_id").distinct().collect()
     assert [r[0] for r in found] == [1]
     assert engine.search(q, User(2, "e", "editor")).where("chunk_id = 2 and query_id = 1").count() == 1
+
+
+def test_fields_follow_new_chunks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    keys = spark.createDataFrame([(1, "x")], "keyword_id int, term string")
+    (source / "a.json").write_text(json.dumps({"document_id": 1, "page": 1, "text": "Primera frase."}))
+    fields = lambda d: d.select("document_id", F.substring("content", 1, 7).alias("nombre"))
+    ingest.ingest(spark, str(source), root, keys, "2025-06-01", None, 2).awaitTermination()
+    ingest.extract(spark, root, fields).awaitTermination()
+    (source / "b.json").write_text(json.dumps({"document_id": 1, "page": 1, "text": "Segunda frase."}))
+    ingest.ingest(spark, str(source), root, keys, "2025-06-01", None, 2).awaitTermination()
+    ingest.extract(spark, root, fields).awaitTermination()
+    assert [r.nombre for r in spark.read.parquet(f"{root}/patients").collect()] == ["Segunda"]
+
+
+def test_a_day_has_one_snapshot(spark, tmp_path):
+    from archivolt.plans.standins import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001").all()
+    path = str(tmp_path / "snapshots")
+    for at in ("2025-06-01 06:00:00", "2025-06-01 06:00:00", "2025-06-02 06:00:00"):
+        got = ingest.daily_snapshot(spark, tables, at, path)
+    assert got.count() == 30 and got.select("computed_at").distinct().count() == 2
