@@ -257,7 +257,7 @@ def _wide(words: int):
     return run
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = 16384) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = 131072) -> DataFrame:
     """(doc_id, th, label) of every document; label is the same throughout a group of near-duplicates.
 
     Two texts link if their 256-bit fingerprints differ in no more bits than
