@@ -102,13 +102,14 @@ def _grid(distance: int):
     return run
 
 
-def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node: np.ndarray, within: bool, possible, distance: int) -> list[tuple[int, int]]:
+def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node: np.ndarray, within: bool, possible, distance: int, alike=None) -> list[tuple[int, int]]:
     """Edges between a cell's own fingerprints and others, thinned to a forest.
 
     Fingerprints are rows of 64-bit words. `possible` is a lower bound on their
-    distances and excludes most pairs; those it leaves are verified. Edges that
-    join what is joined already are left out, so a cell sends fewer edges than
-    it has rows.
+    distances and excludes most pairs; those it leaves are verified. If `alike`
+    is given, it decides on each pair within the distance, by the places of the
+    two in homes and others. Edges that join what is joined already are left
+    out, so a cell sends fewer edges than it has rows.
     """
     every = np.concatenate([home_node, other_node])
     group = np.arange(len(every))
@@ -125,6 +126,12 @@ def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node
         at, to = at[keep], to[keep]
         for a in np.unique(at):
             b = to[np.searchsorted(at, a) : np.searchsorted(at, a, "right")]
+            if alike is not None:
+                for f in b:
+                    if group[f] != group[a] and alike(f, a):
+                        edges.append((int(every[a]), int(every[f])))
+                        group[group == group[f]] = group[a]
+                continue
             roots, first = np.unique(group[b], return_index=True)
             for r, f in zip(roots, first, strict=True):
                 if r != group[a]:
@@ -133,15 +140,35 @@ def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node
     return edges
 
 
-def _cells(words: tuple[str, ...], possible, distance: int):
-    """Stream over rows sorted by block; hold one pair of blocks at a time."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays without repeats; two empty ones are alike."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - common
+    return common / union if union else 1.0
+
+
+def _cells(words: tuple[str, ...], possible, distance: int, similarity: float | None = None):
+    """Stream over rows sorted by block; hold one pair of blocks at a time.
+
+    With a similarity, rows have the hashes of their shingles in the column
+    `shingle_set`, and pairs within the distance link if these are that similar.
+    """
 
     def flush(rows: list[tuple]) -> list[tuple[int, int]]:
         own, visitor, fp, node = (np.concatenate([r[i] for r in rows]) for i in range(4))
         home, other = own & ~visitor, ~own | visitor
         if len(fp) < 2 or not home.any():
             return []
-        return links(fp[home], node[home], fp[other], node[other], rows[0][4], possible, distance)
+        alike = None
+        if similarity is not None:
+            raw = [x for r in rows for x in r[5]]
+            sets = [np.frombuffer(raw[i], dtype="<u8") for i in [*np.flatnonzero(home), *np.flatnonzero(other)]]
+
+            def alike(i: int, j: int) -> bool:
+                a, b = sets[i], sets[j]
+                return min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-6 and jaccard(a, b) >= similarity
+
+        return links(fp[home], node[home], fp[other], node[other], rows[0][4], possible, distance, alike)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -154,6 +181,7 @@ def _cells(words: tuple[str, ...], possible, distance: int):
             visitor = batch.column("visitor").to_numpy(zero_copy_only=False)
             fp = np.stack([np.asarray(batch.column(c)) for c in words], axis=1).view(np.uint64)
             node = np.asarray(batch.column("node"))
+            sets = batch.column("shingle_set").to_pylist() if similarity is not None else ()
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             edges: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True):
@@ -162,7 +190,7 @@ def _cells(words: tuple[str, ...], possible, distance: int):
                     edges += flush(held)
                     held = []
                 last = key
-                held.append((own[a:b], visitor[a:b], fp[a:b], node[a:b], key[2] == key[3]))
+                held.append((own[a:b], visitor[a:b], fp[a:b], node[a:b], key[2] == key[3], sets[a:b]))
             if edges:
                 yield _edges(edges)
         if held and (edges := flush(held)):
@@ -230,16 +258,22 @@ LANES = ("f0", "f1", "f2", "f3")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> tuple[np.ndarray, int]:
-    """256-bit SimHash, and the number of shingles; zeros and 0 for no words."""
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Hashes of a text's different word shingles in ascending order; none for no words."""
     parts = (text or "").encode().translate(LOWER).split()
     if not parts:
-        return np.zeros(len(LANES), np.uint64), 0
-    shingles = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))]
-    ones = np.zeros((len(LANES), 64), dtype=np.int64)
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
+    count = max(1, len(parts) - words + 1)
+    return np.unique(np.fromiter((digest(b" ".join(parts[i : i + words]), SEED) for i in range(count)), np.uint64, count))
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> tuple[np.ndarray, int]:
+    """256-bit SimHash of a text's different shingles, and their number; zeros and 0 for no words."""
+    shingles = shingle_set(text, words)
+    ones = np.zeros((len(LANES), 64), dtype=np.int64)
     for start in range(0, len(shingles), 1 << 15):
-        h = np.array([digest(s, SEED) for s in shingles[start : start + (1 << 15)]], dtype=np.uint64)
+        h = shingles[start : start + (1 << 15)]
         for k, odd in enumerate(_ODD):
             x = (h ^ (h >> np.uint64(29))) * odd
             x ^= x >> np.uint64(32)
@@ -257,30 +291,51 @@ def _wide(words: int):
     return run
 
 
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words).astype("<u8").tobytes() for t in batch.column("text")]
+            yield pa.record_batch([batch.column("node"), batch.column("cell"), pa.array(sets, pa.binary())], names=["node", "cell", "shingle_set"])
+
+    return run
+
+
+SMALL = 1.25
+SET_ROWS = 1024  # of a block that holds shingles
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = 131072) -> DataFrame:
     """(doc_id, th, label) of every document; label is the same throughout a group of near-duplicates.
 
-    Two texts link if their 256-bit fingerprints differ in no more bits than
-    those of texts whose shingles have that Jaccard similarity s are expected
-    to, and half a standard deviation: the angle between their counts is
-    arccos(2s / (1 + s)). Texts that similar have shingle counts within a
-    factor of s, so the grid has the logarithm of the count as its axis, and
-    smaller texts visit the next cell. The fingerprints' first 64 bits bound
-    the distance before it is verified on all. Equal texts are one node. Texts
+    Two texts link if the Jaccard similarity of their different shingles is
+    `similarity` or more. Pairs to verify come from 256-bit fingerprints: the
+    angle between texts that similar is arccos(2s / (1 + s)) at most, those of
+    few shingles differ in up to a quarter more bits (SMALL), and the bound lies
+    four standard deviations above that. Texts that similar have counts of
+    different shingles within a factor of s, so the grid has the logarithm of
+    the count as its axis, and smaller texts visit the next cell. The
+    fingerprints' first 64 bits, at four standard deviations too, come before
+    all 256. What these pairs connect is one cell of a second step, which holds
+    the shingles themselves and verifies. Equal texts are one node. Texts
     without words are alike. Work in a cell grows with the square of its rows.
     """
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    angle = min(0.5, SMALL * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * len(LANES)
-    distance = int(bits * angle + 0.5 * np.sqrt(bits * angle * (1 - angle)))
-    first = int(64 * angle + 3.5 * np.sqrt(64 * angle * (1 - angle)))
+    distance = int(bits * angle + 4 * np.sqrt(bits * angle * (1 - angle)))
+    first = int(64 * angle + 4 * np.sqrt(64 * angle * (1 - angle)))
     source = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
     prints = scratch(source.mapInArrow(_wide(words), "doc_id long, th long, " + ", ".join(f"{c} long" for c in LANES) + ", shingles int"), "fingerprints")
     nodes = prints.groupBy(F.col("th").alias("node")).agg(*[F.min(c).alias(c) for c in LANES], F.min("shingles").alias("shingles"))
-    size = F.when(F.col("shingles") == 0, -1).otherwise(F.floor(F.log(F.col("shingles").cast("double")) / F.lit(-np.log(similarity))).cast("long"))
+    size = F.when(F.col("shingles") == 0, -1).otherwise(F.floor(F.log(F.col("shingles").cast("double")) / F.lit(-np.log(similarity)) + 1e-9).cast("long"))
     places = F.array(F.struct(size.alias("cell"), F.lit(False).alias("visitor")), F.struct((size + 1).alias("cell"), F.lit(True).alias("visitor")))
     rows = scratch(nodes.select("node", *LANES, F.explode(places).alias("p")).select(F.lit(0).alias("grid"), F.col("p.cell").alias("cell"), "p.visitor", "node", *LANES), "grid")
     possible = lambda a, b: np.bitwise_count(a[:, 0][:, None] ^ b[:, 0][None, :]) <= first
-    found = components(in_blocks(rows, block_rows).mapInArrow(_cells(LANES, possible, distance), "u long, v long"))
+    maybe = components(in_blocks(rows, block_rows).mapInArrow(_cells(LANES, possible, distance), "u long, v long"))
+    texts = source.join(maybe.withColumnRenamed("node", "th"), "th").select(F.col("th").alias("node"), F.col("label").alias("cell"), "text")
+    sets = texts.mapInArrow(_sets(words), "node long, cell long, shingle_set binary").dropDuplicates(["node"])
+    homes = rows.where("not visitor").drop("cell")
+    held = scratch(homes.join(sets, "node").select("grid", "cell", "visitor", "node", *LANES, "shingle_set"), "sets")
+    found = components(in_blocks(held, min(block_rows, SET_ROWS)).mapInArrow(_cells(LANES, possible, distance, similarity), "u long, v long"))
     labels = scratch(found.withColumnRenamed("node", "th"), "labels")
     return prints.select("doc_id", "th").join(labels, "th", "left").withColumn("label", F.coalesce("label", "th"))
 

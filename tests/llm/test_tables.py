@@ -226,6 +226,30 @@ def test_near_copies_are_one_group(spark):
     assert sorted(x.doc_id for x in simhash.keep_one(df).collect()) == [g * 10 for g in range(60)]
 
 
+def test_groups_are_those_of_exact_similarity(spark):
+    """Pairs around a Jaccard similarity of 0.8, short and long, with repeated lines: linked from 0.8 on and not below."""
+    r = np.random.default_rng(3)
+    rows, near = [], {}
+    for g in range(240):
+        words = prose(5000 + g, (6, 9, 12, 30, 80, 300)[g % 6] + g % 7).split()
+        copy = list(words)
+        for at in r.choice(len(copy), 1 + int(len(copy) * (0.002, 0.01, 0.02, 0.03)[g // 6 % 4]), replace=False):
+            copy[at] = f"new{g}"
+        if g % 5 == 0:
+            copy += words[-len(words) // 2 :] * 3
+        if g % 6 < 3:
+            copy = words + ["more"] * (g % 2) + [f"end{g}"]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+        a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words, copy))
+        near[g] = len(a & b) / len(a | b) >= 0.8
+    assert 50 < sum(near.values()) < 190
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (131072, 40):
+        label = {x.doc_id: x.label for x in simhash.similar_groups(df, block_rows=block).collect()}
+        assert {g: label[2 * g] == label[2 * g + 1] for g in near} == near
+        assert len(set(label.values())) == 480 - sum(near.values())
+
+
 def test_sql_agrees(spark):
     c = duckdb.connect()
     for t in ("documents", "embeddings"):
