@@ -85,8 +85,6 @@ NOTICES = [
     ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
     ("all-rights-reserved", r"all rights reserved", "all rights reserved"),
 ]
-# A text without any of these has no detection.
-GATES = (b"licens", b"licenc", b"hereby granted", b"permission to use", b"redistribution and use", b"express or implied", b"public domain", b"unencumbered", b"all rights reserved")
 GRANT = r"(?:licensed|released|distributed|published|provided|available|shared) under (?:the )?(?:terms of (?:the )?)?"
 LICENSE = r"(?: public)? licen[sc]e"
 
@@ -137,6 +135,13 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
+@lru_cache(maxsize=1)
+def gates() -> tuple[bytes, ...]:
+    """The first keywords of all rules and of BASE; a text without any of them has no detection."""
+    firsts = {part for r in rules() for part in r.keywords[0].split("|")} | {"licen"}
+    return tuple(sorted({f.strip().encode() for f in firsts}))
+
+
 @dataclass(frozen=True)
 class Detection:
     label: str
@@ -174,7 +179,7 @@ def scan(text: str | None) -> dict:
     words = (text or "").encode().translate(WORDS).split()
     out = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "spans": []}
     plain = b" ".join(words)
-    if not any(g in plain for g in GATES):
+    if not any(g in plain for g in gates()):
         return out
     joined = plain.decode()
     padded, starts, base = f" {joined} ", [], set()

@@ -202,3 +202,15 @@ def test_marginals_are_exact():
     assert np.allclose(p, on / weight)
     batch, moves = toxicity._expect(scores[None, :], field.moves)
     assert np.allclose(batch[0], p) and abs(moves.sum() - 5) < 1e-9
+
+
+def test_grants_need_no_word_license():
+    """The sample of each grant rule, without the word license."""
+    assert licenses.scan("This program is distributed under the GNU GPL v3")["labels"] == "gpl-3.0"
+    assert licenses.scan("released under the MIT")["labels"] == "mit"
+    assert licenses.scan("available under Apache 2.0")["labels"] == "apache-2.0"
+    assert licenses.scan("published under CC BY 4.0")["labels"] == "cc-by-4.0"
+    for text in ("It is shared under BSD", "provided under the terms of the MPL 2.0 here", "under the sea", "a plain text"):
+        plain = " ".join(text.lower().replace(".", " ").split())
+        assert licenses.scan(text)["labels"] == ",".join(sorted({d.label for d in licenses.detect(plain)}))
+    assert licenses.scan("It is shared under BSD")["score"] == 0.75
