@@ -102,9 +102,14 @@ class Tables:
 
 
 def nearest(tables: Tables, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int):
-    """Rank the candidates by Euclidean distance on the original vectors, ties by id."""
+    """Rank the candidates by Euclidean distance on the original vectors, ties by id.
+
+    A query that meets fewer than k candidates is ranked against all rows.
+    """
     for i, met in enumerate(tables.candidates(q)):
         met = met[ids[met] != own[i]]
+        if len(met) < k:
+            met = np.flatnonzero(ids != own[i])
         d = np.sqrt(((tables.x[met] - q[i]) ** 2).sum(axis=1))
         if len(d) > k:
             keep = d <= np.partition(d, k - 1)[k - 1]

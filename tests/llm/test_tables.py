@@ -226,6 +226,18 @@ def test_near_copies_are_one_group(spark):
     assert sorted(x.doc_id for x in simhash.keep_one(df).collect()) == [g * 10 for g in range(60)]
 
 
+def test_op4_fills_up_queries_far_from_all_rows(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 5))
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vec array<double>")
+    far = 100 * x[:3]
+    queries = spark.createDataFrame([(1000 + i, [float(c) for c in v]) for i, v in enumerate(far)], "id long, vec array<double>")
+    got = {(g.query_id, g.rank): g.vec_id for g in ann.nearest_neighbours(rows, queries).collect()}
+    for i, q in enumerate(far):
+        want = np.argsort(np.sqrt(((x - q) ** 2).sum(axis=1)), kind="stable")[:10].tolist()
+        assert [got.get((1000 + i, n)) for n in range(1, 11)] == want
+
+
 def test_groups_are_those_of_exact_similarity(spark):
     """Pairs around a Jaccard similarity of 0.8, short and long, with repeated lines: linked from 0.8 on and not below."""
     r = np.random.default_rng(3)
