@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,7 +113,7 @@ def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node
     out, so a cell sends fewer edges than it has rows.
     """
     every = np.concatenate([home_node, other_node])
-    group = np.arange(len(every))
+    parent = list(range(len(every)))
     base, edges = len(home), []
     if within:
         other, base = np.concatenate([home, other]), 0
@@ -123,23 +124,21 @@ def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node
         sure = np.bitwise_count(part[at] ^ home[to]).sum(axis=1, dtype=np.int64) <= distance
         at, to = at[sure] + start + base, to[sure]
         keep = at != to
-        at, to = at[keep], to[keep]
-        for a in np.unique(at):
-            b = to[np.searchsorted(at, a) : np.searchsorted(at, a, "right")]
-            if alike is not None:
-                for f in b:
-                    if group[f] != group[a] and alike(f, a):
-                        edges.append((int(every[a]), int(every[f])))
-                        group[group == group[f]] = group[a]
-                continue
-            roots, first = np.unique(group[b], return_index=True)
-            for r, f in zip(roots, first, strict=True):
-                if r != group[a]:
-                    edges.append((int(every[a]), int(every[b[f]])))
-                    group[group == r] = group[a]
+        for a, b in zip(at[keep].tolist(), to[keep].tolist(), strict=True):
+            x, y = root(parent, a), root(parent, b)
+            if x != y and (alike is None or alike(b, a)):
+                parent[x] = y
+                edges.append((int(every[a]), int(every[b])))
     return edges
 
 
+def root(parent: list[int], x: int) -> int:
+    """The representative of x in a forest of parents, halving the path to it."""
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two arrays without repeats; two empty ones are alike."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -302,40 +301,193 @@ def _sets(words: int):
 
 SMALL = 1.25
 SET_ROWS = 1024  # of a block that holds shingles
+GRIDS = 48
+AXES = 11  # segments whose bit counts make a cell
+SHORT = 32  # shingles up to which a text is in twice the grids
+SPAN = 3.0  # of a cell on the axis of shingle counts, in factors of the similarity
+FEW = 64  # rows of a cell that are compared shift by shift
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = 131072) -> DataFrame:
-    """(doc_id, th, label) of every document; label is the same throughout a group of near-duplicates.
+def grid_axes() -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the segments that span each grid, one word a lane, and where its axis of counts starts.
 
-    Two texts link if the Jaccard similarity of their different shingles is
-    `similarity` or more. Pairs to verify come from 256-bit fingerprints: the
-    angle between texts that similar is arccos(2s / (1 + s)) at most, those of
-    few shingles differ in up to a quarter more bits (SMALL), and the bound lies
-    four standard deviations above that. Texts that similar have counts of
-    different shingles within a factor of s, so the grid has the logarithm of
-    the count as its axis, and smaller texts visit the next cell. The
-    fingerprints' first 64 bits, at four standard deviations too, come before
-    all 256. What these pairs connect is one cell of a second step, which holds
-    the shingles themselves and verifies. Equal texts are one node. Texts
-    without words are alike. Work in a cell grows with the square of its rows.
+    Segments are single bits here: counts of wider ones agree too rarely
+    between texts of a similarity of 0.8 (README.md has the figures).
+    """
+    random = np.random.default_rng(23)
+    masks = np.zeros((2 * GRIDS, len(LANES)), np.uint64)
+    for g in range(len(masks)):
+        for s in random.choice(64 * len(LANES), AXES, replace=False).tolist():
+            masks[g, s // 64] |= np.uint64(1 << (s % 64))
+    return masks, random.uniform(0, SPAN, len(masks))
+
+
+def _cells_of_texts(similarity: float, with_prints: bool):
+    """A row for each text and grid: the cell of its segments' bit counts and of its number of shingles."""
+    masks, offsets = grid_axes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in range(len(masks)):
+                if g == GRIDS:
+                    batch = batch.filter(pc.less_equal(batch.column("shingles"), SHORT))
+                if not len(batch):
+                    break
+                fp = np.stack([np.asarray(batch.column(c)) for c in LANES], axis=1).view(np.uint64)
+                n = np.asarray(batch.column("shingles"))
+                span = np.where(n > 0, np.floor((np.log(np.maximum(n, 1)) / -np.log(similarity) + offsets[g]) / SPAN), -1)
+                key = span.astype(np.int64).view(np.uint64) * _ODD[1] + np.array([g], np.uint64) * _ODD[2]
+                for lane in range(len(LANES)):
+                    key = (key ^ (key >> np.uint64(31)) ^ (fp[:, lane] & masks[g, lane])) * _ODD[lane]
+                cells = [pa.array((key ^ (key >> np.uint64(32))).view(np.int64))]
+                yield pa.record_batch(cells + batch.columns if with_prints else cells, names=["cell", *(batch.schema.names if with_prints else ())])
+
+    return run
+
+
+WITHIN, FIRST, SECOND = 0, 1, 2
+
+
+def in_pairs_of_blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of cells (cell, node, shingles ...) sorted by cell, those of a large cell dealt to pairs of blocks.
+
+    large has the cells that are dealt and their number of blocks (parts). A
+    row of block i goes to the pair {i, j} for each block j, so every two rows
+    of a cell meet and no cell has to fit into one task. info holds the number
+    of shingles and the side that the row takes in its pair.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    side = lambda j: F.when(own == j, WITHIN).when(own < j, FIRST).otherwise(SECOND)
+    pair = lambda j: F.struct(F.xxhash64("cell", F.least(own, j), F.greatest(own, j)).alias("cell"), side(j).alias("side"))
+    alone = F.array(F.struct("cell", F.lit(WITHIN).alias("side")))
+    places = F.when(F.col("parts").isNull(), alone).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), pair))
+    dealt = rows.join(large, "cell", "left").select("node", *LANES, "shingles", F.explode(places).alias("p"))
+    packed = dealt.select("p.cell", "node", *LANES, (F.col("shingles").cast("long") * 4 + F.col("p.side")).alias("info"))
+    return packed.repartition("cell").sortWithinPartitions("cell")
+
+
+def _link_cells(distance: int, similarity: float):
+    """Edges between the texts of each cell, thinned to a forest of the cell's components.
+
+    Of two texts first the numbers of shingles, then the Manhattan distance of
+    the counts of two-bit segments, a lower bound, and last the bits decide.
+    """
+
+    def near(x: np.ndarray, y: np.ndarray, rows: dict) -> np.ndarray:
+        n, side = rows["shingles"], rows["side"]
+        ok = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6
+        ok &= (side[x] == WITHIN) | (side[x] != side[y])
+        x, y = (np.broadcast_to(v, ok.shape)[ok] for v in (x, y))
+        close = np.bitwise_count(rows["code"][x] ^ rows["code"][y]).sum(axis=1, dtype=np.int64) <= distance
+        close[close] = np.bitwise_count(rows["fp"][x[close]] ^ rows["fp"][y[close]]).sum(axis=1, dtype=np.int64) <= distance
+        ok[ok] = close
+        return ok
+
+    def flush(cell: np.ndarray, rows: dict) -> list[tuple[int, int]]:
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(cell)]]))
+        rows["code"], rows["side"], rows["shingles"] = embed(rows["fp"]), rows["info"] & 3, rows["info"] >> 2
+        node, edges = rows["node"], []
+        last = np.repeat(starts + sizes, sizes)  # the end of each row's cell
+        at = np.flatnonzero(np.repeat(sizes, sizes) <= FEW)
+        parent: dict[int, int] = {}
+        for shift in range(1, FEW):
+            at = at[at + shift < last[at]]
+            if not len(at):
+                break
+            met = at[near(at, at + shift, rows)]
+            for a in met.tolist():
+                x, y = root(parent, parent.setdefault(a, a)), root(parent, parent.setdefault(a + shift, a + shift))
+                if x != y:
+                    parent[x] = y
+                    edges.append((int(node[a]), int(node[a + shift])))
+        for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            left, front = np.arange(start, start + size), []
+            while len(left):  # breadth first: rows reached leave, so a tight group costs one pass
+                if front:
+                    a = front.pop()
+                else:
+                    a, left = int(left[0]), left[1:]
+                met = near(np.array([a]), left, rows)
+                edges += [(int(node[a]), int(v)) for v in node[left[met]]]
+                front += left[met].tolist()
+                left = left[~met]
+        return edges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def joined() -> dict:
+            return {c: np.concatenate([r[c] for r in held]) for c in held[0]}
+
+        def found(rows: dict) -> Iterator[pa.RecordBatch]:
+            if edges := flush(rows.pop("cell"), rows):
+                yield _edges(edges)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = {c: np.asarray(batch.column(c)) for c in ("cell", "node", "info")}
+            rows["fp"] = np.stack([np.asarray(batch.column(c)) for c in LANES], axis=1).view(np.uint64)
+            held.append(rows)
+            if rows["cell"][-1] == held[0]["cell"][0]:
+                continue  # still one cell
+            rows = joined()
+            cut = int(np.searchsorted(rows["cell"], rows["cell"][-1]))
+            held = [{c: v[cut:] for c, v in rows.items()}]
+            yield from found({c: v[:cut] for c, v in rows.items()})
+        if held:
+            yield from found(joined())
+
+    return run
+
+
+def possible_links(nodes: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """Edges (u, v) that connect what may be similar; nodes has node, the lanes and the number of shingles.
+
+    Each grid takes the bit counts of AXES segments and the logarithm of the
+    number of shingles as axes; texts that meet in a cell of any grid and whose
+    bit counts, and then bits, lie within the bound are joined. At a similarity
+    of 0.8 two texts share a cell of one grid with a probability of about 0.13,
+    and so of one of 48 with 0.998; at 0.85 with more than 0.9999. README.md has
+    the measured shares. Cells of more than block_rows rows are dealt to pairs
+    of blocks.
     """
     angle = min(0.5, SMALL * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * len(LANES)
     distance = int(bits * angle + 4 * np.sqrt(bits * angle * (1 - angle)))
-    first = int(64 * angle + 4 * np.sqrt(64 * angle * (1 - angle)))
+    nodes = nodes.select("node", *LANES, "shingles")
+    counted = nodes.mapInArrow(_cells_of_texts(similarity, False), "cell long").groupBy("cell").count().where(F.col("count") > block_rows)
+    large = scratch(counted.select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias("parts")), "cells")
+    rows = nodes.mapInArrow(_cells_of_texts(similarity, True), "cell long, node long, " + ", ".join(f"{c} long" for c in LANES) + ", shingles int")
+    return in_pairs_of_blocks(rows, large).mapInArrow(_link_cells(distance, similarity), "u long, v long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = 8192) -> DataFrame:
+    """(doc_id, th, label) of every document; label is the same throughout a group of near-duplicates.
+
+    Two texts link if the Jaccard similarity of their different shingles is
+    `similarity` or more. Pairs to verify come from 256-bit fingerprints of the
+    shingles, by grids over their segment popcounts (`possible_links`): the
+    angle between texts that similar is arccos(2s / (1 + s)) at most, those of
+    few shingles differ in up to a quarter more bits (SMALL), and the bound on
+    bits lies four standard deviations above that. What these pairs connect is
+    one cell of a second step, which holds the shingles themselves and
+    verifies. Equal texts are one node. Texts without words, null ones too, are
+    alike. A null doc_id stays null, repeated rows stay separate rows, other
+    columns of docs are not read, an empty table gives an empty result.
+    """
     source = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
     prints = scratch(source.mapInArrow(_wide(words), "doc_id long, th long, " + ", ".join(f"{c} long" for c in LANES) + ", shingles int"), "fingerprints")
-    nodes = prints.groupBy(F.col("th").alias("node")).agg(*[F.min(c).alias(c) for c in LANES], F.min("shingles").alias("shingles"))
-    size = F.when(F.col("shingles") == 0, -1).otherwise(F.floor(F.log(F.col("shingles").cast("double")) / F.lit(-np.log(similarity)) + 1e-9).cast("long"))
-    places = F.array(F.struct(size.alias("cell"), F.lit(False).alias("visitor")), F.struct((size + 1).alias("cell"), F.lit(True).alias("visitor")))
-    rows = scratch(nodes.select("node", *LANES, F.explode(places).alias("p")).select(F.lit(0).alias("grid"), F.col("p.cell").alias("cell"), "p.visitor", "node", *LANES), "grid")
-    possible = lambda a, b: np.bitwise_count(a[:, 0][:, None] ^ b[:, 0][None, :]) <= first
-    maybe = components(in_blocks(rows, block_rows).mapInArrow(_cells(LANES, possible, distance), "u long, v long"))
+    nodes = scratch(prints.groupBy(F.col("th").alias("node")).agg(*[F.min(c).alias(c) for c in LANES], F.min("shingles").alias("shingles")), "nodes")
+    maybe = components(possible_links(nodes, similarity, block_rows))
     texts = source.join(maybe.withColumnRenamed("node", "th"), "th").select(F.col("th").alias("node"), F.col("label").alias("cell"), "text")
     sets = texts.mapInArrow(_sets(words), "node long, cell long, shingle_set binary").dropDuplicates(["node"])
-    homes = rows.where("not visitor").drop("cell")
-    held = scratch(homes.join(sets, "node").select("grid", "cell", "visitor", "node", *LANES, "shingle_set"), "sets")
-    found = components(in_blocks(held, min(block_rows, SET_ROWS)).mapInArrow(_cells(LANES, possible, distance, similarity), "u long, v long"))
+    held = scratch(nodes.select(F.lit(0).alias("grid"), F.lit(False).alias("visitor"), "node", *LANES).join(sets, "node"), "sets")
+    every = lambda a, b: np.ones((len(a), len(b)), bool)
+    bits = 64 * len(LANES)
+    pairs = in_blocks(held.select("grid", "cell", "visitor", "node", *LANES, "shingle_set"), min(block_rows, SET_ROWS))
+    found = components(pairs.mapInArrow(_cells(LANES, every, bits, similarity), "u long, v long"))
     labels = scratch(found.withColumnRenamed("node", "th"), "labels")
     return prints.select("doc_id", "th").join(labels, "th", "left").withColumn("label", F.coalesce("label", "th"))
 
