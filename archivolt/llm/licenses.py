@@ -7,139 +7,50 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from archivolt.llm.license_rules import RULES, SHORT
+
 # Every byte that is not part of a word becomes a space, A-Z become a-z.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-# Family, pattern of its name in normalised words, keywords of
-# which every match of the name holds one, and its versions.
-FAMILIES = [
-    ("mit", r"mit", "mit", ()),
-    ("mit-0", r"mit no attribution", "no attribution", ()),
-    ("apache", r"apache(?: software)?", "apache", ("1.0", "1.1", "2.0")),
-    ("gpl", r"(?:gnu )?(?:general public|gpl)", "general public| gpl", ("1.0", "2.0", "3.0")),
-    ("lgpl", r"(?:gnu )?(?:lesser general public|library general public|lgpl)", "lesser general|library general| lgpl", ("2.0", "2.1", "3.0")),
-    ("agpl", r"(?:gnu )?(?:affero general public|agpl)", "affero| agpl", ("1.0", "3.0")),
-    ("gfdl", r"(?:gnu )?(?:free documentation|gfdl)", "free documentation| gfdl", ("1.1", "1.2", "1.3")),
-    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "bsd", ()),
-    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", "bsd", ()),
-    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)", "bsd", ()),
-    ("0bsd", r"(?:zero clause bsd|0bsd|bsd zero clause)", "bsd", ()),
-    ("bsd", r"bsd", "bsd", ()),
-    ("mpl", r"(?:mozilla public|mpl)", "mozilla| mpl ", ("1.0", "1.1", "2.0")),
-    ("epl", r"(?:eclipse public|epl)", "eclipse| epl ", ("1.0", "2.0")),
-    ("edl", r"eclipse distribution", "eclipse", ("1.0",)),
-    ("cddl", r"(?:common development and distribution|cddl)", "common development| cddl", ("1.0", "1.1")),
-    ("cpl", r"common public", "common public", ("1.0",)),
-    ("ipl", r"ibm public", "ibm public", ("1.0",)),
-    ("eupl", r"(?:european union public|eupl)", "european union| eupl", ("1.0", "1.1", "1.2")),
-    ("osl", r"(?:open software|osl)", "open software| osl ", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", r"(?:academic free|afl)", "academic free| afl ", ("1.1", "1.2", "2.0", "2.1", "3.0")),
-    ("artistic", r"artistic", "artistic", ("1.0", "2.0")),
-    ("bsl", r"(?:boost software|boost)", "boost", ("1.0",)),
-    ("busl", r"(?:business source|busl)", "business source| busl", ("1.1",)),
-    ("sspl", r"(?:server side public|sspl)", "server side| sspl", ("1.0",)),
-    ("isc", r"isc", "isc", ()),
-    ("zlib", r"zlib(?: libpng)?", "zlib", ()),
-    ("libpng", r"libpng", "libpng", ()),
-    ("wtfpl", r"(?:do what the fuck you want to public|wtfpl)", "what the| wtfpl", ()),
-    ("unlicense", r"(?:the )?unlicense", "unlicense", ()),
-    ("psf", r"(?:python software foundation|psf)", "python software| psf ", ("2.0",)),
-    ("php", r"php", "php", ("3.0", "3.01")),
-    ("ruby", r"ruby", "ruby", ()),
-    ("openssl", r"openssl", "openssl", ()),
-    ("postgresql", r"postgresql", "postgresql", ()),
-    ("ncsa", r"(?:university of illinois )?(?:open source|ncsa)(?: ncsa)?", "ncsa", ()),
-    ("w3c", r"w3c(?: software(?: notice and)?)?", "w3c", ()),
-    ("x11", r"x11", "x11", ()),
-    ("ofl", r"(?:sil open font|open font|ofl)", "open font| ofl ", ("1.0", "1.1")),
-    ("lppl", r"(?:latex project public|lppl)", "latex project| lppl", ("1.0", "1.1", "1.2", "1.3")),
-    ("qpl", r"(?:q public|qpl)", " q public| qpl ", ("1.0",)),
-    ("ms-pl", r"(?:microsoft public|ms pl)", "microsoft| ms pl", ()),
-    ("ms-rl", r"(?:microsoft reciprocal|ms rl)", "microsoft| ms rl", ()),
-    ("apsl", r"(?:apple public source|apsl)", "apple public| apsl", ("1.0", "1.1", "1.2", "2.0")),
-    ("upl", r"(?:universal permissive|upl)", "universal permissive| upl ", ("1.0",)),
-    ("ecl", r"(?:educational community|ecl)", "educational community| ecl ", ("1.0", "2.0")),
-    ("mulan-psl", r"mulan(?: permissive software| psl)", "mulan", ("1.0", "2.0")),
-    ("odbl", r"(?:open database|open data commons open database|odbl)", "open database| odbl", ("1.0",)),
-    ("odc-by", r"(?:open data commons attribution|odc by)", "open data commons| odc by", ("1.0",)),
-    ("pddl", r"(?:public domain dedication and|pddl)", "public domain| pddl", ("1.0",)),
-    ("cc0", r"(?:cc0|cc zero|creative commons zero|creative commons cc0)", " cc0| cc zero|creative commons", ("1.0",)),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative|s)\w*)", " cc by|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", " cc by|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", " cc by|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative|s)\w*)", " cc by|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", " cc by|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by", r"(?:cc by|creative commons attribution)", " cc by|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-]
-# Texts without a license's name that only one family uses.
-NOTICES = [
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose", "permission to use"),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification", "redistribution and use"),
-    ("zlib", r"this software is provided as is without any express or implied warranty in no event", "express or implied"),
-    ("public-domain", r"(?:released|placed|dedicated) (?:in|in ?to|to) the public domain", "public domain"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("all-rights-reserved", r"all rights reserved", "all rights reserved"),
-]
-GRANT = r"(?:licensed|released|distributed|published|provided|available|shared) under (?:the )?(?:terms of (?:the )?)?"
-LICENSE = r"(?: public)? licen[sc]e"
-
 
 @dataclass(frozen=True)
 class Rule:
+    """A signature: any of its keywords is in every text that the pattern matches."""
+
     label: str
     pattern: re.Pattern
     keywords: tuple[str, ...]
     priority: int
 
-    @property
-    def weight(self) -> float:
-        return self.priority / 100
-
-
-def _version(version: str) -> str:
-    major, minor = version.split(".")
-    tail = f"(?: {minor})?(?! \\d)" if minor == "0" else f" {minor}"
-    return rf"(?:(?: version| v)? ?v?{major}{tail})"
-
-
-def _rule(label: str, pattern: str, keywords: tuple[str, ...], priority: int) -> Rule:
-    return Rule(label, re.compile(rf"(?<= ){pattern}(?= )"), keywords, priority)
-
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules, first those of the highest priority.
-
-    For each family: its identifier in a license tag, a grant with a version,
-    a name with a version, a plain grant, and the bare name before "license".
-    """
+    """All rules, first those of the highest priority, and as they are listed within one."""
     out = []
-    for family, name, keyword, versions in FAMILIES:
-        for v in versions:
-            label = f"{family}-{v}"
-            tag = re.sub(r"[-.]", " ", label)
-            out.append(_rule(label, rf"(?:spdx )?license identifier {tag}(?: only| or later)?", ("identifier", keyword), 100))
-            out.append(_rule(label, rf"{GRANT}{name}(?:{LICENSE})?{_version(v)}(?:{LICENSE})?", (" under ", keyword), 95))
-            out.append(_rule(label, rf"{name}{LICENSE}{_version(v)}", ("licen", keyword), 85))
-            out.append(_rule(label, rf"{name}{_version(v)}{LICENSE}", ("licen", keyword), 85))
-        tag = re.sub(r"[-.]", " ", family)
-        out.append(_rule(family, rf"(?:spdx )?license identifier {tag}", ("identifier", keyword), 90))
-        out.append(_rule(family, rf"{GRANT}{name}(?:{LICENSE})?", (" under ", keyword), 75))
-        out.append(_rule(family, rf"{name}{LICENSE}", ("licen", keyword), 60))
-    out += [_rule(label, pattern, (keyword,), 70) for label, pattern, keyword in NOTICES]
+    for label, priority, keywords, pattern in RULES:
+        for short, full in SHORT.items():
+            pattern = pattern.replace(short, full)
+        out.append(Rule(label, re.compile(rf"(?<= )(?:{pattern})(?= )"), tuple(keywords.split("|")), priority))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
 @lru_cache(maxsize=1)
-def gates() -> tuple[bytes, ...]:
-    """The first keywords of all rules and of BASE; a text without any of them has no detection."""
-    firsts = {part for r in rules() for part in r.keywords[0].split("|")} | {"licen"}
-    return tuple(sorted({f.strip().encode() for f in firsts}))
+def prefilter() -> ahocorasick.Automaton:
+    """Finds all rules' keywords and the base phrases in one pass; a keyword's value is the rules it admits."""
+    admits: dict[str, list[int]] = {f" {phrase} ": [] for phrase in BASE.values()}
+    for n, rule in enumerate(rules()):
+        for k in rule.keywords:
+            admits.setdefault(k, []).append(n)
+    automaton = ahocorasick.Automaton()
+    for k, numbers in admits.items():
+        automaton.add_word(k, (k, tuple(numbers)))
+    automaton.make_automaton()
+    return automaton
 
 
 @dataclass(frozen=True)
@@ -150,23 +61,18 @@ class Detection:
     priority: int
 
 
-def detect(joined: str) -> list[Detection]:
+def detect(joined: str, tried: set[int] | None = None) -> list[Detection]:
     """Detections in words joined by single spaces, overlaps resolved.
 
-    A rule is tried only if each of its keywords, or one of those that a bar
-    parts, is in the text. A detection inside another
-    of the same or a higher priority gives way to it; of two with the same
-    place the rule that comes first wins.
+    Only the rules in `tried` are tried, or all. A detection inside another of
+    the same or a higher priority gives way to it; of two with the same place
+    the rule that comes first wins.
     """
     padded = f" {joined} "
-    met: dict[str, bool] = {}
-    found = []
-    for n, rule in enumerate(rules()):
-        for k in rule.keywords:
-            if k not in met:
-                met[k] = any(part in padded for part in k.split("|"))
-        if all(met[k] for k in rule.keywords):
-            found += [(-rule.priority, m.start() - m.end(), n, m.start(), m.end(), rule.label) for m in rule.pattern.finditer(padded)]
+    every, found = rules(), []
+    for n in range(len(every)) if tried is None else sorted(tried):
+        rule = every[n]
+        found += [(-rule.priority, m.start() - m.end(), n, m.start(), m.end(), rule.label) for m in rule.pattern.finditer(padded)]
     kept: list[Detection] = []
     for priority, _, _, start, end, label in sorted(found):
         if not any(d.start <= start and end <= d.end for d in kept):
@@ -178,16 +84,16 @@ def scan(text: str | None) -> dict:
     """Word count, base places and labels of one text."""
     words = (text or "").encode().translate(WORDS).split()
     out = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "spans": []}
-    plain = b" ".join(words)
-    if not any(g in plain for g in gates()):
-        return out
-    joined = plain.decode()
+    joined = b" ".join(words).decode()
     padded, starts, base = f" {joined} ", [], set()
+    met = {k: admitted for _, (k, admitted) in prefilter().iter(padded)}
+    if not met:
+        return out
     for label, phrase in BASE.items():
-        for m in re.finditer(f"(?= {phrase} )", padded):
-            starts.append(padded.count(" ", 0, m.start()))
+        if f" {phrase} " in met:
+            starts += [padded.count(" ", 0, m.start()) for m in re.finditer(f"(?= {phrase} )", padded)]
             base.add(label)
-    kept = detect(joined)
+    kept = detect(joined, {n for admitted in met.values() for n in admitted})
     if starts:
         out |= {"n_base": len(starts), "first_word": min(starts), "last_word": max(starts)}
     score = max([d.priority / 100 for d in kept] + [0.6 if base else 0.0])
@@ -224,4 +130,5 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every whole text of `documents`; null and empty texts have none, other odd rows as in scan_documents."""
     return scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")

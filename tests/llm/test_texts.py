@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re._constants as _c
+import re._parser as _parser
 import zlib
 from collections import Counter
 
@@ -121,6 +123,52 @@ def test_contained_detections_give_way():
     assert len(licenses.rules()) > 300
 
 
+def test_the_prefilter_loses_nothing(spark):
+    """Keywords admit every rule that matches: on real texts, on samples of all rules, and on their mixtures."""
+    r = random.Random(6)
+    samples = [sample(rule.pattern.pattern, r) for rule in licenses.rules() for _ in range(4)]
+    for rule in licenses.rules():
+        made = [f" {sample(rule.pattern.pattern, r)} " for _ in range(30)]
+        assert all(rule.pattern.search(t) and any(k in t for k in rule.keywords) for t in made), (rule.label, made)
+    grants = ["distributed under the GPL 2.0", "released under the MIT", "published under CC BY-SA 4.0", "available under cc by 4.0", "shared under the terms of the Apache 2.0"]
+    assert [licenses.scan(t)["labels"] for t in grants] == ["gpl-2.0", "mit", "cc-by-sa-4.0", "cc-by-4.0", "apache-2.0"]
+    texts_ = samples + grants + [" ".join(r.sample(samples, 3)) for _ in range(300)]
+    texts_ += [t for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()][:3000]
+    found = 0
+    for t in texts_:
+        words = (t or "").encode().translate(licenses.WORDS).split()
+        every = licenses.detect(b" ".join(words).decode())
+        got = licenses.scan(t)
+        base_ = set(filter(None, got["base_labels"].split(",")))
+        assert got["labels"] == ",".join(sorted(base_ | {d.label for d in every}))
+        found += bool(every)
+    assert found > 1500
+
+
+def sample(pattern: str, r: random.Random) -> str:
+    """A text that a rule's pattern matches, each choice and option drawn."""
+
+    def draw(node) -> str:
+        out = ""
+        for op, arg in node:
+            if op is _c.LITERAL:
+                out += chr(arg)
+            elif op is _c.IN:
+                out += "x" if arg[0][0] is _c.CATEGORY else chr(r.choice([c for _, c in arg]))
+            elif op is _c.MAX_REPEAT:
+                low, high, part = arg
+                out += "".join(draw(part) for _ in range(r.randint(low, min(high, low + 2))))
+            elif op is _c.SUBPATTERN:
+                out += draw(arg[3])
+            elif op is _c.BRANCH:
+                out += draw(r.choice(arg[1]))
+            else:
+                assert op in (_c.ASSERT, _c.ASSERT_NOT)
+        return out
+
+    return draw(_parser.parse(pattern))
+
+
 SF = "/root/testdata/sf0.1"
 
 
