@@ -78,96 +78,105 @@ def anchors(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.n
     return chosen[first], first, last
 
 
-ROWS = "key long, doc_id long, th long, low int, high int, next long, half int"
+ROWS = "key long, th long, span long, next long"
+LEFT = np.uint64(0xD6E8FEB86659FD93)  # told apart from windows to the right of an anchor
+
+
+def _span(low: np.ndarray, high: np.ndarray, half: int) -> np.ndarray:
+    """First and last start of a range and the side of its window, in one long."""
+    return (low.astype(np.int64) << 32) | (high.astype(np.int64) << 1) | half
 
 
 def _anchor_rows(length: int):
     """First level: a row for each anchor and each half of the spans that chose it.
 
     `next` is the hash of the window of twice the length that holds the anchor
-    and lies within all long windows starting at low..high: to the right of the
+    and lies within all long windows starting in the span: to the right of the
     anchor for those that start near it, to its left for the others.
     """
     short, double = levels(length)[0], min(length, 2 * levels(length)[0])
-    span = length - short + 1
+    reach = length - short + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling()
         for batch in batches:
             out: list[tuple] = []
-            for text, doc, th in zip(batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), strict=True):
+            for text, th in zip(batch.column("text"), batch.column("th").to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
                 if len(words) < length:
                     continue
                 sums = roll.prefix(words)
-                at, low, high = anchors(roll.windows(sums, np.arange(len(words) - short + 1), short), span)
+                at, low, high = anchors(roll.windows(sums, np.arange(len(words) - short + 1), short), reach)
                 key = roll.windows(sums, at, short)
                 split = np.maximum(low, at - (length - double))  # starts from here on hold the right extension
                 for half, lo, hi, start in ((0, split, high, at), (1, low, np.minimum(high, split - 1), at - (double - short))):
                     ok = lo <= hi
-                    s = start[ok]
-                    out.append((key[ok], np.full(len(s), doc if doc is not None else 0), np.full(len(s), th), lo[ok], hi[ok], roll.windows(sums, s, double), np.full(len(s), half)))
+                    far = roll.windows(sums, start[ok], double)
+                    out.append((key[ok], np.full(int(ok.sum()), th), _span(lo[ok], hi[ok], half), far ^ LEFT if half else far))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.record_batch(
-                    [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)],
-                    names=["key", "doc_id", "th", "low", "high", "next", "half"],
-                )
+                yield pa.record_batch([pa.array(c.view(np.int64)) for c in cols], names=["key", "th", "span", "next"])
 
     return run
 
 
 def _window_rows(length: int):
-    """A row for each start in the ranges of a document: the hash of the window of that length."""
+    """A row for each start in the spans of a text: the hash of the window of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = Rolling()
+        roll, last = Rolling(), None
         for batch in batches:
             out: list[tuple] = []
-            for text, doc, th, ranges in zip(batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            for text, th, spans in zip(batch.column("text"), batch.column("th").to_pylist(), batch.column("spans"), strict=True):
+                if th == last:  # the join has brought equal texts together
+                    continue
+                last = th
                 words = text.as_py().encode().split()
                 sums = roll.prefix(words)
+                span = np.asarray(spans.values)
                 mark = np.zeros(len(words) + 1, np.int64)
-                for r in ranges:
-                    mark[r["low"]] += 1
-                    mark[r["high"] + 1] -= 1
+                np.add.at(mark, span >> 32, 1)
+                np.add.at(mark, ((span & 0xFFFFFFFF) >> 1) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(mark)[: len(words) - length + 1] > 0)
-                out.append((roll.windows(sums, starts, length), np.full(len(starts), doc), np.full(len(starts), th), starts))
+                out.append((roll.windows(sums, starts, length).view(np.int64), np.full(len(starts), th), starts))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.record_batch([pa.array(cols[0].view(np.int64)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], names=["key", "doc_id", "th", "start"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["key", "th", "start"])
 
     return run
 
 
-def repeated(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-    """Rows of a scratch table whose key occurs more than once, as a scratch table that takes its place.
+def repeated(rows: DataFrame, key: str, place: str, columns: tuple[str, ...]) -> DataFrame:
+    """The columns of those rows of a scratch table whose key occurs at more than one place; takes its place.
 
-    Counts are partial sums before the shuffle; the keys found are a table of
-    their own so that adaptive execution can split the rows of a frequent key.
+    A place is a text (th) and a place in it, so copies of one row do not count
+    as two. Aggregates are partial before the shuffle; the keys found are a
+    table of their own so that adaptive execution can split the rows of a
+    frequent key.
     """
-    often = scratch(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeated")
-    out = scratch(rows.join(often, key, "left_semi"), name)
+    at = F.xxhash64("th", place)
+    often = scratch(rows.groupBy(key).agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select(key), "repeated")
+    out = scratch(rows.join(often, key, "left_semi").select(*columns), "alive")
     drop(often, rows)
     return out
 
 
-def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, starts): starts of the windows of length words that occur elsewhere too.
+def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
+    """(th, starts): starts of the windows of length words that occur at another place in any different text, or in their own.
 
-    docs has doc_id, th (a hash of the text) and text. Level one counts one
-    anchor per span; only windows around repeated anchors are extended to twice
-    the length and counted again, until the target length. In the last level
-    every start left is a window of its own.
+    texts has th (a hash of the text) and text; equal texts are one. Level one
+    counts one anchor per span; only windows around repeated anchors are
+    extended to twice the length and counted again, until the target length. In
+    the last level every start left is a window of its own. What is collected
+    for a text is bounded by its number of words, however often it is repeated.
     """
-    rows = scratch(docs.mapInArrow(_anchor_rows(length), ROWS), "anchors")
-    alive = repeated(repeated(rows, ["key"], "alive"), ["key", "half", "next"], "alive")
-    ranges = scratch(alive.groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
-    texts = docs.join(ranges, ["doc_id", "th"])
-    windows = scratch(texts.select("doc_id", "th", "text", "ranges").mapInArrow(_window_rows(length), "key long, doc_id long, th long, start int"), "windows")
-    drop(alive, ranges)
-    left = repeated(windows, ["key"], "left")
-    starts = scratch(left.groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts")), "starts")
+    rows = scratch(texts.mapInArrow(_anchor_rows(length), ROWS), "anchors")
+    alive = repeated(repeated(rows, "key", "span", ("th", "span", "next")), "next", "span", ("th", "span"))
+    spans = scratch(alive.groupBy("th").agg(F.collect_set("span").alias("spans")), "spans")
+    windows = scratch(texts.join(spans, "th").select("th", "text", "spans").mapInArrow(_window_rows(length), "key long, th long, start long"), "windows")
+    drop(alive, spans)
+    left = repeated(windows, "key", "start", ("th", "start"))
+    starts = scratch(left.groupBy("th").agg(F.collect_set("start").alias("starts")), "starts")
     drop(left)
     return starts
 
@@ -187,44 +196,49 @@ def _cut(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, digests, texts = [], [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
+            for text, starts, copied in zip(batch.column("text"), batch.column("starts"), batch.column("copied"), strict=True):
                 words = (text.as_py() or "").encode().split()
-                kept = keep(words, starts.as_py(), length)
+                kept = [] if copied.as_py() and len(words) >= length else keep(words, starts.as_py(), length)
                 joined = b" ".join(kept)
                 total.append(len(words))
                 removed.append(len(words) - len(kept))
                 digests.append(hashlib.sha256(joined).hexdigest())
                 if with_text:
                     texts.append(text.as_py() if len(kept) == len(words) else joined.decode())
-            columns = {"doc_id": batch.column("own_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
             if with_text:
                 columns["kept"] = pa.array(texts, pa.string())
-                columns |= {c: batch.column(c) for c in batch.schema.names if c not in ("own_id", "text", "starts", "th", "doc_id")}
+                columns |= {c: batch.column(c) for c in batch.schema.names if c.startswith("__carried")}
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return run
 
 
+RESULT = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+
+
 def remove_repeats(docs: DataFrame, length: int = 35, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove from each text the words inside windows of length words that occur elsewhere.
 
     Returns doc_id, n_words, n_removed and kept_sha256 (of the kept words joined
     by one space), and with_text also kept and the columns in carry; a text that
-    loses nothing is kept as it is. Null and empty texts have no words; texts of
-    fewer than length words lose none. Rows are told apart by doc_id and text:
-    rows repeated as a whole lose all their windows, as each occurs in the
-    other. Null doc_ids stay null. Windows are compared by 64-bit hashes.
-    An empty table gives an empty result.
+    loses nothing is kept as it is. A column in carry that is called like one
+    of the results is left out. Null and empty texts have no words; texts of
+    fewer than length words lose none. A text that several rows have loses all
+    its windows, as each occurs in the others; its windows are formed once.
+    Null doc_ids stay null. Texts and windows are compared by 64-bit hashes. An
+    empty table gives an empty result.
     """
-    held = {f"__carried{n}": c for n, c in enumerate(carry)}
-    base = docs.select(F.col("doc_id").alias("own_id"), "text", *[F.col(c).alias(h) for h, c in held.items()]).withColumn("doc_id", F.coalesce("own_id", F.lit(0))).withColumn("th", F.xxhash64("text"))
-    starts = repeated_starts(base.select("doc_id", "th", "text"), length)
-    joined = base.join(starts, ["doc_id", "th"], "left")
+    held = {f"__carried{n}": c for n, c in enumerate(dict.fromkeys(carry)) if c not in RESULT}
+    base = docs.select("doc_id", "text", *[F.col(c).alias(h) for h, c in held.items()]).withColumn("th", F.xxhash64("text"))
+    copied = scratch(base.groupBy("th").count().where("count > 1").select("th", F.lit(True).alias("copied")), "copied")
+    starts = repeated_starts(base.select("th", "text"), length).join(copied, "th", "left_anti")
+    found = starts.select("th", "starts", F.lit(False).alias("copied")).unionByName(copied.select("th", F.lit(None).cast("array<long>").alias("starts"), "copied"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
         types = dict(docs.dtypes)
         schema += ", kept string" + "".join(f", {h} {types[c]}" for h, c in held.items())
-    cut = joined.select("own_id", "text", "starts", *held).mapInArrow(_cut(length, with_text), schema)
+    cut = base.join(found, "th", "left").select("doc_id", "text", "starts", "copied", *held).mapInArrow(_cut(length, with_text), schema)
     return cut.withColumnsRenamed(held) if with_text else cut
 
 

@@ -143,9 +143,21 @@ def test_op6_is_brute_force(spark, odd, none, length):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_op6_takes_rows_repeated_thousands_of_times(spark):
+    """20,000 equal rows without an id, and texts that share a passage with them."""
+    same = prose(31, 200)
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(same).alias("text"))
+    others = [(1, prose(32, 40) + " " + " ".join(same.split()[50:100])), (2, prose(33, 90)), (3, prose(34, 40)), (3, prose(34, 40))]
+    df = rows.unionByName(spark.createDataFrame(others, "doc_id long, text string"))
+    got = Counter(tuple(r)[:3] for r in substring.remove_repeats(df).collect())
+    assert got == {(None, 200, 200): 20_000, (1, 90, 50): 1, (2, 90, 0): 1, (3, 40, 40): 2}
+
+
 def test_op6_keeps_carried_columns(odd):
     out = substring.remove_repeats(odd, with_text=True, carry=("th", "starts", "key"))
     assert out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "th", "starts", "key"] and out.count() == 15
+    clash = substring.remove_repeats(odd.withColumn("kept", F.lit(1)), with_text=True, carry=("kept", "lang", "n_words"))
+    assert clash.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "lang"] and dict(clash.dtypes)["kept"] == "string" and clash.count() == 15
 
 
 def unite(nodes, pairs):
