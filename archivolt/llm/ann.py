@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm.vectors import best, dealt, finite, matrix, plan_blocks, same_width
+from archivolt.llm.common import blocks, scratch
+from archivolt.llm.vectors import best, dealt, finite, matrix, numbered, plan_blocks, wide
 
 
 @dataclass(frozen=True)
@@ -54,23 +56,17 @@ def probe_order(functions: int, probes: int) -> list[tuple[int, ...]]:
     return sets
 
 
-class Tables:
-    """The hash tables over the rows of x."""
+class Functions:
+    """The p-stable functions of all tables over vectors of one width."""
 
-    def __init__(self, x: np.ndarray, h: Hashing, scale: float):
-        self.x, self.h = x, h
+    def __init__(self, h: Hashing, scale: float, width: int):
         random = np.random.default_rng(h.seed)
-        self.width = h.width * scale
-        self.functions, self.keys, self.order = [], [], []
+        self.cell = h.width * scale
+        self.tables = []
         for _ in range(h.tables):
-            a = random.normal(size=(x.shape[1], h.functions))
+            a = random.normal(size=(width, h.functions))
             b = random.uniform(0, 1, h.functions)
-            mix = random.integers(1, 2**63, h.functions, dtype=np.uint64) | np.uint64(1)
-            keys = self._key(np.floor(x @ a / self.width + b), mix)
-            order = np.argsort(keys, kind="stable")
-            self.functions.append((a, b, mix))
-            self.keys.append(keys[order])
-            self.order.append(order)
+            self.tables.append((a, b, random.integers(1, 2**63, h.functions, dtype=np.uint64) | np.uint64(1)))
         sets = probe_order(h.functions, h.probes)
         self.sets = np.full((len(sets), max(map(len, sets)) or 1), 2 * h.functions)
         for i, s in enumerate(sets):
@@ -80,61 +76,115 @@ class Tables:
     def _key(cells: np.ndarray, mix: np.ndarray) -> np.ndarray:
         return (cells.astype(np.int64).astype(np.uint64) * mix).sum(axis=1, dtype=np.uint64)
 
-    def candidates(self, q: np.ndarray):
-        """For each row of q, the numbers of the rows of x in any bucket visited."""
-        visits = []
-        for (a, b, mix), keys in zip(self.functions, self.keys, strict=True):
-            at = q @ a / self.width + b
-            cell = np.floor(at)
-            inside = at - cell
-            nearest = np.argsort(np.concatenate([inside, 1 - inside], axis=1), axis=1, kind="stable")
-            step = np.concatenate([np.uint64(0) - mix, mix])[nearest]
-            step = np.concatenate([step, np.zeros((len(q), 1), np.uint64)], axis=1)
-            probe = self._key(cell, mix)[:, None] + step[:, self.sets].sum(axis=2, dtype=np.uint64)
-            visits.append((np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")))
-        n = len(self.x)
+    def buckets(self, table: int, x: np.ndarray) -> np.ndarray:
+        """The bucket of each row of x."""
+        a, b, mix = self.tables[table]
+        return self._key(np.floor(x @ a / self.cell + b), mix)
+
+    def probes(self, table: int, q: np.ndarray) -> np.ndarray:
+        """The buckets that each row of q visits, likeliest first."""
+        a, b, mix = self.tables[table]
+        at = q @ a / self.cell + b
+        cell = np.floor(at)
+        inside = at - cell
+        nearest = np.argsort(np.concatenate([inside, 1 - inside], axis=1), axis=1, kind="stable")
+        step = np.concatenate([np.uint64(0) - mix, mix])[nearest]
+        step = np.concatenate([step, np.zeros((len(q), 1), np.uint64)], axis=1)
+        return self._key(cell, mix)[:, None] + step[:, self.sets].sum(axis=2, dtype=np.uint64)
+
+
+@dataclass
+class Index:
+    """A shard's rows, and for each table its buckets in order with the rows in them."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    keys: list[np.ndarray]
+    order: list[np.ndarray]
+
+    @staticmethod
+    def build(functions: Functions, ids: np.ndarray, x: np.ndarray) -> Index:
+        keys, order = [], []
+        for t in range(len(functions.tables)):
+            k = functions.buckets(t, x)
+            o = np.argsort(k, kind="stable").astype(np.int32)
+            keys.append(k[o])
+            order.append(o)
+        return Index(ids, x, keys, order)
+
+    def candidates(self, functions: Functions, q: np.ndarray) -> Iterator[np.ndarray]:
+        """For each row of q, the rows in any bucket that it visits; only those buckets are read."""
+        ranges = []
+        for t, keys in enumerate(self.keys):
+            probe = functions.probes(t, q)
+            ranges.append((np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")))
+        seen = np.full(len(self.ids), -1, dtype=np.int32)
         for i in range(len(q)):
-            met = np.zeros(n, dtype=bool)
-            for (low, high), order in zip(visits, self.order, strict=True):
-                edge = np.bincount(low[i], minlength=n + 1) - np.bincount(high[i], minlength=n + 1)
-                met[order[np.cumsum(edge)[:n] > 0]] = True
-            yield np.flatnonzero(met)
+            met = [np.zeros(0, np.int32)]
+            for (low, high), order in zip(ranges, self.order, strict=True):
+                for j in np.flatnonzero(low[i] < high[i]).tolist():
+                    rows = order[low[i, j] : high[i, j]]
+                    rows = rows[seen[rows] != i]
+                    seen[rows] = i
+                    met.append(rows)
+            yield np.concatenate(met)
 
 
-def nearest(tables: Tables, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int):
-    """Rank the candidates by Euclidean distance on the original vectors, ties by id.
+def rank(index: Index, q: np.ndarray, own: int, met: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of the rows met by Euclidean distance on the original vectors, ties by id."""
+    met = met[index.ids[met] != own]
+    d = np.sqrt(((index.x[met] - q) ** 2).sum(axis=1))
+    if len(d) > k:
+        keep = d <= np.partition(d, k - 1)[k - 1]
+        met, d = met[keep], d[keep]
+    top = np.lexsort((index.ids[met], d))[:k]
+    return index.ids[met[top]], d[top]
 
-    A query that meets fewer than k candidates is ranked against all rows.
-    """
-    for i, met in enumerate(tables.candidates(q)):
-        met = met[ids[met] != own[i]]
-        if len(met) < k:
-            met = np.flatnonzero(ids != own[i])
-        d = np.sqrt(((tables.x[met] - q[i]) ** 2).sum(axis=1))
-        if len(d) > k:
-            keep = d <= np.partition(d, k - 1)[k - 1]
-            met, d = met[keep], d[keep]
-        top = np.lexsort((ids[met], d))[:k]
-        yield ids[met[top]], d[top]
-
-
-def search_shard(k: int, h: Hashing, scale: float):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(rows) and len(queries):
-            x, q = same_width(matrix(rows.column("vec")), matrix(queries.column("vec")))
-            ids, own = np.asarray(rows.column("id")), np.asarray(queries.column("id"))
-            if len(ids) <= k + 1:  # fewer than asked for: all of them
-                h_all = Hashing(1, 1, 1e18, 3, h.seed)
-                tables = Tables(x, h_all, 1.0)
-            else:
-                tables = Tables(x, h, scale)
+
+SHARDS = "shard int, part int, ids binary, rows binary, keys binary"
+
+
+def build_shard(h: Hashing, scale: float, width: int):
+    """A shard's index as rows: one with ids and vectors (part -1), one for each table."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, x = np.asarray(table.column("id")), wide(matrix(table.column("vec")), width)
+        index = Index.build(Functions(h, scale, width), ids, x)
+        rows = [(-1, ids.tobytes(), x.tobytes(), None)] + [(t, None, o.tobytes(), k.tobytes()) for t, (k, o) in enumerate(zip(index.keys, index.order, strict=True))]
+        part, ids_, rows_, keys = zip(*rows, strict=True)
+        binary = pa.large_binary() if x.nbytes >= 1 << 30 else pa.binary()
+        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(part, pa.int32()), *[pa.array(c, binary) for c in (ids_, rows_, keys)]], names=["shard", "part", "ids", "rows", "keys"])
+
+    return run
+
+
+def load(table: pa.Table, width: int) -> Index:
+    parts = {p: i for i, p in enumerate(table.column("part").to_pylist())}
+    read = lambda c, p, kind: np.frombuffer(table.column(c)[parts[p]].as_py(), dtype=kind)
+    tables = range(len(parts) - 1)
+    return Index(read("ids", -1, np.int64), read("rows", -1, np.float64).reshape(-1, width), [read("keys", t, np.uint64) for t in tables], [read("rows", t, np.int32) for t in tables])
+
+
+HITS = "query long, query_id long, vec_id long, score double"
+
+
+def search_shard(k: int, h: Hashing, scale: float, width: int, every: bool):
+    """Hits of a block of queries in a shard: among the rows met, or among all of them."""
+
+    def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(shard) and len(queries):
+            index, functions = load(shard, width), Functions(h, scale, width)
+            q = wide(matrix(queries.column("vec")), width)
+            own, number = np.asarray(queries.column("id")), np.asarray(queries.column("number"))
             for start in range(0, len(q), 256):
-                part = slice(start, start + 256)
-                for o, (i, d) in zip(own[part], nearest(tables, ids, q[part], own[part], k), strict=True):
-                    out.append((np.full(len(i), o), i, d))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                part = q[start : start + 256]
+                met = (np.arange(len(index.ids)) for _ in part) if every else index.candidates(functions, part)
+                for n, (v, m) in enumerate(zip(part, met, strict=True), start):
+                    i, d = rank(index, v, own[n], m, k)
+                    out.append((np.full(len(i), number[n]), np.full(len(i), own[n]), i, d))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
@@ -143,22 +193,41 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, h: Hash
     """The k nearest rows found for each query by Euclidean distance.
 
     rows and queries have id (long) and vec (array<double>). Every row is in
-    every hash table of its shard. A query's own id is no hit for it; ties go
-    to the smaller id; equal vectors share all buckets and are all ranked.
-    Buckets have no cap. Rows without an id take no part. Shorter vectors count
-    as filled up with zeros. Empty tables give an empty result.
+    every hash table of its shard; tables are built once and stored. A query
+    that meets fewer than k rows over all shards is ranked against all rows, so
+    a query far from everything gets k rows too, and one of a small table all
+    of it. A query's own id is no hit for it; ties go to the smaller id; equal
+    vectors share all buckets and are all ranked. Buckets have no cap. Rows
+    without an id take no part. Rows of a repeated id are separate rows: each is
+    a hit of its own, and as a query each gets k hits of its own. Shorter
+    vectors count as filled up with zeros. Other columns are not read. Empty
+    tables give an empty result.
     """
-    rows, queries = rows.where("id is not null").select("id", "vec"), queries.where("id is not null").select("id", "vec")
+    rows, queries = numbered(rows, "vectors"), numbered(queries, "queries")
     shards, parts = plan_blocks(rows, queries, shard_rows, block_rows)
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    scale = (rows.select(F.sqrt(F.avg(square))).first()[0] or 1.0)
-    left = dealt(rows, "shard", shards, "block", parts)
-    right = dealt(queries, "block", parts, "shard", shards)
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search_shard(k, h, scale), "query_id long, vec_id long, score double")
-    return best(found, k, [F.asc("score"), F.asc("vec_id")]).select("query_id", "rank", "vec_id", "score")
+    scale, widest = rows.select(F.sqrt(F.avg(square)), F.max(F.size("vec"))).first()
+    width = max(widest or 0, queries.select(F.max(F.size("vec"))).first()[0] or 0, 1)
+    arguments = (h, scale or 1.0, width)
+    stored = scratch(dealt(rows, "shard", shards, "block", 1).groupBy("shard").applyInArrow(build_shard(*arguments), SHARDS), "tables")
+
+    def hits(asked: DataFrame, blocks: int, every: bool) -> DataFrame:
+        left = stored.where("part = -1") if every else stored
+        left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = dealt(asked, "block", blocks, "shard", shards)
+        found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search_shard(k, *arguments, every), HITS)
+        return best(found, k, [F.asc("score"), F.asc("vec_id")])
+
+    met = scratch(hits(queries, parts, False), "hits")
+    full = met.where(F.col("rank") == k).select(F.col("query").alias("number"))
+    short = scratch(queries.join(full, "number", "left_anti"), "short")
+    more = hits(short, blocks(short.count(), block_rows), True)
+    whole = met.join(full.withColumnRenamed("number", "query"), "query", "left_semi").unionByName(more)
+    return whole.select("query_id", "rank", "vec_id", "score")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10 nearest of `embeddings` for each vec_id divisible by 100; vectors null, zero or with odd components take no part."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     zero = ~F.exists("embedding", lambda x: x != F.lit(0.0))
     rows = table.where(finite("embedding")).where(~zero).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm.common import scratch
-from archivolt.llm.vectors import best, dealt, finite, matrix, plan_blocks, same_width
+from archivolt.llm.vectors import best, dealt, finite, matrix, numbered, plan_blocks, same_width
 
 PAGES = "shard int, page long, parent long, radius double, to_parent double, leaf boolean, pivot array<double>, ids array<long>, vectors array<double>, gaps array<double>"
 
@@ -171,17 +171,17 @@ _PAGES = pa.schema(
 
 def search_shard(k: int):
     def run(pages: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple[int, int, int, int]] = []
         if len(pages) and len(queries):
             root = from_rows(pages.drop_columns(["block"]))
             q = matrix(queries.column("vec"))
             q, wide = same_width(q, root.pivot[None, :])
             if wide.shape[1] > len(root.pivot):
                 widen(root, wide.shape[1])
-            for own, vector in zip(queries.column("id").to_pylist(), q, strict=True):
-                found += [(own, i, s) for s, i in search(root, vector, own, k)]
-        cols = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            for number, own, vector in zip(queries.column("number").to_pylist(), queries.column("id").to_pylist(), q, strict=True):
+                found += [(number, own, i, s) for s, i in search(root, vector, own, k)]
+        cols = list(zip(*found, strict=True)) or [[], [], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
@@ -198,20 +198,22 @@ def inner_product_topk(rows: DataFrame, queries: DataFrame, k: int = 5, shard_ro
     """The k rows of highest integer inner product for each query.
 
     rows and queries have id (long) and vec (array<double>, integers). Rows are
-    dealt to shards by a hash of their id; each shard becomes an M-tree whose
+    dealt evenly to shards; each shard becomes an M-tree whose
     pages are rows of a table, and each block of queries searches each tree. A
     query's own id is no hit for it. Ties go to the smaller id; a query with
     fewer rows gets them all. Shorter vectors count as filled up with zeros.
-    Rows without an id take no part, repeated ids are separate rows. Empty
-    tables give an empty result.
+    Rows without an id take no part. Rows of a repeated id are separate rows:
+    each is a hit of its own, and as a query each gets k hits of its own, so
+    that a query_id and rank may occur more than once. Other columns are not
+    read. Empty tables give an empty result.
     """
-    rows, queries = rows.where("id is not null").select("id", "vec"), queries.where("id is not null").select("id", "vec")
+    rows, queries = numbered(rows, "vectors"), numbered(queries, "queries")
     shards, parts = plan_blocks(rows, queries, shard_rows, block_rows)
     sharded = dealt(rows, "shard", shards, "block", 1).drop("block")
     pages = scratch(sharded.groupBy("shard").applyInArrow(build_shard, PAGES), "mtree")
     left = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = dealt(queries, "block", parts, "shard", shards)
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search_shard(k), "query_id long, vec_id long, score long")
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search_shard(k), "query long, query_id long, vec_id long, score long")
     return best(found, k, [F.desc("score"), F.asc("vec_id")]).select("query_id", "rank", "vec_id", "score")
 
 

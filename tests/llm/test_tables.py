@@ -250,6 +250,46 @@ def test_op4_fills_up_queries_far_from_all_rows(spark):
         assert [got.get((1000 + i, n)) for n in range(1, 11)] == want
 
 
+def vectors(spark, x, first=0, ids=None):
+    ids = range(first, first + len(x)) if ids is None else ids
+    return spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "id long, vec array<double>")
+
+
+def test_every_query_gets_its_ten_over_several_shards(spark):
+    """Unit vectors and queries of length 1, 10, 40 and 200; shards of 50 rows, blocks of 3 queries."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[:8] * np.array([1, 10, 40, 200] * 2)[:, None]
+    got = {}
+    for g in ann.nearest_neighbours(vectors(spark, x), vectors(spark, q, 1000), shard_rows=50, block_rows=3).collect():
+        got.setdefault(g.query_id - 1000, {})[g.rank] = (g.vec_id, g.score)
+    for i, v in enumerate(q):
+        d = np.sqrt(((x - v) ** 2).sum(axis=1))
+        want = np.argsort(d, kind="stable")[:10].tolist()
+        assert sorted(got[i]) == list(range(1, 11)) and all(abs(d[j] - s) < 1e-9 for j, s in got[i].values())
+        if i % 4:
+            assert [got[i][n][0] for n in range(1, 11)] == want
+    few = vectors(spark, x[:14] * np.array([1] * 13 + [500])[:, None])
+    assert Counter(g.query_id for g in ann.nearest_neighbours(few, few).collect()) == dict.fromkeys(range(14), 10)
+
+
+def test_rows_of_one_id_are_queries_of_their_own(spark):
+    r = np.random.default_rng(13)
+    x = np.floor(256 * r.normal(size=(90, 4)))
+    ids = [0] * 30 + list(range(1, 61))
+    rows = vectors(spark, x, ids=ids)
+    queries = rows.where("id in (0, 50)")
+    exact, near = (Counter((g.query_id, g.rank, g.vec_id, round(g.score, 6)) for g in found.collect()) for found in (topk.inner_product_topk(rows, queries, 5, 20, 7), ann.nearest_neighbours(rows, queries, 100, shard_rows=20, block_rows=7)))
+    want, want_near = Counter(), Counter()
+    for i, v in zip(ids, x, strict=True):
+        if i in (0, 50):
+            others = [(j, w) for j, w in zip(ids, x, strict=True) if j != i]
+            want.update((i, n, j, -s) for n, (s, j) in enumerate(sorted((-int(v @ w), j) for j, w in others)[:5], 1))
+            want_near.update((i, n, j, round(s, 6)) for n, (s, j) in enumerate(sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in others), 1))
+    assert exact == want and near == want_near
+
+
 def test_groups_are_those_of_exact_similarity(spark):
     """Pairs around a Jaccard similarity of 0.8, short and long, with repeated lines: linked from 0.8 on and not below."""
     r = np.random.default_rng(3)
