@@ -21,6 +21,7 @@ WORD = re.compile(r"[^\W\d_]+")
 WIDTH = 1 << 18
 WINDOW = 16
 KEPT_WORDS = 150_000
+MOST_FEATURES = 9  # of a word
 MOST = 30.0
 
 
@@ -30,11 +31,11 @@ def _h(name: str) -> int:
 
 def forms(word: str) -> list[str]:
     """The word and its longer prefixes: forms that can mark a span."""
-    return ["w" + word] + ["p" + word[:k] for k in (4, 5, 6) if len(word) > k]
+    return ["w" + word] + ["p" + word[:k] for k in (4, 5, 6, 7, 8) if len(word) > k]
 
 
 def own_features(word: str) -> list[int]:
-    names = ["bias", "w" + word, "s" + word[-3:]] + ["p" + word[:k] for k in (3, 4, 5, 6) if len(word) > k]
+    names = ["bias", "w" + word, "s" + word[-3:]] + ["p" + word[:k] for k in (3, 4, 5, 6, 7, 8) if len(word) > k]
     return [_h(x) for x in names]
 
 
@@ -112,7 +113,10 @@ def seeds(toxic: list[list[str]], clean: list[list[str]], chance: float = 0.01)
 
     A form in a toxic and b clean documents is a mark if it is 20 times as
     frequent among toxic documents, and if so uneven a split has a probability
-    below chance / (number of forms) for a form that is blind to toxicity.
+    below chance / (number of forms) for a form that is blind to toxicity. As
+    copies of a document are no independent evidence, a document does not count
+    in a if the form stands there between two words between which an earlier
+    document had it.
     """
     a: Counter = Counter()
     for words in toxic:
@@ -123,87 +127,98 @@ def seeds(toxic: list[list[str]], clean: list[list[str]], chance: float = 0.01)
     share = len(toxic) / (len(toxic) + len(clean) + 1)
     limit = math.log(chance / (len(a) + 1))
 
-    def tail(n: int, m: int) -> float:  # of the binomial distribution, its first term
-        return math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) + n * math.log(share) + m * math.log(1 - share)
+    def uneven(n: int, m: int) -> bool:  # by the first term of the binomial tail
+        tail = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) + n * math.log(share) + m * math.log(1 - share)
+        return n / len(toxic) >= 20 * (m + 0.5) / (len(clean) + 1) and tail < limit
 
-    return {f for f, n in a.items() if n / len(toxic) >= 20 * (b[f] + 0.5) / (len(clean) + 1) and tail(n, b[f]) < limit}
-
-
-def distinct(docs: list[list[str]], hashes: int = 6) -> list[list[str]]:
-    """Documents without near copies of earlier ones, by minimum hashes of word triples."""
-    odd = np.random.default_rng(5).integers(1, 2**31, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    met: set[tuple[int, int]] = set()
-    out = []
-    for words in docs:
-        h = np.array([zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))], dtype=np.uint64)
-        keys = {(k, int((h * m & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate(odd)}
-        if not keys & met:
-            out.append(words)
-        met |= keys
-    return out
-
-
-def _windows(toxic: list[list[str]], clean: list[list[str]], marks: set[str]) -> tuple[list[list[str]], list[list[int]]]:
-    """Windows of labelled tokens: around marked ones, and of clean documents."""
-    xs, ys = [], []
+    around: dict[str, set[tuple[str, str]]] = {f: set() for f, n in a.items() if uneven(n, b[f])}
+    fresh: Counter = Counter()
+    for words in toxic:
+        here: dict[str, set[tuple[str, str]]] = {}
+        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+            for f in forms(word):
+                if f in around:
+                    here.setdefault(f, set()).add((before, after))
+        for f, pairs in here.items():
+            fresh[f] += around[f].isdisjoint(pairs)
+            around[f] |= pairs
+    return {f for f in around if uneven(fresh[f], b[f])}
 
-    def add(words: list[str], labels: list[int], start: int) -> None:
-        pad = WINDOW - len(words[start : start + WINDOW])
-        xs.append(words[start : start + WINDOW] + [""] * pad)
-        ys.append(labels[start : start + WINDOW] + [0] * pad)
 
-    for words in toxic:
-        labels = [int(any(f in marks for f in forms(w))) for w in words]
-        at = [i for i, y in enumerate(labels) if y]
-        for i in at[:4]:
-            add(words, labels, max(0, i - WINDOW // 2))
-    for n, words in enumerate(clean):
-        add(words, [0] * len(words), n % 5 * max(0, len(words) - WINDOW) // 4)
-    return xs, ys
+@dataclass
+class Tokens:
+    """Documents as numbers of words, one after the other, and the features of each word; word 0 fills up windows."""
+
+    words: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    features: np.ndarray
+    marked: np.ndarray
+
+    @staticmethod
+    def of(docs: list[list[str]], marks: set[str]) -> Tokens:
+        number: dict[str, int] = {"": 0}
+        words = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), np.int32)
+        lengths = np.array([len(d) for d in docs], dtype=np.int64)
+        features = np.full((len(number), MOST_FEATURES), WIDTH, dtype=np.int32)
+        marked = np.zeros(len(number), bool)
+        for w, n in number.items():
+            f = own_features(w)
+            features[n, : len(f)] = f
+            marked[n] = any(f in marks for f in forms(w))
+        return Tokens(np.concatenate([words, np.zeros(WINDOW, np.int32)]), np.cumsum(lengths) - lengths, lengths, features, marked)
+
+    def windows(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The words of the windows that start at places of documents; past a document's end word 0."""
+        place = at[:, None] + np.arange(WINDOW)
+        return np.where(place < self.lengths[doc][:, None], self.words[np.minimum(self.starts[doc][:, None] + place, len(self.words) - 1)], 0)
 
 
 def fit(toxic: list[list[str]], clean: list[list[str]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> Field:
-    """Fit the field to documents of known label by AdaGrad on the exact gradient.
+    """Fit the field to documents of known label by AdaGrad on the exact gradient of windows.
 
     Token labels come from the documents' labels: tokens of clean documents are
     clean; in toxic documents the marked tokens (`seeds`) are toxic. Toxic
-    documents without a marked token are left out.
+    documents without a marked token are left out. Each round reads the next
+    window of each clean document, round and round, and the windows around four
+    of the marked tokens of each toxic one; so within the rounds the fit reads
+    the first 960 words of a clean document whole and, of a longer one, as many
+    windows spread evenly.
     """
-    toxic, clean = distinct(toxic), distinct(clean)
-    marks = seeds(toxic, clean)
-    xs, ys = _windows(toxic, clean, marks)
+    marks = seeds(toxic, clean) if toxic else set()
+    bad = Tokens.of(toxic, marks)
+    places = np.flatnonzero(bad.marked[bad.words[: int(bad.lengths.sum())]])
+    doc = np.searchsorted(bad.starts, places, "right") - 1
     weights, moves = np.zeros(WIDTH), np.zeros((2, 2))
-    if not xs:
+    if not len(places):
         weights[_h("bias")] = -6.0
         return Field(weights.astype(np.float32), moves)
-    longest = 7
-    index = np.full((len(xs), WINDOW, longest), WIDTH, dtype=np.int32)
-    own: dict[str, list[int]] = {}
-    for i, words in enumerate(xs):
-        for t, w in enumerate(words):
-            f = own.get(w)
-            if f is None:
-                f = own[w] = own_features(w)
-            index[i, t, : len(f)] = f
-    y = np.array(ys, dtype=float)
+    first = np.searchsorted(doc, doc)  # of each mark the number of its document's first mark
+    nth, marks_of = np.arange(len(doc)) - first, np.bincount(doc)[doc]
+    at = np.maximum(0, places - bad.starts[doc] - WINDOW // 2)
+    good = Tokens.of(clean, marks)
+    every = np.arange(len(good.lengths))
+    count = -(-good.lengths // WINDOW)
     weights = np.zeros(WIDTH + 1)
     weights[_h("bias")] = -2.0
     square, square_m = np.full(WIDTH + 1, 1e-8), np.full((2, 2), 1e-8)
-    pairs = np.zeros((2, 2))
-    for s in (0, 1):
-        for t in (0, 1):
-            pairs[s, t] = ((y[:, :-1] == s) & (y[:, 1:] == t)).sum()
-    flat = index.reshape(-1, longest)
-    used = np.unique(flat)
-    for _ in range(rounds):
-        u = np.clip(weights[index].sum(axis=2), -MOST, MOST)
+    for turn in range(rounds):
+        chosen = (nth - 4 * turn) % marks_of < 4
+        x_bad = bad.windows(doc[chosen], at[chosen])
+        step = np.maximum(count, rounds) // rounds  # of long documents every so many windows
+        x_good = good.windows(every, turn * step % count * WINDOW)
+        flat = np.concatenate([bad.features[x_bad].reshape(-1, MOST_FEATURES), good.features[x_good].reshape(-1, MOST_FEATURES)])
+        y = np.concatenate([bad.marked[x_bad], np.zeros(x_good.shape, bool)]).astype(float)
+        u = np.clip(weights[flat].sum(axis=1).reshape(y.shape), -MOST, MOST)
         p, expected = _expect(u, moves)
-        g = np.bincount(flat.ravel(), ((y - p).ravel() / len(xs)).repeat(longest), WIDTH + 1)
+        g = np.bincount(flat.ravel(), ((y - p).ravel() / len(y)).repeat(MOST_FEATURES), WIDTH + 1)
+        used = np.unique(flat)
         g[used] -= decay * weights[used]
         g[WIDTH] = 0.0
         square += g * g
         weights += rate * g / np.sqrt(square)
-        gm = (pairs - expected) / len(xs) - decay * moves
+        pairs = np.array([[((y[:, :-1] == s) & (y[:, 1:] == t)).sum() for t in (0, 1)] for s in (0, 1)])
+        gm = (pairs - expected) / len(y) - decay * moves
         square_m += gm * gm
         moves = moves + 0.2 * gm / np.sqrt(square_m)
     return Field(weights[:WIDTH].astype(np.float32), moves)
@@ -228,14 +243,14 @@ def _expect(u: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return odds / (1 + odds), joint.sum(axis=(1, 2)).reshape(2, 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 12_000, longest: int = 20_000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 12_000) -> Field:
     """Fit to a bounded sample of labelled rows (doc_id, toxic).
 
     The sample holds `toxic` and `clean` labelled documents at most, chosen by a
-    hash of doc_id, of those with texts of up to `longest` characters, so what
-    comes to the driver does not grow with the input. A doc_id labelled
-    both ways counts as toxic. Without labels of both classes every token is
-    clean.
+    hash of doc_id, so how many come to the driver does not grow with the
+    input; each comes whole. A doc_id labelled both ways counts as toxic; of
+    several texts of one doc_id the smallest is taken. Without labels of both
+    classes every token is clean.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("toxicity sample"))
@@ -246,11 +261,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 12
         for y, n in ((1, toxic), (0, clean))
     ]
     ids = drawn[0].unionByName(drawn[1])
-    rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
-    got = sorted(tuple(r) for r in rows.dropDuplicates(["doc_id"]).collect())
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     same: dict[str, str] = {}  # one object for each word
     split: dict[int, list] = {0: [], 1: []}
-    for _, label, text in got:
+    for _, label, text in sorted(rows.collect(), key=lambda r: r[0]):
         if words := WORD.findall(text.lower()):
             split[label].append([same.setdefault(w, w) for w in words])
     return fit(split[1], split[0]) if split[0] and split[1] else fit([], [])
@@ -304,6 +318,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of `documents`, learned from the labels not held out; odd rows as in score_documents."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     found = score_documents(docs, train(docs, training_labels(labels)))
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))

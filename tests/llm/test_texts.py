@@ -262,3 +262,32 @@ def test_grants_need_no_word_license():
         plain = " ".join(text.lower().replace(".", " ").split())
         assert licenses.scan(text)["labels"] == ",".join(sorted({d.label for d in licenses.detect(plain)}))
     assert licenses.scan("It is shared under BSD")["score"] == 0.75
+
+
+def test_op9_held_out_figures(spark):
+    """On rows held out of the fit: of 97 toxic ones 6 have no marked word at all (their labels are noise)."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = toxicity.op9_toxicity(spark, SF).join(labels, "doc_id").where("held_out")
+    caught, toxic, left, clean = got.agg(*[F.sum((F.col("toxic") == y).cast("int") * (F.col("predicted") == p).cast("int")) for y, p in ((1, 1),)], F.sum(F.col("toxic")), F.sum(((F.col("toxic") == 0) & (F.col("predicted") == 0)).cast("int")), F.sum(1 - F.col("toxic"))).first()
+    assert caught / toxic >= 0.92 and left / clean >= 0.98
+
+
+def test_op9_takes_repeated_and_very_long_documents(spark):
+    """Texts of one doc_id, both orders of rows, and a text far longer than any other give one field."""
+    docs, labels = made_corpus(spark)
+    more = docs.where("doc_id < 50").withColumn("text", F.concat(F.lit("zz "), "text")).union(spark.createDataFrame([(7, "word " * 60_000)], docs.schema))
+    a = toxicity.train(docs.union(more), toxicity.training_labels(labels))
+    b = toxicity.train(more.union(docs.orderBy(F.desc("doc_id"))), toxicity.training_labels(labels))
+    assert (a.weights == b.weights).all() and (a.moves == b.moves).all()
+
+
+def test_copies_are_no_evidence():
+    """A word in thirty copies of one toxic document marks nothing; one in thirty different ones does."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    text = [r.choice(words) for _ in range(60)]
+    copies = [text[:20] + ["rareword"] + text[20 : 50 + i % 10] for i in range(30)]
+    others = [[r.choice(words) for _ in range(20)] + ["nastyword"] + [r.choice(words) for _ in range(20)] for _ in range(30)]
+    clean = [[r.choice(words) for _ in range(60)] for _ in range(600)]
+    marks = toxicity.seeds(copies + others, clean)
+    assert "wnastyword" in marks and "wrareword" not in marks
