@@ -14,7 +14,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-LEAF = 4096
+LEAF = 48
+REACH = 4096  # characters on either side up to which a join inside one match is tried again
 WHITE = frozenset(" \t\n\r")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 DIGITS = frozenset("0123456789")
@@ -47,12 +48,30 @@ class Codec:
 
     A text is an element of a monoid whose product joins the tokens of two
     neighbours. Halves are encoded on their own, down to leaves of `leaf`
-    characters, and joined up the tree.
+    characters, and joined up the tree. A join encodes a window around the seam
+    anew that grows until the tokens outside cannot change:
+
+    The pattern parts a text into matches from left to right, and tokens never
+    cross a match. At a cut (`is_cut`) one match ends and the next begins,
+    whatever stands further off: the pattern can neither run over those two
+    characters nor look beyond them. So the matches left of a cut are those of
+    the left part alone, those right of it those of the right part alone, and
+    the tokens of the whole are the two parts' tokens, one after the other. The
+    left half's text up to the last cut before the seam is hence encoded as in
+    the whole text, likewise the right half's from the first cut on, and only
+    what lies between is encoded anew (`_join`).
+
+    Inside one match merges go by rank alone. The tokens of a piece are those
+    of the whole exactly if each two neighbours, taken alone, stay as they are:
+    a merge across two tokens would have to happen between those two first. In
+    each half all neighbours stay; so if the new tokens' ends stay with their
+    old neighbours outside the window, all do (`_join_run`).
     """
 
     def __init__(self, path: str, leaf: int = LEAF):
         table = ranks(path)
-        self.leaf = leaf
+        self.leaf, self.reaches = leaf, (leaf, REACH)
+        self.joins = self.run_joins = 0
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.bytes_of = [b""] * (max(table.values()) + 1)
         for token, rank in table.items():
@@ -70,20 +89,19 @@ class Codec:
     def _join(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
         """Tokens of text[a:b] from those of text[a:m] and text[m:b].
 
-        The window around m grows until it starts and ends at cuts, or at the
-        ends of the text. No match crosses a cut, and both halves see the
-        characters on either side of theirs, so the tokens outside are those of
-        the whole text. If a leaf's length has no cut, the join is tried inside
-        the run of characters around m.
+        The window around m grows on both sides to a cut or to the end of the
+        text. Where it gets long without one, the join is tried inside the run
+        of characters around m.
         """
-        start, end, near = m - 1, m + 1, self.leaf
+        self.joins += 1
+        start, end = m - 1, m + 1
         while start > a and not is_cut(text[start - 1], text[start]):
             start -= 1
-            if m - start == near and (joined := self._join_run(text, a, m, b, left, right)) is not None:
+            if m - start in self.reaches and (joined := self._join_run(text, a, m, b, left, right, m - start)) is not None:
                 return joined
         while end < b and not is_cut(text[end - 1], text[end]):
             end += 1
-            if end - m == near and (joined := self._join_run(text, a, m, b, left, right)) is not None:
+            if end - m in self.reaches and (joined := self._join_run(text, a, m, b, left, right, end - m)) is not None:
                 return joined
         keep_left = self._tokens_for(left, len(text[start:m].encode()), True)
         keep_right = self._tokens_for(right, len(text[m:end].encode()), False)
@@ -99,15 +117,13 @@ class Codec:
             n += 1
         return n
 
-    def _join_run(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int] | None:
+    def _join_run(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int], reach: int) -> list[int] | None:
         """Join inside one long match, where all characters around m are of one class.
 
-        Byte-pair tokens are those of the whole if each two neighbours, taken
-        alone, stay as they are. So the last k tokens on the left and the first
-        k on the right are encoded anew for growing k, until the new tokens'
-        ends agree with their old neighbours outside. None: no such window.
+        The last k tokens on the left and the first k on the right are encoded
+        anew for growing k, until the new tokens' ends agree with their old
+        neighbours outside. None: no such window within reach.
         """
-        reach = self.leaf
         if m - a < reach or b - m < reach or not RUN.fullmatch(text, m - reach, m + reach):
             return None
         piece, of = self.encoding._encode_single_piece, self.bytes_of
@@ -119,13 +135,14 @@ class Codec:
             middle = piece(b"".join(of[t] for t in l_part + r_part))
             before, after = left[-k - 1], right[k]
             if piece(of[before] + of[middle[0]]) == [before, middle[0]] and piece(of[middle[-1]] + of[after]) == [middle[-1], after]:
+                self.run_joins += 1
                 return left[:-k] + middle + right[k:]
             k *= 2
 
     def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """Bytes of the tokens, concatenated up the tree."""
         n = len(ids)
-        if n <= self.leaf:
+        if n <= 16 * self.leaf:
             of = self.bytes_of
             return b"".join([of[i] for i in ids])
         return self.decode(ids[: n // 2]) + self.decode(ids[n // 2 :])
@@ -168,4 +185,5 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every whole text of `documents`; odd rows as in encode_documents."""
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
