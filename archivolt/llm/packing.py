@@ -109,7 +109,7 @@ class BestFit:
 
     def __init__(self, limit: int, most: int):
         self.limit, self.most = limit, most
-        self.bits, self.open, self.count = 0, {}, 0
+        self.bits, self.open, self.count, self.closed = 0, {}, 0, 0
 
     def place(self, size: int) -> tuple[int, int] | tuple[None, int]:
         """(bin, offset); a bin of None is a new one, at offset 0."""
@@ -133,36 +133,42 @@ class BestFit:
             return
         if self.count >= self.most:
             self._take((self.bits & -self.bits).bit_length() - 1)
+            self.closed += 1
         self.open.setdefault(free, []).append(bin_)
         self.bits |= 1 << free
         self.count += 1
 
 
-def pack(sizes: list[int], limit: int, most: int) -> tuple[list[int], list[int]]:
+class Packer:
+    """Bins and offsets of items as they arrive, `ahead` of them at a time and there the longest first."""
+
+    def __init__(self, limit: int, most: int, ahead: int = 1, first: int = 0):
+        self.fit, self.ahead, self.new = BestFit(limit, most), ahead, first
+
+    def place(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        for start in range(0, len(sizes), self.ahead):
+            for i in (start + np.argsort(-sizes[start : start + self.ahead], kind="stable")).tolist():
+                size = int(sizes[i])
+                bin_, offset = self.fit.place(size)
+                if bin_ is None:
+                    bin_, self.new = self.new, self.new + 1
+                self.fit.put(bin_, self.fit.limit - offset - size)
+                bins[i], offsets[i] = bin_, offset
+        return bins, offsets
+
+
+def pack(sizes: list[int], limit: int, most: int, ahead: int = 1) -> tuple[list[int], list[int]]:
     """Bins and offsets of items in the order given."""
-    fit, bins, offsets, new = BestFit(limit, most), [], [], 0
-    for size in sizes:
-        bin_, offset = fit.place(size)
-        if bin_ is None:
-            bin_, new = new, new + 1
-        fit.put(bin_, limit - offset - size)
-        bins.append(bin_)
-        offsets.append(offset)
-    return bins, offsets
-
-
-def _pack(limit: int, most: int):
+    bins, offsets = Packer(limit, most, ahead).place(np.asarray(sizes, dtype=np.int64))
+    return bins.tolist(), offsets.tolist()
+
+
+def _pack(limit: int, most: int, ahead: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fit, new = BestFit(limit, most), TaskContext.get().partitionId() << 40
+        packer = Packer(limit, most, ahead, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            bins, offsets = [], []
-            for size in batch.column("length").to_pylist():
-                bin_, offset = fit.place(size)
-                if bin_ is None:
-                    bin_, new = new, new + 1
-                fit.put(bin_, limit - offset - size)
-                bins.append(bin_)
-                offsets.append(offset)
+            bins, offsets = packer.place(np.asarray(batch.column("length")))
             yield pa.record_batch([*batch.columns, pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
 
     return run
@@ -171,23 +177,27 @@ def _pack(limit: int, most: int):
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pack_documents(docs: DataFrame, path: str, limit: int = 1024, open_bins: int = 65536, task_pieces: int = 50_000) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, limit: int = 1024, open_bins: int = 512, ahead: int = 2048, task_pieces: int = 50_000) -> DataFrame:
     """Cut documents into pieces of at most limit tokens and pack these into sequences.
 
     A document is its ids and then id 2, so null and empty texts are one token.
     Longer documents are cut into full pieces, which fill sequences alone, and
     a first piece of the rest. Pieces are dealt by a hash to tasks of about
-    task_pieces and met there longest first, so the result does not depend on
-    the input's order, and a task run again gives the same sequences. Repeated
-    rows are packed each on its own; a null doc_id stays null; other columns
-    are not read. An empty table gives an empty result.
+    task_pieces and arrive there in the order of that hash, so the result does
+    not depend on the input's order, and a task run again gives the same
+    sequences. A task looks at `ahead` pieces at a time, takes the longest
+    first, and keeps at most open_bins sequences open: where all are and none
+    has room, the fullest closes. Repeated rows are packed each on its own; a
+    null doc_id stays null; other columns are not read. An empty table gives an
+    empty result.
     """
     pieces = scratch(docs.select("doc_id", "text").mapInArrow(_pieces(path, limit), PIECES), "pieces")
     tasks = blocks(pieces.count(), task_pieces)
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = pieces.repartition(tasks, order).sortWithinPartitions(F.desc("length"), order, *pieces.columns)
-    return dealt.mapInArrow(_pack(limit, open_bins), PIECES + ", sequence_id long, offset long")
+    dealt = pieces.repartition(tasks, order).sortWithinPartitions(order, *pieces.columns)
+    return dealt.mapInArrow(_pack(limit, open_bins, ahead), PIECES + ", sequence_id long, offset long")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents` packed into sequences of 1024 tokens; odd rows as in pack_documents."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

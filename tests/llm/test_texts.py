@@ -38,6 +38,19 @@ def test_tree_encoding_is_the_librarys(leaf):
         assert codec.decode(ids) == t.encode()
 
 
+def test_joins_make_the_tokens_of_nearly_all_texts(spark):
+    """At the production leaf: texts of a sentence or more are joined at seams, and long runs inside a match."""
+    codec = bpe.Codec(RANKS)
+    some = [t for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if t][:400]
+    joined = 0
+    for t in [*some, "文" * 300 + "化" * 300, "ab" * 900]:
+        before = codec.joins
+        assert codec.encode(t) == codec.encoding.encode_ordinary(t)
+        joined += codec.joins > before
+        assert codec.joins - before >= len(t) // 48 - 1
+    assert joined > 0.95 * len(some) and codec.run_joins > 5
+
+
 @pytest.mark.parametrize("run", ["a" * 40_000, "ab" * 20_000 + " x", "中文" * 10_000, "7" * 20_000, "-=" * 10_000, " " * 9_000])
 def test_long_runs_are_joined_inside(run):
     codec = bpe.Codec(RANKS)
@@ -97,6 +110,18 @@ def test_packing_is_tight_and_bounded():
     assert packing.pack([1024, 1, 1023], 1024, 4) == ([0, 1, 1], [0, 0, 1])
 
 
+def test_open_bins_close_in_production():
+    """The bound is far below a task's pieces and binds, at little cost."""
+    r = np.random.default_rng(1)
+    sizes = np.minimum(1024, r.exponential(500, 30_000).astype(int) + 1)
+    packer = packing.Packer(1024, 512, 2048)
+    bins, offsets = packer.place(sizes)
+    assert packer.fit.closed > 100 and packer.fit.count <= 512
+    assert bins.max() + 1 <= 1.01 * sizes.sum() / 1024
+    used = np.bincount(bins, sizes)
+    assert used.max() <= 1024 and (offsets + sizes <= 1024).all()
+
+
 def base(text):
     words = [w for w in (text or "").encode().translate(licenses.WORDS).decode().split(" ") if w]
     at = [(i, label) for label, p in licenses.BASE.items() for k in [p.split()] for i in range(len(words)) if words[i : i + len(k)] == k]
