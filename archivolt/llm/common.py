@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (a local session, as in tests) a
-    temporary folder of this machine takes its place.
+    Only where that setting is absent in a local session, as in tests, a
+    temporary folder of this machine takes its place; on a cluster that is an
+    error, as executors could not read each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(shared_folder, "local"):
         shared_folder.local = "file://" + tempfile.mkdtemp(prefix="archivolt-")
     return shared_folder.local
@@ -56,9 +59,25 @@ def drop(*tables: DataFrame) -> None:
     Spark frees shuffle files once the driver has collected their handles as
     garbage, which a large driver heap does late; so it is asked to do it here.
     """
+    discard(*tables)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing reads any more."""
     for df in tables:
         _remove(df.sparkSession, df.scratch_path)
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added to those that are taken."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

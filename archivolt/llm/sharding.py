@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from archivolt.llm.common import scratch, unused
+
 CELLS = 1 << 16
 
 
@@ -84,7 +86,7 @@ def place(counts: dict[int, int], shards: int, virtual_nodes: int, cells: int =
     return rows
 
 
-def bounded_ring(df: DataFrame, key: str, shards: int = 8, virtual_nodes: int = 128, cells: int = CELLS) -> DataFrame:
+def bounded_ring(df: DataFrame, key: str, shards: int = 8, virtual_nodes: int = 128, cells: int = CELLS, hot_rows: int = 200_000) -> DataFrame:
     """Add shard and slot to df by consistent hashing with bounded loads.
 
     Shard sizes differ by one row at most (the law `rows`). Only the count of
@@ -92,36 +94,72 @@ def bounded_ring(df: DataFrame, key: str, shards: int = 8, virtual_nodes: int =
     driver and goes back as a table for a broadcast join; rows are numbered
     within their cell, so the work spreads over all cells. Repeated keys fall
     into one cell: there they are told apart by all their columns' hash, and
-    equal rows in any order. Rows with a null key share one cell. An empty df
-    gives an empty result. df's own columns called shard or slot are replaced; none may be
-    called __ring_ and so on.
+    equal rows in any order. Rows with a null key share one cell. A cell of more
+    than hot_rows rows and four times the average, as one key or null may make
+    it, is numbered in parts (`_parts`). An empty df gives an empty result.
+    df's own columns called shard or slot are replaced.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    order = [F.col(key), F.xxhash64(*[F.col(c) for c in df.columns])]
-    placed = df.withColumn("__ring_cell", ring_cell(key, cells))
-    counts = {r[0]: r[1] for r in placed.groupBy("__ring_cell").count().collect()}
+    cell, low, high, first, at, start, row, part, salt = unused(df.columns, *(f"__ring_{x}" for x in ("cell", "from", "to", "slot", "at", "start", "row", "part", "salt")))
+    content = F.xxhash64(*[F.col(c) for c in df.columns])
+    placed = df.withColumn(cell, ring_cell(key, cells))
+    counts = {r[0]: r[1] for r in placed.groupBy(cell).count().collect()}
+    limit = max(hot_rows, 4 * sum(counts.values()) // cells)
+    hot = [(c, -(-n // limit)) for c, n in counts.items() if n > limit]
+    within = [cell]
+    if hot:
+        placed, within = _parts(placed, hot, limit, content, cell, part, salt, row, start), [cell, part, salt]
     schema = T.StructType(
-        [T.StructField("__ring_cell", T.IntegerType())]
-        + [T.StructField(c, T.LongType()) for c in ("__ring_from", "__ring_to")]
-        + [T.StructField("shard", T.IntegerType()), T.StructField("__ring_slot", T.LongType())]
+        [T.StructField(cell, T.IntegerType())]
+        + [T.StructField(c, T.LongType()) for c in (low, high)]
+        + [T.StructField("shard", T.IntegerType()), T.StructField(first, T.LongType())]
     )
-    parts = spark.createDataFrame(place(counts, shards, virtual_nodes, cells), schema)
-    w = Window.partitionBy("__ring_cell").orderBy(*order)
-    numbered = placed.withColumn("__ring_at", F.row_number().over(w).cast("long") - 1)
-    inside = (F.col("__ring_at") >= F.col("__ring_from")) & (F.col("__ring_at") < F.col("__ring_to"))
-    joined = numbered.join(F.broadcast(parts), "__ring_cell").where(inside)
-    return joined.withColumn("slot", F.col("__ring_slot") + F.col("__ring_at") - F.col("__ring_from")).drop("__ring_cell", "__ring_at", "__ring_from", "__ring_to", "__ring_slot")
+    shares = spark.createDataFrame(place(counts, shards, virtual_nodes, cells), schema)
+    number = F.row_number().over(Window.partitionBy(*within).orderBy(F.col(key), content)).cast("long") - 1
+    numbered = placed.withColumn(at, number + F.col(start) if hot else number)
+    inside = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
+    joined = numbered.join(F.broadcast(shares), cell).where(inside)
+    return joined.select(*df.columns, "shard", (F.col(first) + F.col(at) - F.col(low)).alias("slot"))
+
+
+def _parts(placed: DataFrame, hot: list[tuple[int, int]], limit: int, content: Column, cell: str, part: str, salt: str, row: str, start: str) -> DataFrame:
+    """Rows with the part of their cell, a salt in it, and the number of rows in the parts before.
+
+    Rows of a hot cell are dealt to parts by their content. A part that is
+    still too large consists of equal rows but for a few; it is dealt further by
+    a number of the row, which a scratch table fixes. There are at most
+    cells / 4 hot cells, and as many parts and salts again, so the tables of
+    them are bounded however large the input is; no task numbers more than
+    about four times the limit.
+    """
+    spark = placed.sparkSession
+    fixed = scratch(placed.withColumn(row, F.monotonically_increasing_id()), "ring")
+    parts = spark.createDataFrame(hot, f"`{cell}` int, `{part}` long")
+    dealt = fixed.join(F.broadcast(parts), cell, "left").withColumn(part, F.coalesce(F.pmod(content, F.col(part)), F.lit(0)))
+    is_hot = F.col(cell).isin([c for c, _ in hot]) if len(hot) < 100 else F.lit(True)
+    large = dealt.where(is_hot).groupBy(cell, part).count().where(F.col("count") > 4 * limit).collect()
+    salts = spark.createDataFrame([(c, p, -(-n // limit)) for c, p, n in large], f"`{cell}` int, `{part}` long, `{salt}` long")
+    dealt = dealt.join(F.broadcast(salts), [cell, part], "left").withColumn(salt, F.coalesce(F.pmod(F.col(row), F.col(salt)), F.lit(0)))
+    sizes = dealt.join(F.broadcast(parts.select(cell)), cell, "left_semi").groupBy(cell, part, salt).count().orderBy(cell, part, salt).collect()
+    rows, last, before = [], None, 0
+    for c, p, s, n in sizes:
+        before = before if c == last else 0
+        rows.append((c, p, s, before))
+        last, before = c, before + n
+    starts = spark.createDataFrame(rows, f"`{cell}` int, `{part}` long, `{salt}` long, `{start}` long")
+    return dealt.join(F.broadcast(starts), [cell, part, salt], "left").withColumn(start, F.coalesce(start, F.lit(0))).drop(row)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, virtual_nodes: int = 128) -> DataFrame:
-    """Shard documents by doc_id; null texts have no bytes, and size 1."""
+    """Shard documents by doc_id; null texts have no bytes, and size 1. Other columns are not read."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     return bounded_ring(rows, "doc_id", shards, virtual_nodes)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents` in eight shards by the law `rows`; null ids share a ring cell, an empty table gives none."""
     sharded = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return sharded.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
