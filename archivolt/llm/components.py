@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import scratch
+from archivolt.llm.common import discard, scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     the label of its label, so paths shrink by half at least. Labels are a
     table in the shared folder after every round, both as the cut of the
     lineage and so that joins on a frequent node read plain shuffles, which
-    adaptive execution splits. Null ends, loops and repeated edges do no harm.
+    adaptive execution splits; those of earlier rounds are removed. Null ends,
+    loops and repeated edges do no harm; no edges give an empty result.
     """
     pairs = edges.where("u is not null and v is not null and u <> v").distinct()
     pairs = scratch(pairs.select("u", "v").union(pairs.select("v", "u")), "edges")
@@ -26,6 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = scratch(lower.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
         moved = new.join(label.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
+        discard(lower, label)
         label = new
         if not moved:
+            discard(pairs)
             return label

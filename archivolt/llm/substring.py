@@ -243,6 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, with_text: bool = False, c
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeated 35-word windows of `documents` cover, removed; odd rows as in remove_repeats."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
