@@ -51,7 +51,7 @@ class Model:
     @staticmethod
     def fit(languages: list[str], counts: np.ndarray) -> Model:
         """From counts (language x bucket), with half a count added everywhere."""
-        p = counts + 0.5
+        p = counts + np.float32(0.5)
         return Model(languages, np.ascontiguousarray((p / p.sum(axis=1, keepdims=True)).T.astype(np.float32)))
 
 
@@ -109,16 +109,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], names=["lang", "bucket", "n"])
 
 
-def train(rows: DataFrame, sample: int = 2000, most_languages: int = 200) -> Model:
+def train(rows: DataFrame, sample: int = 2000) -> Model:
     """Fit to labelled rows (doc_id, text, lang).
 
     The fit is on a sample of about `sample` rows of each language, chosen by a
-    hash of doc_id; a language of fewer rows gives all of them. The sample and
-    the table of n-gram counts that comes to the driver are bounded by
-    `sample`, `most_languages` and the number of buckets, whatever the input.
-    No labelled rows give a model without languages, which predicts nothing.
+    hash of doc_id; a language of fewer rows gives all of them. Every language
+    with a label is learned. The table of n-gram counts that comes to the driver
+    and the model have a row for each language and a column for each bucket,
+    whatever the number of documents. No labelled rows give a model without
+    languages, which predicts nothing.
     """
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
@@ -126,7 +127,7 @@ def train(rows: DataFrame, sample: int = 2000, most_languages: int = 200) -> Mod
     few = rows.where(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     got = few.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes)
-    counts = np.zeros((len(languages), BUCKETS))
+    counts = np.zeros((len(languages), BUCKETS), np.float32)
     counts[got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64), got["bucket"].to_numpy()] = got["n"].to_numpy()
     return Model.fit(languages, counts)
 
@@ -186,6 +187,7 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of `documents`, learned from the rows not held out; odd rows as in identify."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, train(labelled(docs)))
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
