@@ -63,7 +63,7 @@ class Engine:
         self.require(user, "query")
         hits = self.search(queries, user, k=candidates).join(queries.select("query_id", F.col("query_text").alias("_asked")), "query_id")
         scored = retrieval.rerank(hits.withColumn("_logit", rerank_logits("_asked", "content", self.reranker)), "_logit", k)
-        kept = retrieval.evidence(scored)
+        kept = retrieval.ranked_again(retrieval.evidence(scored))
         names = self.tables["documents"].select("document_id", F.col("original_name").alias("document_name"))
         full = kept.join(self.tables["chunks"].select("chunk_id", "document_id", "page_numbers", "edad"), "chunk_id").join(names, "document_id")
         context = retrieval.pack_context(full)

@@ -22,13 +22,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct trigrams of the lower-cased words, padded with two spaces before and one after."""
-    words = F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda w: w != "")
-    grams = F.transform(
+    """Distinct trigrams of the lower-cased words, padded with two spaces before and one after.
+
+    One pattern takes the trigrams of all words, which three spaces part, so
+    that none reaches from one word into the next. It steps by UTF-16 units, so
+    texts with letters beyond those take them word by word.
+    """
+    low = F.lower(c)
+    parted = F.concat(F.lit("  "), F.regexp_replace(low, r"(?U)\W+", "   "), F.lit(" "))
+    at_once = F.regexp_extract_all(parted, F.lit("(?=(  [^ ]| [^ ][^ ]| [^ ] |[^ ]{3}|[^ ]{2} ))"), F.lit(1))
+    words = F.filter(F.split(low, r"(?U)\W+"), lambda w: w != "")
+    each = F.transform(
         words,
         lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))),
     )
-    return F.array_distinct(F.flatten(grams))
+    return F.array_distinct(F.when(low.rlike(r"[\x{10000}-\x{10FFFF}]"), F.flatten(each)).otherwise(at_once))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

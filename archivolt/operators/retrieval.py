@@ -38,12 +38,13 @@ def vector_leg(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def lexical_leg(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Chunks that contain any query term, by trigram similarity to the query.
 
-    chunks: chunk_id, content; queries: query_id, query_text.
+    chunks: chunk_id, content; queries: query_id, query_text. Trigrams are taken
+    only of chunks that hold a term.
     """
     q = queries.select("query_id", text.query_terms(F.lower("query_text")).alias("terms"), vector.trigrams(F.col("query_text")).alias("_q"))
-    c = chunks.select("chunk_id", F.lower("content").alias("_low"), vector.trigrams(F.col("content")).alias("_c"))
-    met = meet(c, q).where(F.exists("terms", lambda t: F.contains(F.col("_low"), t)))
-    scored = met.select("query_id", "chunk_id", vector.trigram_similarity(F.col("_c"), F.col("_q")).alias("similarity"))
+    low = chunks.select("chunk_id", F.lower("content").alias("_low"))
+    met = meet(low, q).where(F.exists("terms", lambda t: F.contains(F.col("_low"), t)))
+    scored = met.select("query_id", "chunk_id", vector.trigram_similarity(vector.trigrams(F.col("_low")), F.col("_q")).alias("similarity"))
     return top(scored, k, F.desc("similarity"), F.asc("chunk_id"))
 
 
@@ -108,6 +109,20 @@ def expand_term(terms: DataFrame, edges: DataFrame) -> DataFrame:
     return group.join(forms, "canonical").groupBy("term").agg(F.sort_array(F.collect_set(text.normal_term(F.col("form")))).alias("forms"))
 
 
+def expand_by_groups(queries: DataFrame, edges: DataFrame, least: int = 4) -> DataFrame:
+    """Other forms of each synonym group of which the whole query is a form, or that has a form of `least` letters in it.
+
+    Forms are compared in their normal form. Returns query_id, canonical and
+    form, for each form whose normal form is not the query itself.
+    """
+    form = F.col("form")
+    forms = edges.select("canonical", F.explode(F.array("canonical", "synonym")).alias("form")).distinct().withColumn("_f", text.normal_term(form))
+    asked = queries.select("query_id", text.normal_term(F.col("query_text")).alias("_n"))
+    inside = (F.length("_f") >= least) & F.contains("_n", "_f")
+    hit = meet(asked, forms.select("canonical", "_f").distinct()).where((F.col("_n") == F.col("_f")) | inside).select("query_id", "_n", "canonical").distinct()
+    return hit.join(forms, "canonical").where("_f <> _n").select("query_id", "canonical", "form")
+
+
 def synonym_groups(edges: DataFrame) -> DataFrame:
     """Per canonical: the category of its first row and its distinct variants in first-seen order."""
     norm = text.normal_term(F.col("synonym"))
@@ -151,6 +166,11 @@ def evidence(hits: DataFrame, least: float = MIN_EVIDENCE) -> DataFrame:
     return hits.withColumn("evidence", F.coalesce("rerank_score", F.col("score") * 10)).where(F.col("evidence") >= least)
 
 
+def ranked_again(hits: DataFrame) -> DataFrame:
+    """Ranks without gaps, in the order of those there are: the numbers that answers cite."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
+
+
 def abstentions(queries: DataFrame, kept: DataFrame, least: int = MIN_SOURCES) -> DataFrame:
     """Per query the number of supported sources, and whether to abstain."""
     n = kept.groupBy("query_id").agg(F.count("*").alias("n"))

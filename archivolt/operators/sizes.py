@@ -7,17 +7,24 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_ROWS, MOST_BYTES = 10_000, 16 << 20
 
-def meet(rows: DataFrame, few: DataFrame, most: int = 10_000) -> DataFrame:
+
+def meet(rows: DataFrame, few: DataFrame) -> DataFrame:
     """Every row with every row of a stated set, such as questions or a dictionary.
 
-    A set of up to `most` rows is broadcast. A larger one is dealt into blocks
-    of about that size, and each block meets the rows in tasks of its own, so
-    nothing larger than a block is held anywhere.
+    A set of up to MOST_ROWS rows and MOST_BYTES is broadcast; one job counts
+    both. A larger one is dealt into blocks of about that size, and each block
+    meets the rows in tasks of its own, so nothing larger than a block is held
+    anywhere.
     """
-    if few.limit(most + 1).count() <= most:
+    n, size = few.select(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    parts = max(math.ceil(n / MOST_ROWS), math.ceil(size / MOST_BYTES))
+    if parts <= 1:
         return rows.crossJoin(F.broadcast(few))
-    parts = math.ceil(few.count() / most)
-    right = few.withColumn("__block", F.pmod(F.xxhash64(*few.columns), F.lit(parts)))
-    left = rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    return left.join(right, "__block").drop("__block")
+    block = "__block"
+    while block in rows.columns or block in few.columns:
+        block += "_"
+    right = few.withColumn(block, F.pmod(F.xxhash64(*few.columns), F.lit(parts)))
+    left = rows.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return left.join(right, block).drop(block)

@@ -75,9 +75,9 @@ def delete_cascade(t):
     return out
 
 
-@query("SELECT chunk_id, content FROM (SELECT chunk_id, CASE WHEN document_id = 3 AND page = 1 AND instr(content, 'de') > 0 THEN substring(content, 1, instr(content, 'de') - 1) || 'DE!' || substring(content, instr(content, 'de') + 2) ELSE content END AS content FROM chunks WHERE document_id < 20)", "chunks")
+@query("SELECT chunk_id, content FROM (SELECT chunk_id, CASE WHEN document_id = 3 AND page = 1 AND instr(content, 'de') > 0 THEN substring(content, 1, instr(content, 'de') - 1) || 'DE!' || substring(content, instr(content, 'de') + 2) ELSE content END AS content FROM chunks)", "chunks")
 def word_correction(t):
-    return l.correct_word(t.chunks.where("document_id < 20"), 3, 1, "de", "DE!").select("chunk_id", "content")
+    return l.correct_word(t.chunks, 3, 1, "de", "DE!").select("chunk_id", "content")
 
 
 @query("SELECT chunk_id, document_id, 'old' AS version FROM chunks WHERE document_id % 3 <> 0 UNION ALL SELECT document_id, document_id, 'new' FROM docs WHERE document_id % 3 = 0", "chunks", "docs")
@@ -155,10 +155,10 @@ def patient_patch(t):
     return l.patch_patient(d, patch).select("document_id", "edad", "manual")
 
 
-@query("SELECT chunk_id, CASE WHEN chunk_id % 4 = 0 AND status = 'proposed' THEN 'approved' ELSE status END AS status FROM (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'rejected' ELSE 'proposed' END AS status FROM documents WHERE doc_id = 8 OR doc_id = 9)")
+@query("SELECT chunk_id, CASE WHEN chunk_id = 8 AND status = 'proposed' THEN 'approved' ELSE status END AS status, CASE WHEN chunk_id = 8 AND status = 'proposed' THEN 'ok' END AS comment FROM (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'rejected' ELSE 'proposed' END AS status FROM documents)")
 def proposal_review(t):
-    p = t.raw("documents").where("doc_id in (8, 9)").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 3 == 0, "rejected").otherwise("proposed").alias("status"), F.lit(None).cast("int").alias("reviewer"), F.lit(None).cast("string").alias("comment"))
-    return l.review(p, 8, "approved", 1, "ok").select("chunk_id", "status")
+    p = t.raw("documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 3 == 0, "rejected").otherwise("proposed").alias("status"), F.lit(None).cast("int").alias("reviewer"), F.lit(None).cast("string").alias("comment"))
+    return l.review(l.review(p, 8, "approved", 1, "ok"), 9, "approved", 1, "late").select("chunk_id", "status", "comment")
 
 
 @query("SELECT conversation_id, turn, CASE WHEN conversation_id = 1 AND turn = 1 THEN 'useful' ELSE feedback END AS feedback FROM messages", "messages")

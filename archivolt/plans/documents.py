@@ -26,9 +26,29 @@ def pii_mask(t):
     return t.samples.select("id", pii.mask(F.col("text")).alias("masked"))
 
 
-@query(f"SELECT document_id, sha256({MASKED}) AS masked FROM docs WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')", "docs")
+# The kinds of personal data with Unicode classes spelled out: W a word character, N any other, Z white space, D a digit.
+# An end of a word is the next character or the text's end, which the replacement puts back; as two findings may share
+# it, each is replaced twice. An address of mail begins and ends with a word character, so no boundary is needed.
+W, N, Z, D = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}", r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]", r"\s\x0B\x1C-\x1F\x85\p{Z}", r"\p{Nd}"
+WIDE_PII = [
+    (rf"(^|{N})(?:{D}{{8}}[A-J]|[XYZ]{D}{{7}}[A-Z])($|{N})", r"\1[DNI]\2"),
+    (rf"(?:\+34[{Z}-]?)?[6789]{D}{{2}}[{Z}.-]{D}{{3}}[{Z}.-]{D}{{3}}($|{N})", r"[TELEFONO]\1"),
+    (rf"[{W}][{W}.+-]*@[{W}-]+\.[{W}.-]*[{W}]", "[EMAIL]"),
+    (rf"(^|{N})(?:H[{Z}]?\.?C\.?|HC)[{Z}]?{D}{{4,}}($|{N})", r"\1[HISTORIA_CLINICA]\2"),
+    (rf"([{W}]) Expediente [{Z}]?{D}{{4,}}($|{N})", r"\1[HISTORIA_CLINICA]\2"),
+    (rf"(^|{N})(?:{D}[ -]*?){{12,15}}{D}($|{N})", r"\1[TARJETA]\2"),
+    (rf"nacid[oa](?: el)?[{Z}]*:?[{Z}]*{D}{{1,2}}[/-]{D}{{1,2}}[/-]{D}{{2,4}}($|{N})", r"[FECHA_NACIMIENTO]\1"),
+    (rf"(^|{N})(?:C/|Calle|Av\.?|Avenida|Paseo|Plaza)[{Z}]+[A-ZÁÉÍÓÚÑ][{W}]*(?:[{Z}]+[A-ZÁÉÍÓÚÑ][{W}]*)*[{Z}]*,?[{Z}]*(?:n[º°][{Z}]*)?{D}+($|{N})", r"\1[DIRECCION]\2"),
+]
+WIDE_MASKED = "text"
+for _p, _label in WIDE_PII:
+    for _ in range(2):
+        WIDE_MASKED = f"regexp_replace({WIDE_MASKED}, '{_p}', '{_label}', 'g')"
+
+
+@query(f"SELECT document_id, sha256({WIDE_MASKED}) AS masked FROM docs", "docs")
 def pii_mask_documents(t):
-    return t.documents.where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("document_id", F.sha2(pii.mask(F.col("text")), 256).alias("masked"))
+    return t.documents.select("document_id", F.sha2(pii.mask(F.col("text")), 256).alias("masked"))
 
 
 @query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT id, '{kind}' AS kind, '{label}' AS label, unnest(regexp_extract_all(text, '{_re2(p)}')) AS match FROM samples" for kind, p, label in fixed.PII) + ")", "samples")
@@ -177,6 +197,6 @@ def empty_pages(t):
     return t.documents.select("document_id", ocr.is_empty_page(F.col("text")).alias("empty"))
 
 
-@query("SELECT document_id, regexp_matches(lower(text), 'no (se encuentra|encuentro|dispongo|tengo informaci|hay informaci|puedo (proporcionar|responder))') AS refusal FROM docs", "docs")
+@query("SELECT document_id, regexp_matches(lower(text), '" + fixed.REFUSAL + "') AS refusal FROM docs", "docs")
 def refusal_flags(t):
     return t.documents.select("document_id", text.is_refusal(F.col("text")).alias("refusal"))

@@ -115,6 +115,14 @@ def synonym_groups(t):
     return r.synonym_groups(t.synonyms).select("canonical", "category", F.array_join("variants", ",").alias("variants"))
 
 
+@query(f""", fm AS (SELECT canonical, canonical AS form FROM synonyms UNION SELECT canonical, synonym FROM synonyms),
+asked AS (SELECT query_id, {NORM.format(c='query_text')} AS n FROM qs),
+hit AS (SELECT DISTINCT query_id, n, canonical FROM asked JOIN fm ON n = {NORM.format(c='form')} OR (length({NORM.format(c='form')}) >= 4 AND contains(n, {NORM.format(c='form')})))
+SELECT query_id, canonical, form FROM hit JOIN fm USING (canonical) WHERE {NORM.format(c='form')} <> n""", "qs", "synonyms")
+def synonym_expand_groups(t):
+    return r.expand_by_groups(t.queries, t.synonyms)
+
+
 @query("SELECT document_id, count(*) AS chunks FROM chunks c WHERE visibility <> 'restricted' OR document_id IN (SELECT document_id FROM acl WHERE role = 'viewer') GROUP BY document_id", "chunks", "acl")
 def acl_visible_chunks(t):
     return r.visible(t.chunks, t.acl, "viewer").groupBy("document_id").agg(F.count("*").alias("chunks"))
@@ -170,7 +178,7 @@ def snippet(t):
     return t.chunks.select("chunk_id", text.snippet(F.col("content"), terms).alias("snippet"))
 
 
-PACK = _hybrid_sql(10) + """, b AS (SELECT query_id, rank, '[' || (rank + 1) || '] Documento: ' || original_name || ' | Paginas: [' || 1 || ']' || CASE WHEN o.chunk_id % 3 = 0 THEN ' | Edad: ' || (o.chunk_id % 100) || ' anios' ELSE '' END || chr(10) || substring(content, 1, 900) AS block
+PACK = _hybrid_sql(10) + """, b AS (SELECT query_id, rank, '[' || (rank + 1) || '] Documento: ' || original_name || ' | Paginas: [' || 1 || ']' || CASE WHEN o.chunk_id % 3 = 0 THEN ' | Edad: ' || (o.chunk_id % 100) || ' anios' ELSE '' END || chr(10) || content AS block
   FROM o JOIN docs ON docs.document_id = o.chunk_id),
 c AS (SELECT *, CAST(floor(length(block) / 2.2) AS INTEGER) AS tokens FROM b), d AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM c),
 p AS (SELECT query_id, rank, CASE WHEN total <= 1333 THEN block WHEN total - tokens <= 1333 AND 1333 - (total - tokens) > 30 THEN substring(block, 1, CAST(floor((1333 - (total - tokens)) * 2.2) AS INTEGER)) || '...' END AS part FROM d)
@@ -181,7 +189,7 @@ SELECT query_id, string_agg(part, chr(10) || chr(10) ORDER BY rank) AS context F
 def context_pack(t):
     hits = r.hybrid(t.vectors, t.query_vectors, 10)
     named = hits.join(t.documents.select(F.col("document_id").alias("chunk_id"), F.col("original_name").alias("document_name")), "chunk_id")
-    ready = named.withColumns({"content": F.substring("content", 1, 900), "page_numbers": F.array(F.lit(1)), "edad": F.when(F.col("chunk_id") % 3 == 0, F.col("chunk_id") % 100)})
+    ready = named.withColumns({"page_numbers": F.array(F.lit(1)), "edad": F.when(F.col("chunk_id") % 3 == 0, F.col("chunk_id") % 100)})
     return r.pack_context(ready)
 
 

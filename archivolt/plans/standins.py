@@ -23,6 +23,9 @@ BOXES = """(1, 'License', 500, 100, 362, 40, 180, 1262, 1947), (2, 'word', 10, 2
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
@@ -83,9 +86,13 @@ class Tables:
 
     @property
     def chunk_keywords(self) -> DataFrame:
+        """The stored hits of the catalogue: tagged once for a session and a folder, as ingestion would."""
         from archivolt.operators import knowledge
 
-        return knowledge.match_keywords(self.chunks, self.keywords)
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _STORED:
+            _STORED[key] = knowledge.match_keywords(self.chunks, self.keywords).persist()
+        return _STORED[key]
 
     @property
     def acl(self) -> DataFrame:

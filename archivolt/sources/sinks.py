@@ -18,7 +18,7 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, ArrayType | MapType | StructType) else F.col(f.name) for f in df.schema])
 
 
-def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     out = flat(df)
     (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).csv(path)
 
