@@ -118,16 +118,13 @@ class Index:
         for t, keys in enumerate(self.keys):
             probe = functions.probes(t, q)
             ranges.append((np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")))
-        seen = np.full(len(self.ids), -1, dtype=np.int32)
+        met = np.zeros(len(self.ids), dtype=bool)
         for i in range(len(q)):
-            met = [np.zeros(0, np.int32)]
+            met[:] = False
             for (low, high), order in zip(ranges, self.order, strict=True):
-                for j in np.flatnonzero(low[i] < high[i]).tolist():
-                    rows = order[low[i, j] : high[i, j]]
-                    rows = rows[seen[rows] != i]
-                    seen[rows] = i
-                    met.append(rows)
-            yield np.concatenate(met)
+                for a, b in {(a, b) for a, b in zip(low[i].tolist(), high[i].tolist(), strict=True) if a < b}:
+                    met[order[a:b]] = True
+            yield np.flatnonzero(met)
 
 
 def rank(index: Index, q: np.ndarray, own: int, met: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
