@@ -21,7 +21,9 @@ WORD = re.compile(r"[^\W\d_]+")
 WIDTH = 1 << 18
 WINDOW = 16
 KEPT_WORDS = 150_000
-MOST_FEATURES = 9  # of a word
+FORMS = 1 << 22
+MOST_FORMS = 6  # of a word
+MOST_FEATURES = 9
 MOST = 30.0
 
 
@@ -108,7 +110,23 @@ def tag(scorer: Scorer, text: str | None, least: float = 0.5) -> tuple[float, li
     return score, spans
 
 
+class Vocabulary(dict):
+    """Numbers of words; 0 is no word and fills up windows."""
+
+    def __init__(self):
+        self[""] = 0
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.fromiter((self.setdefault(w, len(self)) for w in words), np.int32, len(words))
+
+
 def seeds(toxic: list[list[str]], clean: list[list[str]], chance: float = 0.01) -> set[str]:
+    """Forms that mark toxic documents, given as lists of words (`marks_of`)."""
+    words = Vocabulary()
+    return marks_of(words, [words.ids(d) for d in toxic], [words.ids(d) for d in clean], chance)
+
+
+def marks_of(words: Vocabulary, toxic: list[np.ndarray], clean: list[np.ndarray], chance: float = 0.01) -> set[str]:
     """Forms that mark toxic documents: in more of them than chance allows.
 
     A form in a toxic and b clean documents is a mark if it is 20 times as
@@ -116,57 +134,64 @@ def seeds(toxic: list[list[str]], clean: list[list[str]], chance: float = 0.01)
     below chance / (number of forms) for a form that is blind to toxicity. As
     copies of a document are no independent evidence, a document does not count
     in a if the form stands there between two words between which an earlier
-    document had it.
+    document had it. Forms are counted by a hash.
     """
-    a: Counter = Counter()
-    for words in toxic:
-        a.update({f for w in set(words) for f in forms(w)})
-    b: Counter = Counter()
-    for words in clean:
-        b.update({f for w in set(words) for f in forms(w) if f in a})
+    if not toxic:
+        return set()
+    names = list(words)
+    own = np.full((len(names), MOST_FORMS), FORMS, dtype=np.int32)
+    for n, word in enumerate(names):
+        f = [zlib.crc32(x.encode()) % FORMS for x in forms(word)]
+        own[n, : len(f)] = f
     share = len(toxic) / (len(toxic) + len(clean) + 1)
-    limit = math.log(chance / (len(a) + 1))
+
+    def documents(docs: list[np.ndarray]) -> np.ndarray:
+        n = np.zeros(FORMS + 1, np.int64)
+        for d in docs:
+            n[np.unique(own[np.unique(d)])] += 1
+        n[FORMS] = 0
+        return n
+
+    a, b = documents(toxic), documents(clean)
+    limit = math.log(chance / (np.count_nonzero(a) + 1))
 
     def uneven(n: int, m: int) -> bool:  # by the first term of the binomial tail
         tail = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) + n * math.log(share) + m * math.log(1 - share)
         return n / len(toxic) >= 20 * (m + 0.5) / (len(clean) + 1) and tail < limit
 
-    around: dict[str, set[tuple[str, str]]] = {f: set() for f, n in a.items() if uneven(n, b[f])}
+    around: dict[int, set[tuple[int, int]]] = {f: set() for f in np.flatnonzero(a).tolist() if uneven(int(a[f]), int(b[f]))}
+    possible = np.zeros(FORMS + 1, bool)
+    possible[list(around)] = True
     fresh: Counter = Counter()
-    for words in toxic:
-        here: dict[str, set[tuple[str, str]]] = {}
-        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            for f in forms(word):
+    for d in toxic:
+        here: dict[int, set[tuple[int, int]]] = {}
+        for i in np.flatnonzero(possible[own[d]].any(axis=1)).tolist():
+            pair = (int(d[i - 1]) if i else 0, int(d[i + 1]) if i + 1 < len(d) else 0)
+            for f in own[d[i]].tolist():
                 if f in around:
-                    here.setdefault(f, set()).add((before, after))
+                    here.setdefault(f, set()).add(pair)
         for f, pairs in here.items():
             fresh[f] += around[f].isdisjoint(pairs)
             around[f] |= pairs
-    return {f for f in around if uneven(fresh[f], b[f])}
+    found = {f for f in around if uneven(fresh[f], int(b[f]))}
+    possible[:] = False
+    possible[list(found)] = True
+    rows = np.flatnonzero(possible[own].any(axis=1)).tolist()
+    return {x for n in rows for x in forms(names[n]) if zlib.crc32(x.encode()) % FORMS in found}
 
 
 @dataclass
 class Tokens:
-    """Documents as numbers of words, one after the other, and the features of each word; word 0 fills up windows."""
+    """Documents as numbers of words, one after the other."""
 
     words: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
-    features: np.ndarray
-    marked: np.ndarray
 
     @staticmethod
-    def of(docs: list[list[str]], marks: set[str]) -> Tokens:
-        number: dict[str, int] = {"": 0}
-        words = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), np.int32)
+    def of(docs: list[np.ndarray]) -> Tokens:
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
-        features = np.full((len(number), MOST_FEATURES), WIDTH, dtype=np.int32)
-        marked = np.zeros(len(number), bool)
-        for w, n in number.items():
-            f = own_features(w)
-            features[n, : len(f)] = f
-            marked[n] = any(f in marks for f in forms(w))
-        return Tokens(np.concatenate([words, np.zeros(WINDOW, np.int32)]), np.cumsum(lengths) - lengths, lengths, features, marked)
+        return Tokens(np.concatenate([*docs, np.zeros(WINDOW, np.int32)]), np.cumsum(lengths) - lengths, lengths)
 
     def windows(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The words of the windows that start at places of documents; past a document's end word 0."""
@@ -174,41 +199,45 @@ class Tokens:
         return np.where(place < self.lengths[doc][:, None], self.words[np.minimum(self.starts[doc][:, None] + place, len(self.words) - 1)], 0)
 
 
-def fit(toxic: list[list[str]], clean: list[list[str]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> Field:
+def fit(words: Vocabulary, toxic: list[np.ndarray], clean: list[np.ndarray], rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> Field:
     """Fit the field to documents of known label by AdaGrad on the exact gradient of windows.
 
-    Token labels come from the documents' labels: tokens of clean documents are
-    clean; in toxic documents the marked tokens (`seeds`) are toxic. Toxic
-    documents without a marked token are left out. Each round reads the next
-    window of each clean document, round and round, and the windows around four
-    of the marked tokens of each toxic one; so within the rounds the fit reads
-    the first 960 words of a clean document whole and, of a longer one, as many
-    windows spread evenly.
+    Documents are numbers of words. Token labels come from the documents'
+    labels: tokens of clean documents are clean; in toxic documents the marked
+    tokens (`marks_of`) are toxic. Toxic documents without a marked token are
+    left out. Each round reads the next window of each clean document, round and
+    round, and the windows around four of the marked tokens of each toxic one;
+    so within the rounds the fit reads the first 960 words of a clean document
+    whole and, of a longer one, as many windows spread evenly.
     """
-    marks = seeds(toxic, clean) if toxic else set()
-    bad = Tokens.of(toxic, marks)
-    places = np.flatnonzero(bad.marked[bad.words[: int(bad.lengths.sum())]])
+    marks = marks_of(words, toxic, clean)
+    marked = np.array([any(f in marks for f in forms(w)) for w in words])
+    bad, good = Tokens.of(toxic), Tokens.of(clean)
+    places = np.flatnonzero(marked[bad.words[: int(bad.lengths.sum())]])
     doc = np.searchsorted(bad.starts, places, "right") - 1
     weights, moves = np.zeros(WIDTH), np.zeros((2, 2))
     if not len(places):
         weights[_h("bias")] = -6.0
         return Field(weights.astype(np.float32), moves)
+    features = np.full((len(words), MOST_FEATURES), WIDTH, dtype=np.int32)
+    for n, w in enumerate(words):
+        f = own_features(w)
+        features[n, : len(f)] = f
     first = np.searchsorted(doc, doc)  # of each mark the number of its document's first mark
-    nth, marks_of = np.arange(len(doc)) - first, np.bincount(doc)[doc]
+    nth, of_doc = np.arange(len(doc)) - first, np.bincount(doc)[doc]
     at = np.maximum(0, places - bad.starts[doc] - WINDOW // 2)
-    good = Tokens.of(clean, marks)
     every = np.arange(len(good.lengths))
     count = -(-good.lengths // WINDOW)
+    step = np.maximum(count, rounds) // rounds  # of long documents every so many windows
     weights = np.zeros(WIDTH + 1)
     weights[_h("bias")] = -2.0
     square, square_m = np.full(WIDTH + 1, 1e-8), np.full((2, 2), 1e-8)
     for turn in range(rounds):
-        chosen = (nth - 4 * turn) % marks_of < 4
+        chosen = (nth - 4 * turn) % of_doc < 4
         x_bad = bad.windows(doc[chosen], at[chosen])
-        step = np.maximum(count, rounds) // rounds  # of long documents every so many windows
         x_good = good.windows(every, turn * step % count * WINDOW)
-        flat = np.concatenate([bad.features[x_bad].reshape(-1, MOST_FEATURES), good.features[x_good].reshape(-1, MOST_FEATURES)])
-        y = np.concatenate([bad.marked[x_bad], np.zeros(x_good.shape, bool)]).astype(float)
+        flat = features[np.concatenate([x_bad, x_good]).ravel()]
+        y = np.concatenate([marked[x_bad], np.zeros(x_good.shape, bool)]).astype(float)
         u = np.clip(weights[flat].sum(axis=1).reshape(y.shape), -MOST, MOST)
         p, expected = _expect(u, moves)
         g = np.bincount(flat.ravel(), ((y - p).ravel() / len(y)).repeat(MOST_FEATURES), WIDTH + 1)
@@ -262,12 +291,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 12
     ]
     ids = drawn[0].unionByName(drawn[1])
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    same: dict[str, str] = {}  # one object for each word
-    split: dict[int, list] = {0: [], 1: []}
-    for _, label, text in sorted(rows.collect(), key=lambda r: r[0]):
-        if words := WORD.findall(text.lower()):
-            split[label].append([same.setdefault(w, w) for w in words])
-    return fit(split[1], split[0]) if split[0] and split[1] else fit([], [])
+    words, found = Vocabulary(), {}
+    for doc_id, label, text in rows.toLocalIterator():  # texts pass, numbers of words stay
+        if tokens := WORD.findall(text.lower()):
+            found[doc_id] = (label, words.ids(tokens))
+    split = [[ids for _, (label, ids) in sorted(found.items()) if label == y] for y in (0, 1)]
+    return fit(words, split[1], split[0]) if split[0] and split[1] else fit(words, [], [])
 
 
 _OUT = "doc_id long, score double, spans array<struct<start:int,end:int,probability:double>>"
