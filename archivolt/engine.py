@@ -12,9 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archivolt import schemas
 from archivolt.functions import fixed, pii, text
 from archivolt.models import ExtractiveGenerator, Generator, OverlapReranker, Reranker, rerank_logits
-from archivolt.operators import knowledge, lifecycle, retrieval, scorecard
+from archivolt.operators import chat, knowledge, lifecycle, retrieval, scorecard, workflow
 
 
 @dataclass
@@ -33,6 +34,7 @@ class Engine:
     tables: dict[str, DataFrame]
     reranker: Reranker = field(default_factory=OverlapReranker)
     generator: Generator = field(default_factory=ExtractiveGenerator)
+    profile: str = "full"
 
     def require(self, user: User | None, permission: str) -> None:
         """No user means that access control is off."""
@@ -58,25 +60,187 @@ class Engine:
         expanded = retrieval.expand_query(queries, self.tables["synonyms"]).drop("query_text").withColumnRenamed("expanded", "query_text")
         return retrieval.hybrid(c, expanded, k)
 
-    def ask(self, queries: DataFrame, user: User | None = None, candidates: int = 15, k: int = 10) -> list[dict]:
-        """An answer per question, or an abstention; contexts of the few hits left come to the driver."""
-        self.require(user, "query")
-        hits = self.search(queries, user, k=candidates).join(queries.select("query_id", F.col("query_text").alias("_asked")), "query_id")
-        scored = retrieval.rerank(hits.withColumn("_logit", rerank_logits("_asked", "content", self.reranker)), "_logit", k)
-        kept = retrieval.ranked_again(retrieval.evidence(scored))
+    @property
+    def pools(self) -> tuple[int, int]:
+        """Hits that are re-ranked and hits that stay, by profile."""
+        return (5, 5) if self.profile == "fast" else (15, 10)
+
+    def _supported(self, queries: DataFrame, user: User | None, candidates: int | None, k: int | None, **filters) -> tuple[DataFrame, DataFrame]:
+        """Re-ranked hits with their chunks' columns, and those of them with enough evidence, ranked anew."""
+        pool, keep = self.pools
+        hits = self.search(queries, user, k=candidates or pool, **filters).join(queries.select("query_id", F.col("query_text").alias("_asked")), "query_id")
+        scored = retrieval.rerank(hits.withColumn("_logit", rerank_logits("_asked", "content", self.reranker)), "_logit", k or keep)
+        scored = scored.withColumn("evidence", F.coalesce("rerank_score", F.col("score") * 10))
+        chunks = self.tables["chunks"]
+        section = F.col("section") if "section" in chunks.columns else text.heading(F.col("content"))
         names = self.tables["documents"].select("document_id", F.col("original_name").alias("document_name"))
-        full = kept.join(self.tables["chunks"].select("chunk_id", "document_id", "page_numbers", "edad"), "chunk_id").join(names, "document_id")
-        context = retrieval.pack_context(full)
-        rows = queries.select("query_id", "query_text").join(context, "query_id", "left").join(kept.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").collect()
-        return [self._answer(r.query_id, r.query_text, r.context, r.n or 0) for r in rows]
+        full = scored.join(chunks.select("chunk_id", "document_id", "page_numbers", "edad", section.alias("section")), "chunk_id").join(names, "document_id", "left")
+        full = full.persist()  # a few hits for each question, read by the context, the lines and the trace
+        return full, retrieval.ranked_again(retrieval.evidence(full.drop("evidence")))
+
+    def ask(self, queries: DataFrame, user: User | None = None, candidates: int | None = None, k: int | None = None) -> list[dict]:
+        """An answer per question, or an abstention; contexts of the few hits left come to the driver.
+
+        An answer that does not cite its sources is asked for once more; if it
+        still does not, the first sources' lines follow it. Each question leaves
+        a row in the audit table, if the engine has one.
+        """
+        self.require(user, "query")
+        scored, kept = self._supported(queries, user, candidates, k)
+        n = kept.groupBy("query_id").agg(F.count("*").alias("n"))
+        rows = queries.select("query_id", "query_text").join(retrieval.pack_context(kept), "query_id", "left").join(n, "query_id", "left").join(chat.source_lines(kept), "query_id", "left").collect()
+        answers = [self._answer(r.query_id, r.query_text, r.context, r.n or 0, r.lines) for r in rows]
+        self._log(queries, scored, kept, answers, user)
+        scored.unpersist()
+        return [{c: v for c, v in x.items() if c != "raw"} for x in answers]
 
-    def _answer(self, query_id: int, question: str, context: str | None, sources: int) -> dict:
+    def _answer(self, query_id: int, question: str, context: str | None, sources: int, lines: str | None = None) -> dict:
         if sources < retrieval.MIN_SOURCES:
-            return {"query_id": query_id, "abstained": True, "answer": None, "sources": 0}
-        answer = self.generator.answer(question, context or "")
-        frame = self.spark.createDataFrame([(answer,)], "a string")
-        masked, grounded, refused = frame.select(pii.mask(F.col("a")), text.is_grounded(F.col("a"), F.lit(sources)), text.is_refusal(F.col("a"))).first()
-        return {"query_id": query_id, "abstained": False, "answer": masked, "grounded": grounded, "sources": 0 if refused else sources}
+            return {"query_id": query_id, "abstained": True, "answer": fixed.NO_EVIDENCE, "sources": 0, "grounded": False, "raw": None}
+        answer, retried = self.generator.answer(question, context or ""), False
+        if not self._grounded(answer, sources):
+            answer, retried = self.generator.answer(question, (context or "") + fixed.CITE_AGAIN), True
+        frame = self.spark.createDataFrame([(answer, lines)], "a string, l string")
+        shown, grounded, refused = frame.select(chat.finished(F.col("a"), F.lit(sources), F.col("l")), text.is_grounded(F.col("a"), F.lit(sources)), text.is_refusal(F.col("a"))).first()
+        return {"query_id": query_id, "abstained": False, "answer": shown, "grounded": grounded, "retried": retried, "sources": 0 if refused else sources, "raw": answer}
+
+    def _grounded(self, answer: str, sources: int) -> bool:
+        return self.spark.range(1).select(text.is_grounded(F.lit(answer), F.lit(sources))).first()[0]
+
+    def _log(self, queries: DataFrame, scored: DataFrame, kept: DataFrame, answers: list[dict], user: User | None) -> None:
+        if "audit" not in self.tables:
+            return
+        given = self.spark.createDataFrame([(a["query_id"], a["raw"]) for a in answers], "query_id bigint, answer string")
+        rows = chat.trace(queries.select("query_id", "query_text"), scored, kept, given, retrieval.MIN_EVIDENCE)
+        stamped = rows.drop("query_id").withColumns({"username": F.lit(user.username if user else None), "created_at": F.current_timestamp()})
+        kept_rows = self.spark.createDataFrame(stamped.collect(), stamped.schema)  # one row a question, fixed now
+        self.tables["audit"] = self.tables["audit"].unionByName(lifecycle.append_audit(kept_rows), allowMissingColumns=True)
+
+    def open_conversation(self, user: User, name: str | None = None) -> int:
+        self.require(user, "chat:write")
+        new = self.spark.createDataFrame([(user.user_id, name)], "user_id bigint, title string").withColumn("created_at", F.current_timestamp())
+        after = chat.opened(self.tables["conversations"], new)
+        number = after.agg(F.max("conversation_id")).first()[0]
+        self.tables["conversations"] = after
+        return number
+
+    def conversations(self, user: User) -> DataFrame:
+        self.require(user, "chat:write")
+        return chat.of_user(self.tables["conversations"], user.user_id)
+
+    def delete_conversation(self, user: User, conversation_id: int) -> None:
+        self.require(user, "chat:write")
+        self.tables = chat.without(self.tables, user.user_id, conversation_id)
+
+    def say(self, user: User, conversation_id: int, message: DataFrame, **filters) -> dict:
+        """Answer one message (query_id, query_text, query_vector) of a user's own conversation, and keep both turns.
+
+        Greetings are answered from the memory of the last turns alone, other
+        messages from the documents, behind the memory. Without evidence the
+        answer is a polite refusal.
+        """
+        self.require(user, "chat:write")
+        own = self.tables["conversations"].where((F.col("conversation_id") == conversation_id) & (F.col("user_id") == user.user_id))
+        if own.limit(1).count() == 0:
+            raise LookupError(f"no conversation {conversation_id}")
+        question = (message.first()["query_text"] or "").strip()
+        if not question:
+            raise ValueError("empty message")
+        turns = self.tables["messages"].where(F.col("conversation_id") == conversation_id)
+        last = chat.history(turns).first()
+        history = last["history"] if last else ""
+        if self.spark.range(1).select(text.is_small_talk(F.lit(question))).first()[0]:
+            answer, sources = self.generator.answer(question, history), 0
+        else:
+            scored, kept = self._supported(message, user, None, self.pools[0], **filters)
+            sources = kept.count()
+            if sources < retrieval.MIN_SOURCES:
+                answer, sources = fixed.NO_EVIDENCE_CHAT, 0
+            else:
+                context = retrieval.pack_context(kept).first()["context"]
+                asked = self.spark.range(1).select(chat.prompt(F.lit(context), F.lit(history))).first()[0]
+                answer = self.generator.answer(question, asked)
+            scored.unpersist()
+        shown, refused = self.spark.range(1).select(pii.mask(F.lit(answer)), text.is_refusal(F.lit(answer))).first()
+        turn = (turns.agg(F.max("turn")).first()[0] or 0) + 1
+        said = self.spark.createDataFrame([(conversation_id, turn, "user", question), (conversation_id, turn + 1, "assistant", shown)], "conversation_id bigint, turn bigint, role string, content string")
+        self.tables["messages"] = self.tables["messages"].unionByName(said, allowMissingColumns=True)
+        if turn == 1:
+            first = F.col("conversation_id") == conversation_id
+            self.tables["conversations"] = self.tables["conversations"].withColumn("title", F.when(first, chat.title(F.lit(question))).otherwise(F.col("title")))
+        return {"conversation_id": conversation_id, "turn": turn + 1, "answer": shown, "sources": 0 if refused else sources}
+
+    def give_feedback(self, user: User, conversation_id: int, turn: int, value: str) -> None:
+        self.require(user, "chat:write")
+        self.tables["messages"] = lifecycle.give_feedback(self.tables["messages"], self.tables["conversations"], user.user_id, conversation_id, turn, value)
+
+    def keyword_list(self, user: User | None = None, category: str | None = None, inactive: bool = False) -> DataFrame:
+        self.require(user, "keywords:read")
+        return workflow.catalogue(self.tables["keywords"], category, inactive)
+
+    def add_keyword(self, user: User | None, term: str, category: str | None = None) -> None:
+        self.require(user, "keywords:write")
+        self.tables["keywords"] = lifecycle.upsert_keyword(self.tables["keywords"], term, category)
+
+    def drop_keyword(self, user: User | None, keyword_id: int) -> None:
+        self.require(user, "keywords:write")
+        self.tables["keywords"] = lifecycle.delete_keyword(self.tables["keywords"], keyword_id)
+
+    def find_keyword(self, user: User | None, term: str) -> DataFrame:
+        self.require(user, "search")
+        t = self.tables
+        return knowledge.search_keyword(term, t["keywords"], t["chunk_keywords"], t["chunks"], t["documents"])
+
+    def candidates(self, user: User | None = None, status: str = "proposed") -> DataFrame:
+        self.require(user, "keywords:read")
+        return workflow.candidates(self.tables["keyword_candidates"], status)
+
+    def approve_candidates(self, user: User | None, terms: list[str]) -> None:
+        self.require(user, "keywords:write")
+        chosen = self.spark.createDataFrame([(t,) for t in terms], "term string")
+        self.tables["keyword_candidates"], self.tables["keywords"] = workflow.approve(self.tables["keyword_candidates"], self.tables["keywords"], chosen)
+
+    def reject_candidates(self, user: User | None, terms: list[str]) -> None:
+        self.require(user, "keywords:write")
+        self.tables["keyword_candidates"] = workflow.reject(self.tables["keyword_candidates"], self.spark.createDataFrame([(t,) for t in terms], "term string"))
+
+    def synonyms(self) -> DataFrame:
+        return retrieval.synonym_groups(self.tables["synonyms"])
+
+    def set_synonyms(self, user: User | None, canonical: str, variants: list[str], category: str | None = None) -> None:
+        self.require(user, "keywords:write")
+        self.tables["synonyms"] = lifecycle.replace_synonyms(self.tables["synonyms"], canonical, variants, category)
+
+    def propose(self, user: User, chunk_id: int, content: str) -> None:
+        self.require(user, "documents:read")
+        if user.role not in workflow.MAY_PROPOSE:
+            raise PermissionError("propose")
+        if not content.strip():
+            raise ValueError("empty content")
+        new = self.spark.createDataFrame([(chunk_id, user.user_id, user.role, content)], "chunk_id bigint, proposer bigint, role string, content string")
+        self.tables["proposals"] = workflow.propose(self.tables["proposals"], new)
+
+    def review(self, user: User, chunk_id: int, status: str, comment: str | None = None) -> None:
+        self.require(user, "documents:update")
+        self.tables["proposals"] = lifecycle.review(self.tables["proposals"], chunk_id, status, user.user_id, comment)
+
+    def add_plan(self, user: User | None, plan: dict) -> None:
+        self.require(user, "admin:panel")
+        new = self.spark.createDataFrame([plan], schemas.schema("action_plans"))
+        self.tables["action_plans"] = workflow.add_plans(self.tables["action_plans"], new, scorecard.kpi_catalogue(self.spark))
+
+    def plans(self, user: User | None = None) -> DataFrame:
+        self.require(user, "bsc:read")
+        return workflow.plans(self.tables["action_plans"])
+
+    def patch_plan(self, user: User | None, plan_id: int, status: str | None = None, description: str | None = None) -> None:
+        self.require(user, "admin:panel")
+        patch = self.spark.createDataFrame([(plan_id, status, description)], "plan_id bigint, status string, description string")
+        self.tables["action_plans"] = workflow.patch_plans(self.tables["action_plans"], patch)
+
+    def usage(self, user: User | None = None) -> DataFrame:
+        self.require(user, "bsc:read")
+        return scorecard.usage(self.tables["audit"])
 
     def stream(self, answer: dict) -> Iterator[str]:
         """Events of an answer: sources, words, end."""
@@ -120,6 +284,23 @@ class Engine:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions that Catalyst inlines: kpi_state and cosine_sim."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kpi_state(v DOUBLE, d STRING, a DOUBLE, r DOUBLE) RETURNS STRING RETURN CASE WHEN v IS NULL OR a IS NULL OR r IS NULL THEN 'gray' WHEN d = 'gte' THEN CASE WHEN v >= a THEN 'green' WHEN v >= r THEN 'amber' ELSE 'red' END ELSE CASE WHEN v <= r THEN 'green' WHEN v <= a THEN 'amber' ELSE 'red' END END")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cosine_sim(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / (sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))")
+    """SQL functions that Catalyst inlines: norm_term, mask_pii, trgm_similarity, cosine_sim, kpi_state and kpi_norm."""
+
+    def define(head: str, body: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+
+    raw = lambda pattern: "r\"" + pattern + "\""
+    plain = f"lower(translate(coalesce(s, ''), '{text.ACCENTED}', '{text.PLAIN}'))"
+    define("norm_term(s STRING) RETURNS STRING", f"trim(regexp_replace(regexp_replace({plain}, {raw('(?U)[^' + chr(92) + 'w' + chr(92) + 's]|_')}, ' '), {raw(chr(92) + 's+')}, ' '))")
+    masked = "s"
+    for _, pattern, label in fixed.PII:
+        masked = f"regexp_replace({masked}, {raw('(?U)' + pattern)}, '{label}')"
+    define("mask_pii(s STRING) RETURNS STRING", masked)
+    grams = "array_distinct(flatten(transform(filter(split(lower({c}), {p}), w -> w <> ''), w -> transform(sequence(1, length(w) + 1), i -> substring(concat('  ', w, ' '), i, 3)))))"
+    x, y = (grams.format(c=c, p=raw("(?U)" + chr(92) + "W+")) for c in "ab")
+    shared = f"size(array_intersect({x}, {y}))"
+    define("trgm_similarity(a STRING, b STRING) RETURNS DOUBLE", f"coalesce(try_divide({shared}, size(array_union({x}, {y}))), 0D)")
+    define("cosine_sim(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE", "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / (sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))")
+    define("kpi_state(v DOUBLE, d STRING, a DOUBLE, r DOUBLE) RETURNS STRING", "CASE WHEN v IS NULL OR a IS NULL OR r IS NULL THEN 'gray' WHEN d = 'gte' THEN CASE WHEN v >= a THEN 'green' WHEN v >= r THEN 'amber' ELSE 'red' END ELSE CASE WHEN v <= r THEN 'green' WHEN v <= a THEN 'amber' ELSE 'red' END END")
+    top = "CASE WHEN d = 'gte' THEN coalesce(a, t) ELSE a END"
+    define("kpi_norm(v DOUBLE, d STRING, a DOUBLE, r DOUBLE, t DOUBLE) RETURNS DOUBLE", f"CASE WHEN v IS NULL THEN NULL ELSE greatest(0D, least(100D, CASE WHEN {top} IS NULL OR r IS NULL OR {top} = r THEN v WHEN d = 'gte' THEN (v - r) * 100 / ({top} - r) ELSE (r - v) * 100 / (r - {top}) END)) END")

@@ -88,3 +88,15 @@ KPIS = (
     ("AUDIT_OPERATIONS", "seguridad", "gte", "ops", None, 1.0, 0.0, "audit_operations"),
     ("FAILED_LOGINS", "seguridad", "lte", "ops", None, 10.0, 50.0, "failed_logins"),
 )
+
+# Texts around answers.
+NEW_CONVERSATION = "Nueva conversacion"
+NO_EVIDENCE = "No dispongo de información suficiente en los documentos indexados para responder esa consulta; no voy a inventar una respuesta."
+NO_EVIDENCE_CHAT = (
+    "No encuentro evidencia sobre eso en tus documentos. Solo puedo responder sobre el contenido de los documentos cargados; "
+    "prueba con una pregunta concreta sobre ellos."
+)
+HISTORY_HEAD = "[Historial de la conversacion]\n"
+CONTEXT_HEAD = "\n\n[Contexto]\n"
+CITE_AGAIN = "\n\nIMPORTANTE: cita las fuentes con [1], [2]... correspondientes."
+SOURCES_HEAD = "\n\nFuentes consultadas:\n"

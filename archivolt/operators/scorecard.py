@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,22 +91,56 @@ def support_level(index: Column) -> Column:
     return F.when(index >= 70, "Alto").when(index >= 40, "Medio").otherwise("Bajo")
 
 
+def kpi_parts(t: dict[str, DataFrame], cap: int | None = 500) -> dict[str, Callable[[], DataFrame]]:
+    """The sources of the indicators: for each a plan of one row with a column for each code."""
+
+    def docs() -> DataFrame:
+        n = t["documents"].agg(F.count("*").alias("n"), F.count_if(F.col("status") == "completed").alias("done"))
+        return n.select(F.col("n").cast("double").alias("DOC_TOTAL"), F.when(F.col("n") == 0, 0.0).otherwise(F.round(F.try_divide(F.col("done") * 100.0, F.col("n")), 2)).alias("DOC_PROCESSED"))
+
+    def cover() -> DataFrame:
+        return knowledge.coverage(t["keywords"], t["chunk_keywords"]).select(F.col("coverage").alias("KEYWORD_COVERAGE"), (F.col("total") - F.col("found")).cast("double").alias("KEYWORD_GAPS"))
+
+    def evidence() -> DataFrame:
+        return evidence_stats(newest(t["audit"], cap, "query", "upload")).select(F.col("total").cast("double").alias("QUERY_TOTAL"), F.col("pct").alias("QUERY_WITH_EVIDENCE"), F.col("without_evidence").cast("double").alias("QUERY_NO_EVIDENCE"))
+
+    def use() -> DataFrame:
+        return usage(newest(t["audit"], cap, "query", "upload")).select(F.col("active_users").cast("double").alias("USAGE_ACTIVE_USERS"), F.col("queries_per_user").alias("USAGE_QUERIES_PER_USER"), F.col("uploads_per_user").alias("USAGE_DOCS_PER_USER"))
+
+    def opinions() -> DataFrame:
+        return feedback(t["messages"]).select(F.col("useful_pct").alias("FEEDBACK_USEFUL"), F.col("not_useful_pct").alias("FEEDBACK_UNUSEFUL"))
+
+    def log() -> DataFrame:
+        return t["audit"].agg(F.count("*").cast("double").alias("AUDIT_OPERATIONS"), F.count_if(F.col("action") == "login_failed").cast("double").alias("FAILED_LOGINS"))
+
+    def users() -> DataFrame:
+        return t["users"].agg(F.count("*").cast("double").alias("USERS_TOTAL"))
+
+    return {"documents": docs, "coverage": cover, "evidence": evidence, "usage": use, "feedback": opinions, "log": log, "users": users}
+
+
 def kpi_values(spark: SparkSession, t: dict[str, DataFrame], cap: int | None = 500) -> DataFrame:
     """All indicators with their values: one aggregate per source, one row per code."""
-    docs = t["documents"].agg(F.count("*").alias("n"), F.count_if(F.col("status") == "completed").alias("done")).select(
-        F.col("n").cast("double").alias("DOC_TOTAL"), F.when(F.col("n") == 0, 0.0).otherwise(F.round(F.try_divide(F.col("done") * 100.0, F.col("n")), 2)).alias("DOC_PROCESSED")
-    )
-    cover = knowledge.coverage(t["keywords"], t["chunk_keywords"]).select(F.col("coverage").alias("KEYWORD_COVERAGE"), (F.col("total") - F.col("found")).cast("double").alias("KEYWORD_GAPS"))
-    recent = newest(t["audit"], cap, "query", "upload")
-    ev = evidence_stats(recent).select(F.col("total").cast("double").alias("QUERY_TOTAL"), F.col("pct").alias("QUERY_WITH_EVIDENCE"), F.col("without_evidence").cast("double").alias("QUERY_NO_EVIDENCE"))
-    use = usage(recent).select(F.col("active_users").cast("double").alias("USAGE_ACTIVE_USERS"), F.col("queries_per_user").alias("USAGE_QUERIES_PER_USER"), F.col("uploads_per_user").alias("USAGE_DOCS_PER_USER"))
-    fb = feedback(t["messages"]).select(F.col("useful_pct").alias("FEEDBACK_USEFUL"), F.col("not_useful_pct").alias("FEEDBACK_UNUSEFUL"))
-    log = t["audit"].agg(F.count("*").cast("double").alias("AUDIT_OPERATIONS"), F.count_if(F.col("action") == "login_failed").cast("double").alias("FAILED_LOGINS"))
-    users = t["users"].agg(F.count("*").cast("double").alias("USERS_TOTAL"))
-    long = [p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("value")) for c in p.columns])).alias("k")).select("k.*") for p in (docs, cover, ev, use, fb, log, users)]
+    long = [_by_code(part()) for part in kpi_parts(t, cap).values()]
     return F.broadcast(kpi_catalogue(spark)).join(reduce(DataFrame.unionByName, long), "code", "left")
 
 
+def _by_code(p: DataFrame) -> DataFrame:
+    return p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("value")) for c in p.columns])).alias("k")).select("k.*")
+
+
+def kpi_values_isolated(spark: SparkSession, t: dict[str, DataFrame], cap: int | None = 500) -> tuple[DataFrame, dict[str, str]]:
+    """The same, each source computed by itself: one that fails leaves its indicators null. Also the errors."""
+    got, errors = [], {}
+    for name, part in kpi_parts(t, cap).items():
+        try:
+            got += [tuple(r) for r in _by_code(part()).collect()]  # a few rows
+        except Exception as e:  # isolation is the purpose
+            errors[name] = str(e)[:200]
+    values = spark.createDataFrame(got, "code string, value double")
+    return F.broadcast(kpi_catalogue(spark)).join(values, "code", "left"), errors
+
+
 def with_state(values: DataFrame, strict: bool = False) -> DataFrame:
     cols = [F.col(c) for c in ("value", "direction", "amber", "red")]
     return values.withColumn("state", state(*cols, strict)).withColumn("normal", F.round(normalised(*cols, F.col("target")), 4))

@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 MOST_ROWS, MOST_BYTES = 10_000, 16 << 20
 
 
-def meet(rows: DataFrame, few: DataFrame) -> DataFrame:
+def meet(rows: DataFrame, few: DataFrame, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Every row with every row of a stated set, such as questions or a dictionary.
 
-    A set of up to MOST_ROWS rows and MOST_BYTES is broadcast; one job counts
+    A set of up to `most` rows and most_bytes is broadcast; one job counts
     both. A larger one is dealt into blocks of about that size, and each block
     meets the rows in tasks of its own, so nothing larger than a block is held
     anywhere.
     """
     n, size = few.select(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
-    parts = max(math.ceil(n / MOST_ROWS), math.ceil(size / MOST_BYTES))
+    parts = max(math.ceil(n / most), math.ceil(size / most_bytes))
     if parts <= 1:
         return rows.crossJoin(F.broadcast(few))
     block = "__block"

@@ -24,4 +24,5 @@ def query(sql: str | None = None, *needs: str):
     return add
 
 
-from archivolt.plans import admin, documents, knowledge, retrieval, scorecard  # noqa: E402,F401
+from archivolt.plans import admin, documents, knowledge, retrieval, scorecard  # noqa: E402,F401,I001
+from archivolt.plans import application  # noqa: E402,F401,I001

@@ -7,6 +7,8 @@ tables. The checkpoint is the acknowledgement.
 
 from __future__ import annotations
 
+import time
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from archivolt.functions import pii, text
 from archivolt.models import Embedder, embed
-from archivolt.operators import chunking, knowledge, scorecard
+from archivolt.operators import chunking, knowledge, scorecard, workflow
 
 PAGES = "document_id bigint, page int, text string"
 
@@ -63,13 +65,18 @@ def merge_buckets(df: DataFrame, path: str, buckets: int) -> None:
 def ingest(spark: SparkSession, source: str, root: str, keywords: DataFrame, today: str, model: Embedder | None = None, buckets: int = 16) -> StreamingQuery:
     """Process all page files that are new since the last run, then stop."""
 
-    def batch(pages: DataFrame, _: int) -> None:
-        chunks = chunk_table(pages, today, model)
-        chunks.persist()
-        merge_buckets(chunks, f"{root}/chunks", buckets)
-        hits = knowledge.match_keywords(chunks, keywords).join(chunks.select("chunk_id", "document_id"), "chunk_id")
-        merge_buckets(hits, f"{root}/chunk_keywords", buckets)
-        chunks.unpersist()
+    def batch(pages: DataFrame, number: int) -> None:
+        chunks = chunk_table(pages, today, model).persist()
+        try:
+            merge_buckets(chunks, f"{root}/chunks", buckets)
+            hits = knowledge.match_keywords(chunks, keywords).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+            merge_buckets(hits, f"{root}/chunk_keywords", buckets)
+        except Exception as e:
+            # The batch stays open and runs again; its documents are in the log with the error.
+            workflow.failures(pages, "ingest", str(e), F.current_timestamp()).write.mode("overwrite").parquet(f"{root}/audit_errors/batch={number}")
+            raise
+        finally:
+            chunks.unpersist()
 
     return available(spark.readStream.schema(PAGES).json(source), batch, f"{root}/_checkpoints/ingest")
 
@@ -90,8 +97,14 @@ def available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkp
 
 
 def daily_snapshot(spark: SparkSession, tables: dict[str, DataFrame], at: str, path: str) -> DataFrame:
-    """One snapshot of all indicators, appended; the day's rows of an earlier run are replaced."""
-    v = scorecard.kpi_values(spark, tables)
+    """One snapshot of all indicators, appended; the day's rows of an earlier run are replaced.
+
+    A source that fails costs its own indicators only: they get no row.
+    """
+    v, errors = scorecard.kpi_values_isolated(spark, tables)
+    if errors:
+        warnings.warn(f"indicators without a value: {errors}", stacklevel=2)
+        v = v.where("value is not null")
     end = F.lit(at).cast("timestamp")
     rows = v.select(F.col("code").alias("kpi"), "value", F.expr(f"timestamp '{at}' - interval 30 days").alias("period_start"), end.alias("period_end"), end.alias("computed_at"), F.to_date(end).alias("day"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
@@ -101,3 +114,25 @@ def daily_snapshot(spark: SparkSession, tables: dict[str, DataFrame], at: str, p
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """An extra: event counts per tumbling window, with a watermark for late rows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"))
+
+
+class Refreshed:
+    """A small table kept in memory and read again after `ttl` seconds, such as the synonyms."""
+
+    def __init__(self, load: Callable[[], DataFrame], ttl: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.load, self.ttl, self.clock = load, ttl, clock
+        self._table: DataFrame | None = None
+        self._until = 0.0
+
+    def get(self) -> DataFrame:
+        if self._table is None or self.clock() >= self._until:
+            self.forget()
+            self._table = self.load().persist()
+            self._until = self.clock() + self.ttl
+        return self._table
+
+    def forget(self) -> None:
+        """After a change: the next reader loads anew."""
+        if self._table is not None:
+            self._table.unpersist()
+        self._table = None
