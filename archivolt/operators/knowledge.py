@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import fixed, text
 from archivolt.operators.sizes import meet
+from archivolt.operators.terms import find_terms
 
 NO_DOMAIN = "Sin dominio"
 
@@ -49,7 +50,8 @@ def substring_coverage(terms: DataFrame, chunks: DataFrame) -> DataFrame:
     """Distinct terms found anywhere in the corpus, whatever their case, in percent."""
     t = terms.select(F.lower("term").alias("term")).distinct()
     low = chunks.select(F.lower("content").alias("_c"))
-    found = meet(low, t).where(F.contains("_c", "term")).select("term").distinct().withColumn("_found", F.lit(1))
+    hits = find_terms(low, "_c", t.select(F.xxhash64("term").alias("owner"), "term")).select(F.explode("hits.owner").alias("owner")).distinct()
+    found = t.join(hits, F.xxhash64("term") == F.col("owner"), "left_semi").withColumn("_found", F.lit(1))
     sums = t.join(found, "term", "left").agg(F.count("*").alias("total"), F.count("_found").alias("found"))
     return sums.select("total", "found", F.when(F.col("total") == 0, 100.0).otherwise(F.round(F.try_divide(F.col("found") * 100.0, F.col("total")), 2)).alias("coverage"))
 
@@ -83,8 +85,9 @@ def heatmap(keywords: DataFrame, chunk_keywords: DataFrame, chunks: DataFrame, d
 def substring_heatmap(terms: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Non-overlapping substring counts per document and term."""
     t = terms.select(F.lower("term").alias("term")).distinct()
-    n = meet(chunks.select("document_id", F.lower("content").alias("_c")), t).withColumn("n", text.occurrences(F.col("_c"), F.col("term")).cast("long"))
-    sums = n.where("n > 0").groupBy("document_id", "term").agg(F.sum("n").alias("matches"))
+    known = t.withColumn("owner", F.xxhash64("term"))
+    n = find_terms(chunks.select("document_id", F.lower("content").alias("_c")), "_c", known).select("document_id", F.explode("hits").alias("h"))
+    sums = n.groupBy("document_id", F.col("h.owner").alias("owner")).agg(F.sum("h.n").alias("matches")).join(known, "owner").select("document_id", "term", "matches")
     names = documents.select("document_id", "original_name")
     return sums.join(names, "document_id", "left").select(F.coalesce("original_name", F.lit("sin_documento")).alias("original_name"), "term", "matches")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import text, vector
 from archivolt.operators.sizes import meet
+from archivolt.operators.terms import find_terms
 
 RRF_K, LEG_FACTOR, MIN_RELEVANCE = 60, 3, 12
 MIN_EVIDENCE, MIN_SOURCES = 0.15, 1
@@ -38,13 +39,15 @@ def vector_leg(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def lexical_leg(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Chunks that contain any query term, by trigram similarity to the query.
 
-    chunks: chunk_id, content; queries: query_id, query_text. Trigrams are taken
-    only of chunks that hold a term.
+    chunks: chunk_id, content; queries: query_id (a whole number), query_text.
+    Each text is scanned once for the terms of all questions; trigrams are taken
+    only of chunks that hold one.
     """
     q = queries.select("query_id", text.query_terms(F.lower("query_text")).alias("terms"), vector.trigrams(F.col("query_text")).alias("_q"))
-    low = chunks.select("chunk_id", F.lower("content").alias("_low"))
-    met = meet(low, q).where(F.exists("terms", lambda t: F.contains(F.col("_low"), t)))
-    scored = met.select("query_id", "chunk_id", vector.trigram_similarity(vector.trigrams(F.col("_low")), F.col("_q")).alias("similarity"))
+    asked = q.select(F.col("query_id").alias("owner"), F.explode("terms").alias("term"))
+    found = find_terms(chunks.select("chunk_id", F.lower("content").alias("_low")), "_low", asked)
+    met = found.select("chunk_id", vector.trigrams(F.col("_low")).alias("_c"), F.explode(F.col("hits.owner").cast(f"array<{q.schema['query_id'].dataType.simpleString()}>")).alias("query_id"))
+    scored = met.join(q, "query_id").select("query_id", "chunk_id", vector.trigram_similarity(F.col("_c"), F.col("_q")).alias("similarity")).distinct()
     return top(scored, k, F.desc("similarity"), F.asc("chunk_id"))
 
 

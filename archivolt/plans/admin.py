@@ -87,10 +87,17 @@ def replace_by_document(t):
     return l.replace_by_document(old, new)
 
 
-@query("SELECT role, count(*) AS permissions FROM (VALUES " + ", ".join(f"('{r}', '{p}')" for r, ps in fixed.PERMISSIONS.items() for p in ps) + ") AS t(role, permission) GROUP BY role")
+@query("""SELECT permission, roles, (SELECT count(DISTINCT user_id) FROM events WHERE list_contains(string_split(roles, ','), ['admin', 'editor', 'assistant', 'viewer', 'auditor'][user_id % 5 + 1])) AS users FROM (VALUES
+('users:create', 'admin'), ('documents:delete', 'admin,editor'), ('documents:upload', 'admin,assistant,editor'), ('audit:read', 'admin,auditor'), ('keywords:write', 'admin,editor'),
+('export', 'admin,assistant,editor'), ('bsc:read', 'admin'), ('chat:write', 'admin,assistant,auditor,editor,viewer'), ('admin:panel', 'admin'), ('search', 'admin,assistant,auditor,editor,viewer')) AS v(permission, roles)""")
 def role_permissions(t):
-    rows = t.spark.createDataFrame([(r, p) for r, ps in fixed.PERMISSIONS.items() for p in ps], "role string, permission string")
-    return rows.groupBy("role").agg(F.count("*").alias("permissions"))
+    """For some permissions the roles that hold them, and how many users have such a role."""
+    held = t.spark.createDataFrame([(r, p) for r, ps in fixed.PERMISSIONS.items() for p in ps], "role string, permission string")
+    asked = held.where(F.col("permission").isin("users:create", "documents:delete", "documents:upload", "audit:read", "keywords:write", "export", "bsc:read", "chat:write", "admin:panel", "search"))
+    roles = F.array(*map(F.lit, ("admin", "editor", "assistant", "viewer", "auditor")))
+    users = t.raw("events").select("user_id", F.element_at(roles, (F.col("user_id") % 5 + 1).cast("int")).alias("role")).distinct()
+    n = asked.join(F.broadcast(asked.select("role").distinct()), "role").join(users.groupBy("role").agg(F.count("*").alias("n")), "role", "left")
+    return n.groupBy("permission").agg(F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.coalesce(F.sum("n"), F.lit(0)).alias("users"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")

@@ -92,29 +92,62 @@ def token_estimate(t):
     return t.chunks.select("chunk_id", text.chunk_tokens(c).alias("chunk_tokens"), text.context_tokens(c).alias("context_tokens"))
 
 
-@query()
+FOLD_SQL = f""", pg AS (SELECT document_id, page, trim(string_agg(content, chr(10) ORDER BY chunk_index), chr(32) || chr(9) || chr(10) || chr(13)) AS text, max(edad) AS age FROM chunks GROUP BY document_id, page),
+pi AS (SELECT *, greatest(1, length(text) // 3) AS k, row_number() OVER (PARTITION BY document_id ORDER BY page) AS i FROM pg WHERE text <> ''),
+gr AS (SELECT document_id, i, k AS size, 0 AS grp, age FROM pi WHERE i = 1 UNION ALL
+  SELECT p.document_id, p.i, CASE WHEN g.size + p.k > 1000 THEN p.k ELSE g.size + p.k END, CASE WHEN g.size + p.k > 1000 THEN g.grp + 1 ELSE g.grp END, coalesce(g.age, p.age) FROM gr g JOIN pi p ON p.document_id = g.document_id AND p.i = g.i + 1),
+tx AS (SELECT document_id, grp, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text, list(page ORDER BY i) AS pages, arg_max(g.age, i) AS age FROM gr g JOIN pi USING (document_id, i) GROUP BY document_id, grp),
+se AS (SELECT document_id, grp, pages, age, {SENT} AS s FROM tx),
+st AS (SELECT document_id, grp, pages, age, n, s[n] AS x, greatest(1, length(s[n]) // 3) AS k, n = len(s) AS final FROM (SELECT *, unnest(range(1, len(s) + 1)) AS n FROM se)),
+fo AS (SELECT document_id, grp, n, [{{'x': x, 'k': k}}] AS held, k AS total, [pages[1]] AS seen, CAST(NULL AS VARCHAR) AS content, CAST(NULL AS INTEGER[]) AS on_, CAST(NULL AS BIGINT) AS tokens FROM st WHERE n = 1 UNION ALL
+  SELECT document_id, grp, n, list_append(rest, {{'x': x, 'k': k}}), coalesce(list_sum(list_transform(rest, lambda h: h.k)), 0) + k, list_append(CASE WHEN full_ THEN [] ELSE seen END, pages[least(n, len(pages))]),
+    CASE WHEN full_ THEN array_to_string(list_transform(held, lambda h: h.x), ' ') END, CASE WHEN full_ THEN list_sort(list_distinct(seen)) END, CASE WHEN full_ THEN total END
+  FROM (SELECT *, CASE WHEN full_ THEN held[1 + len(list_filter(range(1, len(held) + 1), lambda i: list_sum(list_transform(held[i:], lambda h: h.k)) > 50)):] ELSE held END AS rest
+    FROM (SELECT s.document_id, s.grp, s.n, s.x, s.k, s.pages, f.held, f.total, f.seen, f.total + s.k > 500 AS full_ FROM fo f JOIN st s ON s.document_id = f.document_id AND s.grp = f.grp AND s.n = f.n + 1))),
+al AS (SELECT document_id, grp, n, 0 AS last, content, on_, tokens FROM fo WHERE content IS NOT NULL UNION ALL
+  SELECT f.document_id, f.grp, f.n, 1, array_to_string(list_transform(held, lambda h: h.x), ' '), list_sort(list_distinct(seen)), total FROM fo f JOIN st s ON s.document_id = f.document_id AND s.grp = f.grp AND s.n = f.n WHERE s.final)
+SELECT al.document_id, CAST(row_number() OVER (PARTITION BY al.document_id ORDER BY al.grp, al.n, last) - 1 AS INTEGER) AS chunk_index, content, array_to_string(on_, ',') AS pages, CAST(tokens AS INTEGER) AS token_count, age AS edad FROM al JOIN tx USING (document_id, grp)"""
+
+
+@query(FOLD_SQL, "chunks")
 def chunk_fold(t):
     pages = t.chunks.groupBy("document_id", F.col("page_numbers")[0].alias("page")).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("l"), F.max("edad").alias("age"))
     joined = pages.select("document_id", "page", F.array_join(F.transform("l", lambda x: x["content"]), "\n").alias("text"), "age")
     return chunking.chunk_pages(joined).select("document_id", "chunk_index", "content", F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ",").alias("pages"), "token_count", "edad")
 
 
-@query("SELECT chunk_id, CASE WHEN length(content) <= 240 THEN content ELSE substring(content, 1, 237) || '...' END AS fragment, CASE WHEN regexp_matches(content, '^(?:\\d+[.)]\\s*)?[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\\s]{3,60}$') THEN 'heading' ELSE trim(substring(content, 1, 80)) END AS section FROM chunks", "chunks")
-def section_fragment(t):
-    c = F.col("content")
-    capitals = c.rlike(r"^(?:\d+[.)]\s*)?[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s]{3,60}$")
-    return t.chunks.select("chunk_id", text.excerpt(c).alias("fragment"), F.when(capitals, "heading").otherwise(F.trim(text.heading(c))).alias("section"))
+TITLED = r"(?m)^(?:\d+[.)]\s*)?([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s]{3,60})$"
 
 
-PATIENTS = """(1, ' Ana Lopez ', '45 anios', 'Femenino', '1234-5678', 'HC-99812', '14/03/2024'), (2, 'Paciente X', '210', 'mujer', '12', '12345', '2024-02-30'), (3, 'Luis', NULL, 'H', 'AB 123456', 'historia 1', '2024-03-14'), (4, '##', 'x', '?', NULL, 'A1B2', '14.03.2024')"""
-GOLD = """SELECT * FROM (VALUES (1, 'Ana Lopez', '45', 'F', '12345678', 'HC-99812', '14/03/2024'), (2, NULL, NULL, 'F', NULL, NULL, NULL), (3, 'Luis', NULL, 'M', 'AB123456', NULL, '14/03/2024'), (4, NULL, NULL, NULL, NULL, 'A1B2', '14/03/2024')) AS t(id, nombre, edad, sexo, dni, historia_clinica, fecha_atencion)"""
+@query(f"""SELECT chunk_id, CASE WHEN length(body) <= 240 THEN body ELSE substring(body, 1, 237) || '...' END AS fragment,
+CASE WHEN regexp_extract(body, '{TITLED}', 1) <> '' THEN trim(array_to_string(list_transform(string_split(lower(regexp_extract(body, '{TITLED}', 1)), ' '), lambda w: upper(w[1]) || w[2:]), ' ')) ELSE trim(substring(trim(string_split(body, chr(10))[1]), 1, 80)) END AS section
+FROM (SELECT chunk_id, trim(CASE WHEN chunk_index % 2 = 0 THEN (chunk_index % 5) || '. ' || upper(regexp_replace(substring(content, 1, 40), '[^A-Za-z ]', '', 'g')) || chr(10) || content ELSE content END) AS body FROM chunks)""", "chunks")
+def section_fragment(t):
+    """Every other chunk opens with a heading made of its first words in capitals."""
+    head = F.concat((F.col("chunk_index") % 5).cast("string"), F.lit(". "), F.upper(F.regexp_replace(F.substring("content", 1, 40), "[^A-Za-z ]", "")), F.lit("\n"), "content")
+    body = F.trim(F.when(F.col("chunk_index") % 2 == 0, head).otherwise(F.col("content")))
+    return t.chunks.select("chunk_id", text.excerpt(body).alias("fragment"), F.trim(text.heading(body)).alias("section"))
 
 
-@query(GOLD)
+@query("""SELECT document_id, CASE WHEN document_id % 4 = 0 THEN 'Ana Lopez ' || document_id END AS nombre, CASE WHEN document_id % 150 <= 120 THEN CAST(document_id % 150 AS VARCHAR) END AS edad, ['F', 'F', 'M', NULL, 'M', 'M'][document_id % 6 + 1] AS sexo,
+CASE document_id % 3 WHEN 0 THEN CASE WHEN length(document_id || '5678') BETWEEN 6 AND 12 THEN document_id || '5678' END WHEN 1 THEN NULL ELSE 'AB123456' END AS dni, CASE document_id % 4 WHEN 0 THEN 'HC-' || document_id WHEN 3 THEN 'A1B2' END AS historia_clinica,
+CASE WHEN document_id % 4 <> 1 THEN strftime(make_date(2024, CAST(document_id % 12 + 1 AS INTEGER), CAST(document_id % 28 + 1 AS INTEGER)), '%d/%m/%Y') END AS fecha_atencion FROM docs""", "docs")
 def patient_fields(t):
-    p = t.spark.sql(f"SELECT * FROM VALUES {PATIENTS} AS t(id, nombre, edad, sexo, dni, historia_clinica, fecha_atencion)")
-    c = F.col
-    return p.select("id", fields.name(c("nombre")).alias("nombre"), fields.age(c("edad")).alias("edad"), fields.sex(c("sexo")).alias("sexo"), fields.national_id(c("dni")).alias("dni"), fields.record_number(c("historia_clinica")).alias("historia_clinica"), fields.date(c("fecha_atencion")).alias("fecha_atencion"))
+    n = F.col("document_id")
+    pick = lambda m, *v: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in v]), (n % m + 1).cast("int"))
+    day, month = F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lpad((n % 12 + 1).cast("string"), 2, "0")
+    number = n.cast("string")
+    raw = {
+        "nombre": pick(4, F.concat(F.lit(" Ana Lopez "), number, F.lit(" ")), "Paciente X", "##", F.lit(None).cast("string")),
+        "edad": F.concat((n % 150).cast("string"), F.lit(" anios")),
+        "sexo": pick(6, "Femenino", "mujer", "H", "?", "M.", "Masculino"),
+        "dni": pick(3, F.concat(number, F.lit("-5678")), "12", "AB 123456"),
+        "historia_clinica": pick(4, F.concat(F.lit("HC-"), number), "12345", "historia 1", "A1B2"),
+        "fecha_atencion": pick(4, F.concat(day, F.lit("/"), month, F.lit("/2024")), "2024-02-30", F.concat(F.lit("2024-"), month, F.lit("-"), day), F.concat(day, F.lit("."), month, F.lit(".2024"))),
+    }
+    p = t.documents.select(n, *[v.alias(k) for k, v in raw.items()])
+    check = {"nombre": fields.name, "edad": fields.age, "sexo": fields.sex, "dni": fields.national_id, "historia_clinica": fields.record_number, "fecha_atencion": fields.date}
+    return p.select("document_id", *[f(F.col(c)).alias(c) for c, f in check.items()])
 
 
 WORDS = "string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(trim({c}))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')"
@@ -175,21 +208,19 @@ def normalize_terms(t):
     return t.synonyms.select("canonical", text.normal_term(c).alias("normal"), text.compact_term(c).alias("compact")).distinct()
 
 
-@query("SELECT * FROM (VALUES (1, 'admin'), (2, 'editor'), (3, 'assistant'), (4, 'auditor'), (5, 'assistant')) AS t(id, role)")
+@query("SELECT document_id, ['admin', 'editor', 'assistant', 'auditor', 'assistant', 'viewer', 'assistant'][document_id % 7 + 1] AS role FROM docs", "docs")
 def role_names(t):
-    r = t.spark.sql("SELECT * FROM VALUES (1, ' Administrador '), (2, 'especialista'), (3, 'otro'), (4, 'auditoría'), (5, NULL) AS t(id, name)")
-    return r.select("id", text.role(F.col("name")).alias("role"))
-
-
-PAIRS = "(VALUES (1, 'x', 12.0, 'y', 88.0), (2, 'x', 92.0, 'y', 99.0), (3, 'x', 50.0, NULL, NULL), (4, '', 70.0, 'y', 1.0), (5, 'x', 59.0, 'y', 58.0))"
+    names = F.array(*map(F.lit, (" Administrador ", "especialista", "otro", "auditoría", None, "VIEWER", "asistente")))
+    return t.documents.select("document_id", text.role(F.element_at(names, (F.col("document_id") % 7 + 1).cast("int"))).alias("role"))
 
 
-@query("SELECT * FROM (VALUES (1, 'second', true), (2, 'first', false), (3, 'first', false), (4, 'second', false), (5, 'first', false)) AS t(id, engine, turned)")
+@query("""SELECT document_id, CASE WHEN a <> '' AND s >= 60 THEN 'first' WHEN b IS NOT NULL AND (u >= s OR a = '') THEN 'second' ELSE 'first' END AS engine, u >= 60 AND u > 1.15 * s AS turned
+FROM (SELECT document_id, CASE WHEN document_id % 5 = 0 THEN '' ELSE 'x' END AS a, CASE WHEN document_id % 7 <> 0 THEN 'y' END AS b, (document_id * 17) % 100 AS s, (document_id * 31) % 100 AS u FROM docs)""", "docs")
 def ocr_cascade(t):
-    p = t.spark.sql(f"SELECT * FROM {PAIRS[1:-1]} AS t(id, a, s, b, u)")
-    turned = F.coalesce(ocr.rotate(F.col("s").cast("double"), F.col("u").cast("double")), F.lit(False))
-    chosen = ocr.cascade(F.col("a"), F.col("s").cast("double"), F.col("b"), F.col("u").cast("double"))
-    return p.select("id", chosen.alias("engine"), turned.alias("turned"))
+    n = F.col("document_id")
+    s, u = ((n * 17) % 100).cast("double"), ((n * 31) % 100).cast("double")
+    chosen = ocr.cascade(F.when(n % 5 == 0, "").otherwise("x"), s, F.when(n % 7 != 0, "y"), u)
+    return t.documents.select("document_id", chosen.alias("engine"), ocr.rotate(s, u).alias("turned"))
 
 
 @query("SELECT document_id, length(trim(text)) < 20 AS empty FROM docs", "docs")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import fixed, text
 from archivolt.operators import retrieval as r
-from archivolt.operators.sizes import meet
+from archivolt.operators.terms import find_terms
 from archivolt.plans.catalog import query
 
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
@@ -64,7 +64,8 @@ def trigram_topk(t):
 def keyword_or_match(t):
     q = t.queries.select("query_id", text.query_terms(F.lower("query_text")).alias("terms"))
     low = t.chunks.select("chunk_id", F.lower("content").alias("low"))
-    return meet(low, q).where(F.exists("terms", lambda x: F.contains(F.col("low"), x))).groupBy("query_id").agg(F.count("*").alias("chunks"))
+    found = find_terms(low, "low", q.select(F.col("query_id").alias("owner"), F.explode("terms").alias("term")))
+    return found.select("chunk_id", F.explode(F.col("hits.owner").cast("array<int>")).alias("query_id")).distinct().groupBy("query_id").agg(F.count("*").alias("chunks"))
 
 
 @query(", ".join(["", VECTOR_LEG.format(k=15), _lexical("vectors", 15), FUSED]) + "\nSELECT query_id, chunk_id, round(score, 8) AS score FROM f", "vectors", "qv")

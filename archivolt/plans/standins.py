@@ -182,4 +182,4 @@ def with_(*names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n"
