@@ -13,7 +13,6 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from archivolt.functions import text as tx
 from archivolt.functions import vector
 from archivolt.operators.retrieval import top
-from archivolt.operators.sizes import meet
 
 LEXEMES = ArrayType(StructType([StructField("lexeme", StringType()), StructField("position", IntegerType())]))
 WORD = re.compile(r"\w+")
@@ -201,11 +200,14 @@ def index(chunks: DataFrame) -> DataFrame:
 def matches(postings: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, density) of chunks with a lexeme that starts with a query term's stem.
 
-    Prefixes are compared with the vocabulary only; postings are joined by
+    The vocabulary's prefixes meet the stems by hash; postings are joined by
     lexeme. queries has query_id and terms.
     """
     asked = queries.select("query_id", F.explode(to_stems("terms")).alias("stem"))
-    wanted = meet(postings.select("lexeme").distinct(), asked).where(F.startswith("lexeme", "stem"))
+    vocabulary = postings.select("lexeme").distinct()
+    lengths = F.sequence(F.lit(1), F.length("lexeme"))
+    prefixes = vocabulary.where("lexeme <> ''").select("lexeme", F.explode(F.transform(lengths, lambda n: F.substring(F.col("lexeme"), F.lit(1), n))).alias("stem"))
+    wanted = prefixes.join(asked, "stem").select("query_id", "lexeme", "stem")
     marks = postings.join(wanted, "lexeme").select("query_id", "chunk_id", "stem", F.explode("positions").alias("position"))
     return marks.groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("stem", "position")).alias("m")).select("query_id", "chunk_id", density("m").alias("density"))
 
@@ -245,12 +247,14 @@ def text_leg(chunks: DataFrame, queries: DataFrame, k: int, least: float = 0.6,
 
     chunks: chunk_id, content; queries: query_id, query_text, a stated set.
     postings is the stored index; without it the chunks are indexed here. Word
-    similarity is computed only where enough trigrams are shared for it.
+    similarity is computed only where enough trigrams are shared for it, which
+    a hash join of the trigrams counts.
     """
     q = queries.select("query_id", "query_text", tx.query_terms(F.lower("query_text")).alias("terms"), vector.trigrams(F.col("query_text")).alias("_q"))
     grams = chunks.select("chunk_id", "content", vector.trigrams(F.col("content")).alias("_c"))
-    pairs = meet(grams, q)
-    enough = pairs.where((F.size("_q") > 0) & (F.size(F.array_intersect("_c", "_q")) >= least * F.size("_q")))
+    asked = q.select("query_id", F.size("_q").alias("_n"), F.explode("_q").alias("_g"))
+    shared = grams.select("chunk_id", F.explode("_c").alias("_g")).join(asked, "_g").groupBy("query_id", "chunk_id", "_n").agg(F.count("*").alias("_k"))
+    enough = shared.where(F.col("_k") >= least * F.col("_n")).join(chunks.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "query_text"), "query_id")
     similar = enough.where(word_similarity_of("query_text", "content") >= least).select("query_id", "chunk_id", F.lit(0.0).alias("density"))
     met = matches(index(chunks) if postings is None else postings, q).unionByName(similar).groupBy("query_id", "chunk_id").agg(F.max("density").alias("density"))
     scored = met.join(grams, "chunk_id").join(q, "query_id")
