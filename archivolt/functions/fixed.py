@@ -11,8 +11,19 @@ STOP_CANDIDATES = (
     "para como este esta estos estas fue ser son hay tiene sin sobre todo entre cuando muy bien puede hace los las del una por que con sus mas "
     "documento documentos datos paciente nombre fecha tipo codigo numero"
 ).split()
+
+# What counts as a word of a candidate term.
 WORD_PATTERN = "[a-záéíóúñü]{4,}"
 
+# Where texts are cut into lines and sentences, and what a heading in capitals is.
+BLANK_LINES = r"\n{3,}"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚ])"
+HEADING = r"^(?:\d+[.)]\s*)?([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s]{3,60})$"
+
+# Characters to a token, for chunks and for contexts; sizes of chunks and of page groups in tokens.
+CHUNK_CHARS, CONTEXT_CHARS = 3, 2.2
+CHUNK_TOKENS, CHUNK_OVERLAP, PAGE_GROUP = 500, 50, 1000
+
 # Kinds of personal data in order of masking: kind, pattern, label.
 PII = (
     ("dni", r"\b(?:\d{8}[A-J]|[XYZ]\d{7}[A-Z])\b", "[DNI]"),
@@ -24,6 +35,9 @@ PII = (
     ("calle", r"\b(?:C/|Calle|Av\.?|Avenida|Paseo|Plaza)\s+[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚñ]*(?:\s+[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚñ]*)*\s*,?\s*(?:n[º°]\s*)?\d+\b", "[DIRECCION]"),
 )
 
+# Day, month and year of a birth date.
+DATE_PARTS = r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
+
 # Small talk.
 SMALL_TALK = (
     "hola holaa buenas buenos dias tardes noches hey gracias ok okay vale adios chau chao saludos quien eres que haces puedes hacer ayuda ayudame "
@@ -68,6 +82,8 @@ PERMISSIONS = {
     "viewer": "documents:read keywords:read query search chat:read chat:write".split(),
     "auditor": "audit:read documents:read keywords:read query search chat:read chat:write".split(),
 }
+
+# Actions that the audit log knows.
 AUDIT_ACTIONS = "login login_failed logout register upload update delete search keyword query export admin_action validation error".split()
 
 # Indicators: code, perspective, direction, unit, target, amber, red, kind of query.

@@ -41,7 +41,7 @@ def found(df: DataFrame, text: str) -> DataFrame:
 def birth_date(c: Column) -> Column:
     """The first birth date in a text, null if there is none or it is no date."""
     hit = F.regexp_extract(c, "(?U)" + BIRTH, 0)
-    part = [F.regexp_extract(hit, r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})", n) for n in (1, 2, 3)]
+    part = [F.regexp_extract(hit, fixed.DATE_PARTS, n) for n in (1, 2, 3)]
     year = part[2].try_cast("int")
     full = F.when(year < 100, F.when(year > 30, year + 1900).otherwise(year + 2000)).otherwise(year)
     iso = F.concat_ws("-", F.lpad(full.cast("string"), 4, "0"), F.lpad(part[1], 2, "0"), F.lpad(part[0], 2, "0"))

@@ -49,23 +49,23 @@ def query_terms(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences: lines, cut also after . ! ? before a capital; trimmed, none empty."""
-    lines = F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚ])", "\n")
+    lines = F.regexp_replace(F.regexp_replace(c, fixed.BLANK_LINES, "\n\n"), fixed.SENTENCE_END, "\n")
     return F.filter(F.transform(F.split(lines, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def chunk_tokens(c: Column) -> Column:
     """Token estimate of the chunker: a third of the length, 1 at least."""
-    return F.greatest(F.lit(1), F.floor(F.length(c) / 3).cast("int"))
+    return F.greatest(F.lit(1), F.floor(F.length(c) / fixed.CHUNK_CHARS).cast("int"))
 
 
 def context_tokens(c: Column) -> Column:
     """Token estimate of the context builder."""
-    return F.floor(F.length(c) / F.lit(2.2)).cast("int")
+    return F.floor(F.length(c) / F.lit(fixed.CONTEXT_CHARS)).cast("int")
 
 
 def heading(c: Column) -> Column:
     """Section: the first line in capitals, else the first line's start, else General."""
-    found = F.regexp_extract(c, r"(?m)^(?:\d+[.)]\s*)?([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s]{3,60})$", 1)
+    found = F.regexp_extract(c, "(?m)" + fixed.HEADING, 1)
     first = F.substring(F.trim(F.split(c, "\n", 2)[0]), 1, 80)
     return F.when(found != "", F.initcap(found)).when(first != "", first).otherwise("General")
 

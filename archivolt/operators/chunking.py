@@ -9,16 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOKENS, OVERLAP, GROUP = 500, 50, 1000
+from archivolt.functions import fixed
+
+MAX_TOKENS, OVERLAP, GROUP = fixed.CHUNK_TOKENS, fixed.CHUNK_OVERLAP, fixed.PAGE_GROUP
 OUT = "document_id long, chunk_index int, content string, page_numbers array<int>, token_count int, edad int"
 
 
 def tokens(text: str) -> int:
-    return max(1, len(text) // 3)
+    return max(1, len(text) // fixed.CHUNK_CHARS)
 
 
 def split(text: str) -> list[str]:
-    lines = re.sub(r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚ])", "\n", re.sub(r"\n{3,}", "\n\n", text)).split("\n")
+    lines = re.sub(fixed.SENTENCE_END, "\n", re.sub(fixed.BLANK_LINES, "\n\n", text)).split("\n")
     return [s for line in lines if (s := line.strip())]
 
 
@@ -30,9 +32,9 @@ def pack(text: str, pages: list[int], most: int = MAX_TOKENS, overlap: int = OVE
     """
     held: list[tuple[str, int]] = []
     seen: set[int] = set()
+    total = 0
     for n, sentence in enumerate(split(text)):
         size = tokens(sentence)
-        total = sum(k for _, k in held)
         if held and total + size > most:
             yield " ".join(s for s, _ in held), sorted(seen) or pages[:1], total
             room, start = overlap, len(held)
@@ -40,11 +42,13 @@ def pack(text: str, pages: list[int], most: int = MAX_TOKENS, overlap: int = OVE
                 start -= 1
                 room -= held[start][1]
             held, seen = held[start:], set()
+            total = sum(k for _, k in held)
         held.append((sentence, size))
+        total += size
         if pages:
             seen.add(pages[min(n, len(pages) - 1)])
     if held:
-        yield " ".join(s for s, _ in held), sorted(seen) or pages[:1], sum(k for _, k in held)
+        yield " ".join(s for s, _ in held), sorted(seen) or pages[:1], total
 
 
 def groups(pages: list[tuple[int, str, int | None]], limit: int = GROUP) -> Iterator[tuple[str, list[int], int | None]]:

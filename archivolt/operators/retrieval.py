@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.functions import text, vector
+from archivolt.functions import fixed, text, vector
 from archivolt.operators.sizes import meet
 from archivolt.operators.terms import find_terms
 
@@ -205,7 +205,7 @@ def pack_context(hits: DataFrame, chars: int = 4000) -> DataFrame:
     b = hits.select("query_id", "rank", block.alias("block")).withColumn("tokens", text.context_tokens(F.col("block"))).withColumn("total", F.sum("tokens").over(w))
     before = F.col("total") - F.col("tokens")
     left = F.lit(budget) - before
-    cut = F.concat(F.substring(F.col("block"), F.lit(1), F.floor(left * F.lit(2.2)).cast("int")), F.lit("..."))
+    cut = F.concat(F.substring(F.col("block"), F.lit(1), F.floor(left * F.lit(fixed.CONTEXT_CHARS)).cast("int")), F.lit("..."))
     part = F.when(F.col("total") <= budget, F.col("block")).when((before <= budget) & (left > 30), cut)
     parts = b.select("query_id", "rank", part.alias("part")).where("part is not null")
     return parts.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "part"))).alias("_p")).select("query_id", F.array_join(F.transform("_p", lambda p: p["part"]), "\n\n").alias("context"))

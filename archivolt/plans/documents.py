@@ -116,7 +116,7 @@ def chunk_fold(t):
     return chunking.chunk_pages(joined).select("document_id", "chunk_index", "content", F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ",").alias("pages"), "token_count", "edad")
 
 
-TITLED = r"(?m)^(?:\d+[.)]\s*)?([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s]{3,60})$"
+TITLED = "(?m)" + fixed.HEADING
 
 
 @query(f"""SELECT chunk_id, CASE WHEN length(body) <= 240 THEN body ELSE substring(body, 1, 237) || '...' END AS fragment,

@@ -154,3 +154,18 @@ def test_a_large_set_meets_rows_in_blocks(spark):
     for most in (100, 4):
         got = meet(rows, few, most)
         assert got.columns == ["a", "id", "v"] and got.count() == 175 and got.distinct().count() == 175
+
+
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_terms_are_found_in_one_pass(spark, most):
+    """All terms of a dictionary, in one part and in several; occurrences of a term do not overlap."""
+    from archivolt.operators.terms import find_terms
+
+    rows = spark.createDataFrame([(1, "aaaa bab"), (2, "nothing"), (3, None), (4, ""), (5, "bab aa 中文中文")], "id long, text string")
+    terms = spark.createDataFrame([(7, "aa"), (7, "bab"), (8, "ba"), (9, "zz"), (9, ""), (9, None), (10, "中文"), (11, "aa")], "owner int, term string")
+    got = {}
+    for r in find_terms(rows, "text", terms, most).collect():
+        for h in r.hits:
+            got[r.id, h.owner] = got.get((r.id, h.owner), 0) + h.n
+    assert got == {(1, 7): 3, (1, 8): 1, (1, 11): 2, (5, 7): 2, (5, 8): 1, (5, 10): 2, (5, 11): 1}
+    assert find_terms(rows, "text", terms.limit(0)).count() == 0 and find_terms(rows.limit(0), "text", terms).count() == 0
