@@ -1,11 +1,13 @@
 """Searches, sharding, dedup and the pipeline: against brute force and on odd rows."""
 
 import hashlib
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -102,6 +104,44 @@ def test_sharding_keeps_the_law(odd, none, spark):
     assert whole.count() == 15 and dict(whole.dtypes)["shard"] == "int"
 
 
+def test_sharding_is_a_plain_walk_round_the_ring(spark):
+    """Keys one by one: round after round each asks the next shard clockwise from its place, in ring order."""
+    keys = list(range(500))
+    df = spark.createDataFrame([(k, f"t{k}") for k in keys], "doc_id long, text string")
+    cell = {k: int(np.int64(np.uint64(xxhash.xxh64_intdigest(str(k), 42))) % 65536) for k in keys}
+    points = sorted((int.from_bytes(hashlib.sha256(f"{s}/{n}".encode()).digest()[:8], "big") % 65536, s) for s in range(8) for n in range(128))
+    room = [500 // 8 + (s < 500 % 8) for s in range(8)]
+    waiting, owner = sorted(keys, key=lambda k: (cell[k], k)), {}
+    for turn in range(8):
+        for k in list(waiting):
+            first = next((i for i, (c, _) in enumerate(points) if c >= cell[k]), 0)
+            met = list(dict.fromkeys(s for _, s in points[first:] + points[:first]))
+            if room[met[turn]]:
+                room[met[turn]] -= 1
+                owner[k] = met[turn]
+                waiting.remove(k)
+    assert {r.doc_id: r.shard for r in sharding.shard_documents(df).collect()} == owner
+
+
+def test_hot_keys_are_numbered_in_parts(spark):
+    """A third of all rows without a key and equal, a third of one key with texts of their own: the same law, and clashing names."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"),
+        F.lit(1).alias("__ring_cell"), F.lit("s").alias("slot"), F.lit(2).alias("__ring_part"),
+    )
+    cold = sharding.bounded_ring(df, "doc_id")
+    for out in (cold, sharding.bounded_ring(df, "doc_id", hot_rows=50, cells=64)):
+        rows = out.collect()
+        assert sorted(out.columns) == sorted(["doc_id", "text", "__ring_cell", "__ring_part", "shard", "slot"]) and len(rows) == 3000
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in df.collect())
+        for s in range(8):
+            assert sorted(r.slot for r in rows if r.shard == s) == list(range(375))
+    parted = sharding.bounded_ring(df, "doc_id", hot_rows=50)
+    assert len(set(map(tuple, parted.where("doc_id is not null").select("doc_id", "text", "shard", "slot").collect()))) == 2000
+    assert Counter((r.doc_id, r.text, r.shard) for r in parted.where("doc_id > 7").collect()) == Counter((r.doc_id, r.text, r.shard) for r in cold.where("doc_id > 7").collect())
+
+
 def test_the_ring_moves_little():
     n = 20_000
     counts = {c: n // 1000 for c in range(0, 65536, 65) if c // 65 < 1000}
@@ -200,6 +240,15 @@ def test_grid_finds_every_link(spark, distance):
         assert unite(signed, edges) == want
 
 
+@pytest.mark.parametrize("text", ["", "One", "a B c", "a b c d", "x x x x x x x x", "É\u00a0b  c\td\x1ce f\n" * 9, prose(77, 500)])
+def test_fingerprints_are_majorities_of_shingle_bits(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert simhash.fingerprint(text) == want
+
+
 def test_manhattan_distance_is_a_lower_bound():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 2**63, (2, 5000), dtype=np.uint64)
@@ -324,6 +373,21 @@ def test_sql_agrees(spark):
         assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
+def test_pipeline_of_empty_tables_and_run(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    empty = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(empty.columns)
+    some = docs.where("doc_id < 60").unionByName(docs.where("doc_id < 60").selectExpr("doc_id + 5000 AS doc_id", "text", "lang", "source", "n_chars"))
+    some.write.parquet(str(tmp_path / "few" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "few" / "labels.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path / "few")).collect()
+    ids = [r.doc_id for r in packed if r.piece == 0]
+    assert ids and len(set(ids)) == len(ids) and max(ids) < 5000
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = [(10_001, None, None, None, None), (10_002, "123 !", None, "s", 5), (10_003, "", "en", None, 0)]

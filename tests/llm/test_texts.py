@@ -214,6 +214,16 @@ def test_languages_of_odd_rows(odd, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_every_language_with_a_label_is_learned(spark):
+    r = random.Random(8)
+    alphabets = ["".join(chr(0x4E00 + 40 * n + i) for i in range(12)) for n in range(230)]
+    rows = [(n * 4 + k, " ".join("".join(r.choice(a) for _ in range(5)) for _ in range(12)), f"l{n:03}") for n, a in enumerate(alphabets) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    got = langid.identify(df, model).join(df, "doc_id").where("lang = lang_pred").count()
+    assert len(model.languages) == 230 and got > 0.95 * len(rows)
+
+
 def test_mixtures_are_resolved():
     counts = np.zeros((2, langid.BUCKETS))
     a, b = "uno dos tres cuatro cinco seis", "one two three four five six"
@@ -225,6 +235,30 @@ def test_mixtures_are_resolved():
     assert list(langid.mixture(model, a)) == ["es"] and langid.mixture(model, "12 !") == {}
 
 
+def test_mixtures_are_those_of_plain_em(spark):
+    """On documents of four languages and mixtures of two: the proportions of a plain EM over the languages that are chosen."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(langid.labelled(docs))
+    some = [t for (t,) in docs.where("length(text) between 200 and 3000").select("text").limit(60).collect()]
+    some += [a[:600] + " " + b[:900] for a, b in zip(some[:20], some[20:40], strict=True)]
+    for text in some:
+        got = langid.mixture(model, text)
+        at = [model.languages.index(x) for x in got]
+        weight = {i: 1 / len(at) for i in at}
+        codes = langid.grams(text).tolist()
+        for _ in range(200):
+            shares = Counter()
+            for c in codes:
+                p = {i: weight[i] * float(model.likelihood[c, i]) for i in at}
+                total = sum(p.values())
+                for i in at:
+                    shares[i] += p[i] / total
+            weight = {i: shares[i] / len(codes) for i in at}
+            if len(at) == 1:
+                break
+        assert all(abs(weight[model.languages.index(x)] - w) < 0.02 for x, w in got.items())
+
+
 def made_corpus(spark):
     r = random.Random(3)
     common = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
