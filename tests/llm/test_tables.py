@@ -2,16 +2,19 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from archivolt.llm import ann, components, queries, sharding, simhash, substring, topk
+from archivolt.llm import ann, components, queries, sharding, simhash, substring, topk, toxicity
 
 from .conftest import prose
 
@@ -410,3 +413,65 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.where("piece = 0").count() == seen
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def highest_marginal(field, text):
+    """By plain forward and backward sums in logarithms."""
+    words = toxicity.WORD.findall((text or "").lower())
+    if not words:
+        return 0.0
+    u = [np.array([0.0, float(np.clip(sum(float(field.weights[f]) for f in toxicity.own_features(w)), -toxicity.MOST, toxicity.MOST))]) for w in words]
+    forward, back = [u[0]], [np.zeros(2)]
+    for x in u[1:]:
+        forward.append(x + np.logaddexp(*(forward[-1][:, None] + field.moves)))
+    for x in reversed(u[1:]):
+        back.append(np.logaddexp(*(field.moves + x + back[-1]).T))
+    joint = np.array(forward) + np.array(back[::-1])
+    return float(np.exp(joint[:, 1] - np.logaddexp(joint[:, 0], joint[:, 1])).max())
+
+
+def test_pipeline_is_brute_force(spark):
+    """run() on 1,000 documents against plain loops over them, stage by stage."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    field = toxicity.train(docs.where(F.col("doc_id").isin(list(rows))), toxicity.training_labels(spark.read.parquet(f"{folder}/labels.parquet")))
+    scores = {i: highest_marginal(field, t) for i, t in rows.items()}
+    rows = {i: t for i, t in rows.items() if scores[i] < 0.5}
+    assert sum(s >= 0.5 for s in scores.values()) > 3
+    low = {i: t.encode().translate(simhash.LOWER).split() for i, t in rows.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in low.items()}
+    ids = sorted(rows)
+    alike = lambda a, b: not (a or b) or len(a & b) >= 0.8 * len(a | b)
+    holds = {}
+    for i in ids:
+        for x in sets[i] or {()}:
+            holds.setdefault(x, []).append(i)
+    pairs = {(i, j) for some in holds.values() for n, i in enumerate(some) for j in some[n + 1 :]}  # others share no shingle
+    group = unite(ids, [(i, j) for i, j in pairs if alike(sets[i], sets[j])])
+    rows = {i: t for i, t in rows.items() if group[i] == i}
+    assert len(rows) < len(ids)
+    words = {i: t.encode().split() for i, t in rows.items()}
+    n = Counter(tuple(w[j : j + 35]) for w in words.values() for j in range(len(w) - 34))
+    left = {}
+    for i, w in words.items():
+        gone = np.zeros(len(w), bool)
+        for j in range(len(w) - 34):
+            if n[tuple(w[j : j + 35])] > 1:
+                gone[j : j + 35] = True
+        left[i] = b" ".join(x for x, g in zip(w, gone) if not g).decode() if gone.any() else rows[i]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t in left.items():
+        tokens = tokenizer.encode(t, add_special_tokens=False).ids + [2]
+        first = len(tokens) % 1024 or 1024
+        for piece, start in enumerate([0, *range(first, len(tokens), 1024)]):
+            part = tokens[start : first if not piece else start + 1024]
+            want[i, piece, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+    used = Counter()
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 1024
