@@ -2,7 +2,9 @@
 
 Each stage is a function of (spark, docs, sf_dir), works on all its
 predecessor kept and is written as Parquet before the next one reads it. All
-but the last return the columns of `documents`.
+but the last return the columns of `documents`. In every stage an empty table
+gives an empty result, other columns than those of `documents` are not read, a
+null doc_id stays null, and very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -21,14 +23,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keep documents that have a language; those without one (`und`) go.
 
     The column lang keeps its label where there is one and takes the
-    prediction where there is none.
+    prediction where there is none. Null texts and those without a letter have
+    no language. Repeated rows all stay.
     """
     model = langid.train(langid.labelled(docs))
     return langid.with_language(docs.select(*COLUMNS), model).where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose toxicity score is below 0.5."""
+    """Keep documents whose toxicity score is below 0.5.
+
+    Texts without letters score 0 and stay; without labels of both classes all
+    stay. Repeated rows share their fate.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = toxicity.train(docs, toxicity.training_labels(labels))
     return toxicity.with_score(docs.select(*COLUMNS), field).where("score < 0.5").select(*COLUMNS)
@@ -38,13 +45,19 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep one document of each group of near-duplicates, the one of smallest doc_id.
 
     Documents are near-duplicates if a chain of texts links them, each with the
-    next at a SimHash similarity of 0.8 or more of their five-word shingles.
+    next at a Jaccard similarity of 0.8 or more of their five-word shingles;
+    candidates come from SimHash fingerprints. Texts without words are alike.
+    Of rows of one doc_id in a group one stays; a group without any doc_id
+    keeps one row.
     """
     return simhash.keep_one(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove the words inside repeated 35-word windows; every document stays, if only with what is left."""
+    """Remove the words inside repeated 35-word windows; every document stays, if only with what is left.
+
+    A null text becomes empty; a text that loses nothing stays as it is.
+    """
     cut = substring.remove_repeats(docs.select(*COLUMNS), with_text=True, carry=("lang", "source"))
     return cut.select(
         "doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars")
@@ -52,7 +65,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 1024 tokens."""
+    """Pack what is left into sequences of 1024 tokens; an empty text is one token."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
