@@ -30,7 +30,7 @@ def trigrams(c: Column) -> Column:
     """
     low = F.lower(c)
     parted = F.concat(F.lit("  "), F.regexp_replace(low, r"(?U)\W+", "   "), F.lit(" "))
-    at_once = F.regexp_extract_all(parted, F.lit("(?=(  [^ ]| [^ ][^ ]| [^ ] |[^ ]{3}|[^ ]{2} ))"), F.lit(1))
+    at_once = F.regexp_extract_all(parted, F.lit("(?=(.[^ ].|  [^ ]))"), F.lit(1))
     words = F.filter(F.split(low, r"(?U)\W+"), lambda w: w != "")
     each = F.transform(
         words,
