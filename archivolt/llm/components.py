@@ -2,11 +2,55 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.common import discard, scratch
 
+EDGES_PER_TASK, KEPT_NODES = 1 << 20, 1 << 19
+
+
+def root(parent: dict[int, int] | list[int], x: int) -> int:
+    """The representative of x in a forest of parents, halving the path to it."""
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that join what those before them left apart; of nodes met a bounded number is remembered."""
+    parent: dict[int, int] = {}
+    for batch in batches:
+        u, v = np.asarray(batch.column("u")), np.asarray(batch.column("v"))
+        kept = []
+        if len(parent) > KEPT_NODES:
+            parent = {}
+        for n, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+            x, y = root(parent, parent.setdefault(a, a)), root(parent, parent.setdefault(b, b))
+            if x != y:
+                parent[x] = y
+                kept.append(n)
+        yield pa.record_batch([pa.array(u[kept], pa.int64()), pa.array(v[kept], pa.int64())], names=["u", "v"])
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """A scratch table of fewer edges that connect the same nodes: a forest of each task's share.
+
+    Links found many times over, as those of a large group in many grids, would
+    else be read in every round. Forgetting a node keeps edges, never loses
+    one, so memory is bounded and the components are the same.
+    """
+    clean = scratch(edges.where("u is not null and v is not null and u <> v").select("u", "v"), "edges")
+    tasks = max(4, math.ceil(clean.count() / EDGES_PER_TASK))
+    out = scratch(clean.coalesce(tasks).mapInArrow(_forest, "u long, v long"), "edges")
+    discard(clean)
+    return out
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of the edges (u, v); label is the component's smallest node.
@@ -18,8 +62,9 @@ def components(edges: DataFrame) -> DataFrame:
     adaptive execution splits; those of earlier rounds are removed. Null ends,
     loops and repeated edges do no harm; no edges give an empty result.
     """
-    pairs = edges.where("u is not null and v is not null and u <> v").distinct()
-    pairs = scratch(pairs.select("u", "v").union(pairs.select("v", "u")), "edges")
+    few = thinned(edges)
+    pairs = scratch(few.union(few.select("v", "u")), "edges")
+    discard(few)
     label = scratch(pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("label")), "labels")
     while True:
         near = pairs.join(label.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "label")

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import scratch
-from archivolt.llm.components import components
+from archivolt.llm.common import scratch, unused
+from archivolt.llm.components import components, root
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
@@ -132,13 +132,6 @@ def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node
     return edges
 
 
-def root(parent: list[int], x: int) -> int:
-    """The representative of x in a forest of parents, halving the path to it."""
-    while parent[x] != x:
-        parent[x] = x = parent[parent[x]]
-    return x
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two arrays without repeats; two empty ones are alike."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -227,7 +220,10 @@ def in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
 
 
 def near_links(nodes: DataFrame, distance: int = 4, block_rows: int = 16384) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints within the distance; nodes has fp and node (long), each fp once."""
+    """Edges (u, v) that connect all fingerprints within the distance; nodes has fp and node (long), each fp once.
+
+    No nodes, or none within the distance of another, give no edges.
+    """
     rows = scratch(nodes.select("fp", "node").mapInArrow(_grid(distance), "grid int, cell long, visitor boolean, fp long, node long"), "grid")
     exclude = lambda a, b: np.bitwise_count(embed(a[:, 0])[:, None] ^ embed(b[:, 0])[None, :]) <= distance
     return in_blocks(rows, block_rows).mapInArrow(_cells(("fp",), exclude, distance), "u long, v long")
@@ -367,7 +363,7 @@ def in_pairs_of_blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
 
 
 def _link_cells(distance: int, similarity: float):
-    """Edges between the texts of each cell, thinned to a forest of the cell's components.
+    """Edges from the smallest node of each component of a cell to the others.
 
     Of two texts first the numbers of shingles, then the Manhattan distance of
     the counts of two-bit segments, a lower bound, and last the bits decide.
@@ -391,6 +387,12 @@ def _link_cells(distance: int, similarity: float):
         last = np.repeat(starts + sizes, sizes)  # the end of each row's cell
         at = np.flatnonzero(np.repeat(sizes, sizes) <= FEW)
         parent: dict[int, int] = {}
+
+        def star(rows: list[int]) -> None:
+            """Edges from the smallest node, so that grids in which the same texts meet send the same edges."""
+            least = int(node[rows].min())
+            edges.extend((least, v) for v in node[rows].tolist() if v != least)
+
         for shift in range(1, FEW):
             at = at[at + shift < last[at]]
             if not len(at):
@@ -398,20 +400,21 @@ def _link_cells(distance: int, similarity: float):
             met = at[near(at, at + shift, rows)]
             for a in met.tolist():
                 x, y = root(parent, parent.setdefault(a, a)), root(parent, parent.setdefault(a + shift, a + shift))
-                if x != y:
-                    parent[x] = y
-                    edges.append((int(node[a]), int(node[a + shift])))
+                parent[x] = y
+        groups: dict[int, list[int]] = {}
+        for a in parent:
+            groups.setdefault(root(parent, a), []).append(a)
+        for rows_ in groups.values():
+            star(rows_)
         for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-            left, front = np.arange(start, start + size), []
-            while len(left):  # breadth first: rows reached leave, so a tight group costs one pass
-                if front:
-                    a = front.pop()
-                else:
-                    a, left = int(left[0]), left[1:]
-                met = near(np.array([a]), left, rows)
-                edges += [(int(node[a]), int(v)) for v in node[left[met]]]
-                front += left[met].tolist()
-                left = left[~met]
+            left = np.arange(start, start + size)
+            while len(left):  # rows reached leave, so a tight group costs one pass
+                reached, left = [int(left[0])], left[1:]
+                for a in reached:
+                    met = near(np.array([a]), left, rows)
+                    reached += left[met].tolist()
+                    left = left[~met]
+                star(reached)
         return edges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,11 +500,12 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
 
     Of rows that share that doc_id the one whose text has the smallest hash
     stays, and of rows repeated with their text, one. A group without any
-    doc_id keeps one row. All columns stay.
+    doc_id keeps one row. All columns stay, whatever they are called. An empty
+    table gives an empty result.
     """
     found = scratch(similar_groups(docs, words, similarity), "found")
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m"))
-    names = ["__kept_id", "__kept_null", "__kept_text"]  # joined by; no column of docs may have such a name
+    names = unused(docs.columns, "__kept_id", "__kept_null", "__kept_text")
     key = [F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1])]
     chosen = scratch(first.select("m.doc_id", "m.th").select(*key, F.col("th").alias(names[2])).distinct(), "chosen")
     kept = docs.select("*", *key, F.coalesce(F.xxhash64("text"), F.lit(0)).alias(names[2])).join(chosen, names, "left_semi")
@@ -511,5 +515,6 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text of `documents`; odd rows as in near_duplicates."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
