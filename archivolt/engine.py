@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from archivolt import schemas
 from archivolt.functions import fixed, pii, text
 from archivolt.models import ExtractiveGenerator, Generator, OverlapReranker, Reranker, rerank_logits
-from archivolt.operators import chat, knowledge, lifecycle, retrieval, scorecard, workflow
+from archivolt.operators import chat, knowledge, lifecycle, ocr, retrieval, scorecard, workflow
+from archivolt.sources import sinks
 
 
 @dataclass
@@ -242,6 +243,149 @@ class Engine:
         self.require(user, "bsc:read")
         return scorecard.usage(self.tables["audit"])
 
+    def users(self, user: User | None = None) -> DataFrame:
+        self.require(user, "users:read")
+        return self.tables["users"].orderBy("created_at", "user_id")
+
+    def add_user(self, user: User | None, username: str, email: str, role: str) -> str:
+        """Add an account and return its role: the first one of all is an admin whatever is asked, later ones never are."""
+        users = self.tables["users"]
+        first = users.limit(1).count() == 0
+        if not first:
+            self.require(user, "users:create")
+            if role not in fixed.ROLES or role == "admin":
+                raise ValueError(role)
+            if users.where(F.col("username") == username).limit(1).count():
+                raise ValueError(f"user exists: {username}")
+        given = "admin" if first else role
+        number = users.agg(F.coalesce(F.max("user_id"), F.lit(0)) + 1).first()[0]
+        new = self.spark.createDataFrame([(number, username, email, given, True)], "user_id bigint, username string, email string, role string, is_active boolean")
+        self.tables["users"] = users.unionByName(new.withColumn("created_at", F.current_timestamp()), allowMissingColumns=True)
+        return given
+
+    def patch_user(self, user: User | None, user_id: int, role: str | None = None, is_active: bool | None = None) -> None:
+        self.require(user, "users:update")
+        changes = {c: v for c, v in {"role": role, "is_active": is_active}.items() if v is not None}
+        if not changes:
+            raise ValueError("nothing to change")
+        hit = F.col("user_id") == user_id
+        self.tables["users"] = self.tables["users"].withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()})
+
+    def delete_user(self, user: User, user_id: int) -> None:
+        self.require(user, "users:update")
+        self.tables = lifecycle.delete_user(self.tables, user_id, user.user_id)
+
+    def upload(self, user: User | None, files: DataFrame) -> DataFrame:
+        """What becomes of each file (file_id, filename, content): its hash and status, without exceptions."""
+        self.require(user, "documents:upload")
+        known = self.tables["documents"]
+        return lifecycle.validate_files(files, known if "file_hash" in known.columns else None)
+
+    def reprocess(self, user: User | None, ids: list[int]) -> None:
+        self.require(user, "documents:update")
+        again = F.col("document_id").isin(ids) & (F.col("status") != "processing")
+        self.tables["documents"] = self.tables["documents"].withColumn("status", F.when(again, "pending").otherwise(F.col("status")))
+
+    def document(self, document_id: int) -> DataFrame:
+        return self.tables["documents"].where(F.col("document_id") == document_id)
+
+    def patch_patient(self, user: User | None, patch: DataFrame) -> None:
+        self.require(user, "documents:update")
+        self.tables["patients"] = lifecycle.patch_patient(self.tables["patients"], patch)
+
+    def correct_word(self, user: User | None, document_id: int, page: int, box_index: int, new: str) -> str:
+        """Correct a recognised word in its box and, once, in each chunk of the page; returns the old word."""
+        self.require(user, "documents:update")
+        if not new.strip():
+            raise ValueError("empty text")
+        boxes = self.tables["word_boxes"]
+        row = boxes.where((F.col("document_id") == document_id) & (F.col("page") == page) & (F.col("box_index") == box_index)).first()
+        if row is None:
+            raise LookupError("no such word")
+        self.tables["word_boxes"] = ocr.correct_box(boxes, document_id, page, box_index, new)
+        if row["text"] and row["text"] != new.strip():
+            self.tables["chunks"] = lifecycle.correct_word(self.tables["chunks"], document_id, page, row["text"], new.strip())
+        return row["text"]
+
+    def history(self, user: User | None, n: int = 100) -> DataFrame:
+        """The newest questions of the audit log, for an export."""
+        self.require(user, "export")
+        return self.tables["audit"].where("action = 'query'").orderBy(F.desc("created_at")).limit(n)
+
+    def audit_export(self, user: User | None, n: int = 5000, since: str | None = None, until: str | None = None, **equal) -> DataFrame:
+        self.require(user, "audit:read")
+        rows = self.tables["audit"]
+        for c, v in equal.items():
+            rows = rows.where(F.col(c) == v)
+        if since:
+            rows = rows.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
+        if until:
+            rows = rows.where(F.col("created_at") <= F.lit(until).cast("timestamp"))
+        return rows.orderBy(F.desc("created_at")).limit(n)
+
+    def keyword_domains(self, user: User | None = None) -> DataFrame:
+        self.require(user, "keywords:read")
+        return knowledge.catalogue_domains(self.tables["keywords"])
+
+    def patch_keyword(self, user: User | None, keyword_id: int, **changes) -> None:
+        self.require(user, "keywords:write")
+        self.tables["keywords"] = lifecycle.patch_keyword(self.tables["keywords"], keyword_id, **changes)
+
+    def import_keywords(self, user: User | None, rows: DataFrame) -> int:
+        """Add an import's new terms (term, category); returns how many there were."""
+        self.require(user, "keywords:write")
+        new = [tuple(r) for r in lifecycle.import_keywords(self.tables["keywords"], rows).select("term", "category").orderBy("term").collect()]
+        k = self.tables["keywords"]
+        start = k.agg(F.coalesce(F.max("keyword_id"), F.lit(0))).first()[0]
+        added = self.spark.createDataFrame([(start + n, *r, 1, True) for n, r in enumerate(new, 1)], "keyword_id int, term string, category string, priority int, is_active boolean")
+        self.tables["keywords"] = k.unionByName(added, allowMissingColumns=True)
+        return len(new)
+
+    def expand_term(self, term: str) -> list[str]:
+        """All forms of the synonym groups that hold a term."""
+        row = retrieval.expand_term(self.spark.createDataFrame([(term,)], "term string"), self.tables["synonyms"]).first()
+        return list(row["forms"]) if row else []
+
+    def drop_synonyms(self, user: User | None, canonical: str) -> None:
+        self.require(user, "keywords:write")
+        self.tables["synonyms"] = self.tables["synonyms"].where(F.col("canonical") != canonical)
+
+    def import_synonyms(self, user: User | None, rows: DataFrame) -> int:
+        """Add an import's new pairs (canonical, synonym, category); returns how many there were."""
+        self.require(user, "keywords:write")
+        s = self.tables["synonyms"]
+        new = [tuple(r) for r in lifecycle.import_synonyms(s, rows).select("canonical", "synonym", "category").orderBy("canonical", "synonym").collect()]
+        start = s.agg(F.coalesce(F.max("edge_id"), F.lit(0))).first()[0]
+        self.tables["synonyms"] = s.unionByName(self.spark.createDataFrame([(start + n, *r) for n, r in enumerate(new, 1)], "edge_id int, canonical string, synonym string, category string"))
+        return len(new)
+
+    def knowledge(self, user: User | None = None, domain: str | None = None) -> dict[str, DataFrame]:
+        """What the corpus knows of the catalogue: coverage, matches, gaps and heatmap."""
+        self.require(user, "bsc:read")
+        t = self.tables
+        return {
+            "coverage": knowledge.coverage(t["keywords"], t["chunk_keywords"]), "matches": knowledge.match_counts(t["keywords"], t["chunk_keywords"]),
+            "gaps": knowledge.gaps_by_domain(t["keywords"], t["chunk_keywords"]), "heatmap": knowledge.heatmap(t["keywords"], t["chunk_keywords"], t["chunks"], t["documents"], domain),
+        }
+
+    def support(self, user: User | None = None, n: int = 50) -> dict:
+        """The support index of the newest questions: their sources on average, with a middling score."""
+        self.require(user, "bsc:read")
+        last = self.tables["audit"].where("action = 'query'").orderBy(F.desc("created_at")).limit(n)
+        seen, evidence = last.agg(F.count("*"), F.coalesce(F.round(F.avg(F.coalesce("n_sources", F.lit(0))), 2), F.lit(0.0))).first()
+        index = scorecard.support(F.lit(evidence), F.lit(0), F.lit(0.5), F.lit(1 if seen else 0))
+        value, level = self.spark.range(1).select(index, scorecard.support_level(index)).first()
+        return {"index": value, "level": level, "queries": seen}
+
+    def report(self, user: User | None = None, workbook: bool = False) -> bytes:
+        """The scorecard with gaps and plans, as a PDF or an XLSX file."""
+        self.require(user, "bsc:read")
+        states, gaps, plans = self.scorecard(user), self.gaps(), self.tables["action_plans"]
+        if workbook:
+            return sinks.workbook({"kpis": states, "gaps": gaps, "plans": plans})
+        lines = [r["line"] for r in sinks.report_rows(states, gaps, plans).orderBy("part", "key").collect()]
+        return sinks.pdf("Scorecard", lines)
+
     def stream(self, answer: dict) -> Iterator[str]:
         """Events of an answer: sources, words, end."""
         yield f"sources {answer['sources']}"

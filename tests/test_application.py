@@ -178,3 +178,51 @@ def test_a_refreshed_table_is_read_again_after_its_time(spark):
 def test_titles(spark):
     df = spark.createDataFrame([(None,), ("",), ("x" * 200,)], "t string")
     assert [r[0] for r in df.select(chat.title(F.col("t"))).collect()] == [fixed.NEW_CONVERSATION] * 2 + ["x" * 120]
+
+
+def test_accounts(spark):
+    e = engine(spark, Mute("x"))
+    e.tables |= {"users": spark.createDataFrame([], schemas.schema("users"))}
+    e.tables["keywords"] = e.tables["keywords"].withColumn("created_by", F.lit(2).cast("long"))
+    assert e.add_user(None, "root", "r@x.example", "viewer") == "admin"
+    admin = User(1, "root", "admin")
+    assert e.add_user(admin, "eva", "e@x.example", "editor") == "editor"
+    for wrong in (("eva", "editor"), ("leo", "admin"), ("leo", "king")):
+        with pytest.raises(ValueError):
+            e.add_user(admin, wrong[0], "", wrong[1])
+    with pytest.raises(PermissionError):
+        e.add_user(EDITOR, "leo", "", "viewer")
+    e.patch_user(admin, 2, role="auditor", is_active=False)
+    assert [(r.username, r.role, r.is_active) for r in e.users(admin).collect()] == [("root", "admin", True), ("eva", "auditor", False)]
+    with pytest.raises(ValueError):
+        e.patch_user(admin, 2)
+    e.delete_user(admin, 2)
+    assert e.users(admin).count() == 1
+
+
+def test_documents_and_reports(spark):
+    e = engine(spark, Mute("x"))
+    t = Tables(spark, "/root/testdata/sf0.001").all()
+    admin = User(1, "root", "admin")
+    e.tables |= t | {"word_boxes": spark.createDataFrame([(1, 1, 0, "dosis")], "document_id bigint, page int, box_index int, text string")}
+    e.tables["chunks"] = spark.createDataFrame([(1, 1, "La dosis y la dosis.", [1]), (2, 1, "otra dosis", [2])], "chunk_id bigint, document_id bigint, content string, page_numbers array<int>")
+    assert e.correct_word(EDITOR, 1, 1, 0, " DOSIS ") == "dosis"
+    assert [r.content for r in e.tables["chunks"].orderBy("chunk_id").collect()] == ["La DOSIS y la dosis.", "otra dosis"] and e.tables["word_boxes"].first().text == "DOSIS"
+    with pytest.raises(LookupError):
+        e.correct_word(EDITOR, 1, 1, 9, "x")
+    e.reprocess(EDITOR, [0, 1])
+    assert [r.status for r in e.document(0).union(e.document(1)).collect()] == ["pending", "processing"]
+    files = spark.createDataFrame([(1, "a.pdf", bytearray(b"%PDF-1 x")), (2, "b.txt", bytearray(b"x"))], "file_id int, filename string, content binary")
+    assert {r.file_id: r.status_code for r in e.upload(EDITOR, files).collect()} == {1: 200, 2: 400}
+    assert e.report(admin).startswith(b"%PDF") and e.report(admin, workbook=True)[:2] == b"PK"
+    assert e.support(admin)["queries"] == 50 and set(e.knowledge(admin)) == {"coverage", "matches", "gaps", "heatmap"}
+    assert e.knowledge(admin)["coverage"].first().total == 13 and e.keyword_domains(admin).count() > 3
+    assert e.history(admin, 5).count() == 5 and e.audit_export(admin, 7, since="2024-01-01", action="query").count() == 7
+    rows = spark.createDataFrame([("Nuevo ", "x"), ("the", "y"), ("", "z")], "term string, category string")
+    assert e.import_keywords(admin, rows) == 1 and e.keyword_list(admin, "x").first().term == "Nuevo"
+    pairs = spark.createDataFrame([("dolor", "pena", "c"), ("dolor", "Pena", "c"), ("solo", None, "c")], "canonical string, synonym string, category string")
+    assert e.import_synonyms(admin, pairs) == 2 and e.expand_term("PENA") == ["dolor", "pena"]
+    e.drop_synonyms(admin, "dolor")
+    assert e.expand_term("pena") == []
+    with pytest.raises(PermissionError):
+        e.report(User(5, "v", "viewer"))
