@@ -18,7 +18,8 @@ FROM keywords k LEFT JOIN (SELECT DISTINCT keyword_id FROM ck) f ON f.keyword_id
 
 @query("SELECT chunk_id, keyword_id, match_count FROM ck", "ck")
 def chunk_keyword_counts(t):
-    return t.chunk_keywords
+    """The tagging itself; other queries read its stored result."""
+    return k.match_keywords(t.chunks, t.keywords)
 
 
 @query(COVER, "ck")
