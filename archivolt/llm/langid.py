@@ -55,6 +55,14 @@ class Model:
         return Model(languages, np.ascontiguousarray((p / p.sum(axis=1, keepdims=True)).T.astype(np.float32)))
 
 
+    def with_background(self) -> Model:
+        """The model with UNKNOWN as one more language, in which all n-grams are equally likely."""
+        if not self.languages:
+            return self
+        flat = np.full((BUCKETS, 1), 1 / BUCKETS, np.float32)
+        return Model([*self.languages, UNKNOWN], np.ascontiguousarray(np.concatenate([self.likelihood, flat], axis=1)))
+
+
 def expectation_maximisation(p: np.ndarray, n: np.ndarray, weight: np.ndarray, rounds: int = 30, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Mixture weights of the columns of p, and the log-likelihood of n-grams met n times.
 
@@ -167,14 +175,30 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_predict(shared), _OUT)
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and lang_pred; a column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.likelihood))
+def main_language(model: Model, text: str | None) -> str:
+    """The language of the largest share; UNKNOWN without letters, or if over half of the text is of no learned language.
+
+    The latter needs a model with a background: what it explains better than
+    any language, such as another script or random letters, is of none.
+    """
+    found = mixture(model, text)
+    if found.get(UNKNOWN, 0.0) > 0.5:
+        return UNKNOWN
+    return next((x for x in found if x != UNKNOWN), UNKNOWN)
+
+
+def with_language(docs: DataFrame, model: Model, background: bool = False) -> DataFrame:
+    """All columns of docs and lang_pred; a column of that name is replaced.
+
+    With a background a text that is mostly of no learned language is `und`.
+    """
+    known = model.with_background() if background else model
+    shared = docs.sparkSession.sparkContext.broadcast((known.languages, known.likelihood))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(*shared.value)
+        used = Model(*shared.value)
         for batch in batches:
-            found = [next(iter(mixture(known, t.as_py())), UNKNOWN) for t in batch.column("text")]
+            found = [main_language(used, t.as_py()) for t in batch.column("text")]
             yield pa.record_batch([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "lang_pred"])
 
     docs = docs.drop("lang_pred")
