@@ -20,14 +20,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that have a language; those without one (`und`) go.
+    """Keep documents in one of the learned languages; those in none (`und`) go.
+
+    These are texts without a letter, and texts of which a background of
+    equally likely n-grams explains more than half better than any language.
 
     The column lang keeps its label where there is one and takes the
-    prediction where there is none. Null texts and those without a letter have
-    no language. Repeated rows all stay.
+    prediction where there is none. Null texts have no language, and without
+    any label no text has. Repeated rows all stay.
     """
     model = langid.train(langid.labelled(docs))
-    return langid.with_language(docs.select(*COLUMNS), model).where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return langid.with_language(docs.select(*COLUMNS), model, background=True).where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
