@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from archivolt.llm import ann, components, queries, sharding, simhash, substring, topk, toxicity
+from archivolt.llm import ann, components, langid, queries, sharding, simhash, substring, topk, toxicity
 
 from .conftest import prose
 
@@ -434,7 +434,8 @@ def test_pipeline_is_brute_force(spark):
     """run() on 1,000 documents against plain loops over them, stage by stage."""
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    rows = {r.doc_id: r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    model = langid.train(langid.labelled(docs)).with_background()
+    rows = {r.doc_id: r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "") and langid.mixture(model, r.text).get("und", 0) <= 0.5}
     field = toxicity.train(docs.where(F.col("doc_id").isin(list(rows))), toxicity.training_labels(spark.read.parquet(f"{folder}/labels.parquet")))
     scores = {i: highest_marginal(field, t) for i, t in rows.items()}
     rows = {i: t for i, t in rows.items() if scores[i] < 0.5}

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from archivolt.llm import bpe, langid, licenses, packing, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -214,6 +215,17 @@ def test_languages_of_odd_rows(odd, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_texts_of_no_learned_language_go(spark):
+    """Other scripts and random letters are rejected by the pipeline's stage; all texts of the learned languages stay."""
+    folder = SF.replace("sf0.1", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    strange = ["привет как дела это другой язык " * 3, "中文字符测试文本", "xqzv kjwq zzxv qqkj wvxz " * 4]
+    more = spark.createDataFrame([(10_000 + i, t, None, "s", len(t)) for i, t in enumerate(strange)], docs.schema)
+    kept = corpus_pipeline.language_stage(spark, docs.unionByName(more), folder).collect()
+    letters = [r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert sorted(r.doc_id for r in kept) == sorted(letters)
+
+
 def test_every_language_with_a_label_is_learned(spark):
     r = random.Random(8)
     alphabets = ["".join(chr(0x4E00 + 40 * n + i) for i in range(12)) for n in range(230)]
