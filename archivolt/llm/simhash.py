@@ -103,6 +103,9 @@ def _grid(distance: int):
     return run
 
 
+PAIRS = 1 << 17  # held at a time; in a tight group all of them are within the distance
+
+
 def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node: np.ndarray, within: bool, possible, distance: int, alike=None) -> list[tuple[int, int]]:
     """Edges between a cell's own fingerprints and others, thinned to a forest.
 
@@ -117,7 +120,7 @@ def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node
     base, edges = len(home), []
     if within:
         other, base = np.concatenate([home, other]), 0
-    step = max(1, (1 << 20) // max(1, len(home)))
+    step = max(1, PAIRS // max(1, len(home)))
     for start in range(0, len(other), step):
         part = other[start : start + step]
         at, to = np.nonzero(possible(part, home))
