@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from archivolt.llm import ann, bpe, langid, licenses, packing, sharding, simhash, substring, topk, toxicity
+from archivolt.llm import ann, bpe, filters, langid, licenses, mpeg, packing, sharding, simhash, spelling, substring, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
+    "op11_mpeg_audio": mpeg.op11_mpeg_audio,
+    "op12_filter_audit": filters.op12_filter_audit,
+    "op13_spelling": spelling.op13_spelling,
 }
 
-SQL = {"op3_exact_topk": topk.OP3_SQL, "op6_substring_dedup": substring.OP6_SQL}
+SQL = {"op3_exact_topk": topk.OP3_SQL, "op6_substring_dedup": substring.OP6_SQL, "op12_filter_audit": filters.OP12_SQL}
