@@ -25,4 +25,4 @@ def query(sql: str | None = None, *needs: str):
 
 
 from archivolt.plans import admin, documents, knowledge, retrieval, scorecard  # noqa: E402,F401,I001
-from archivolt.plans import application  # noqa: E402,F401,I001
+from archivolt.plans import application, files  # noqa: E402,F401,I001

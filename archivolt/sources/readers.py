@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions import fixed
 from archivolt.models import Extractor
+from archivolt.sources import workbook
+from archivolt.sources.pdf import PdfExtractor
 
 
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,20 +20,32 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("path").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content")
 
 
-def page_texts(files: DataFrame, extractor: Extractor) -> DataFrame:
-    """(file_id, page, text) by an extractor; a file it cannot read has one row with an error instead."""
+PAGES = pa.schema([("page", pa.int32()), ("text", pa.string()), ("error", pa.string())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for file_id, content in zip(part.file_id, part.content, strict=True):
+
+def page_texts(files: DataFrame, extractor: Extractor | None = None) -> DataFrame:
+    """(file_id, page, text, error) by an extractor, that of PDF files by default; pages count from 0.
+
+    A file it cannot read has one row with the error instead, and a null file
+    is such a file. A file without pages has no rows.
+    """
+    reader = extractor or PdfExtractor()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
                 try:
-                    rows += [(file_id, page, text, None) for page, text in sorted(extractor.pages(bytes(content)).items())]
+                    content = batch.column("content")[n].as_py()
+                    if content is None:
+                        raise ValueError("no content")
+                    rows = [(page, text, None) for page, text in sorted(reader.pages(content).items())]
                 except Exception as e:  # one bad file must not fail the others
-                    rows.append((file_id, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["file_id", "page", "text", "error"]).astype({"page": "Int32"})
+                    rows = [(None, None, str(e))]
+                ids = pa.array([batch.column("file_id")[n].as_py()] * len(rows), batch.column("file_id").type)
+                yield pa.record_batch([ids, *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PAGES, strict=True)]] if rows else [ids, *[pa.array([], f.type) for f in PAGES]], names=["file_id", *PAGES.names])
 
-    return files.select("file_id", "content").mapInPandas(run, "file_id string, page int, text string, error string")
+    kind = files.schema["file_id"].dataType.simpleString()
+    return files.select("file_id", "content").mapInArrow(run, f"file_id {kind}, page int, text string, error string")
 
 
 def keyword_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -45,11 +59,17 @@ def synonym_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("canonical", F.trim(F.regexp_replace("canonical", "^﻿", ""))).where("canonical <> '' and lower(canonical) <> 'canonical'")
 
 
-def synonym_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs of a workbook: a sheet per category, a header row each. Needs the optional openpyxl."""
-    sheets = pd.read_excel(path, sheet_name=None, header=0, usecols=[0, 1], names=["canonical", "synonym"], dtype=str)
-    frame = pd.concat([s.assign(category=name) for name, s in sheets.items()])
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "canonical string, synonym string, category string")
+def synonym_sheets(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """Pairs (canonical, synonym, category) of workbooks: a sheet per category, after a header row each.
+
+    A row without a synonym names its canonical form alone. Pairs among `known`
+    are left out, and a pair comes once with the category of its first sheet
+    and row.
+    """
+    rows = workbook.sheets(spark, path).where("row > 1").select("file", "place", "row", F.trim(F.try_element_at("cells", F.lit(1))).alias("canonical"), F.try_element_at("cells", F.lit(2)).alias("_s"), F.col("sheet").alias("category"))
+    pairs = rows.where("canonical <> ''").withColumn("synonym", F.when(F.coalesce("_s", F.lit("")) == "", F.col("canonical")).otherwise(F.trim("_s")))
+    once = pairs.groupBy("canonical", "synonym").agg(F.min_by("category", F.struct("file", "place", "row")).alias("category"))
+    return once if known is None else once.join(known.select("canonical", "synonym"), ["canonical", "synonym"], "left_anti")
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
+import re
+import struct
+import tempfile
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from archivolt.operators.lifecycle import append_audit
+from archivolt.sources import workbook as books
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -56,24 +60,24 @@ def write_by_document(df: DataFrame, path: str, buckets: int = 64) -> None:
     parted.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def workbook(sheets: dict[str, DataFrame], most: int = 10_000) -> bytes:
-    """A small XLSX file: a sheet per frame of at most `most` rows, as text cells."""
-    names = list(sheets)
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="{kind}.worksheet+xml"/>' for n in range(1, len(names) + 1))
-        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
-        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(x[:31])}" sheetId="{n}" r:id="rId{n}"/>' for n, x in enumerate(names, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{n}" Type="{rel}/worksheet" Target="worksheets/sheet{n}.xml"/>' for n in range(1, len(names) + 1)) + "</Relationships>")
-        for n, name in enumerate(names, 1):
-            df = flat(sheets[name])
-            rows = [df.columns, *[["" if v is None else str(v) for v in r] for r in df.limit(most).collect()]]
-            cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for v in r) + "</row>" for r in rows)
-            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{cells}</sheetData></worksheet>')
-    return buffer.getvalue()
+def workbook(sheets: dict[str, DataFrame], most: int = books.SHEET_ROWS) -> bytes:
+    """An XLSX file of all rows as text cells: a sheet per frame, and another where one is full.
+
+    Rows come to the driver a partition at a time and are written as they
+    come; the file itself is the caller's. For tables too large for one file
+    there is `write_workbooks`.
+    """
+    with tempfile.SpooledTemporaryFile(1 << 24) as file:
+        frames = {name: flat(df) for name, df in sheets.items()}
+        books.write(file, ((name, df.columns, df.toLocalIterator()) for name, df in frames.items()), most)
+        file.seek(0)
+        return file.read()
+
+
+def write_workbooks(df: DataFrame, path: str, sheet: str = "rows") -> None:
+    """All rows as XLSX files in a folder that all executors mount, a file per task."""
+    books.register(df.sparkSession)
+    flat(df).write.format("workbook").option("sheet", sheet).mode("append").save(path)
 
 
 def report_rows(states: DataFrame, gaps: DataFrame, plans: DataFrame) -> DataFrame:
@@ -84,20 +88,94 @@ def report_rows(states: DataFrame, gaps: DataFrame, plans: DataFrame) -> DataFra
     return a.unionByName(b).unionByName(c)
 
 
-def pdf(title: str, lines: list[str], per_page: int = 45) -> bytes:
-    """A plain PDF document of text lines."""
+def _shown(line: str, font: str) -> tuple[bytes, str]:
+    """Operators that show a line, and the font they leave: its letters' own codes, or UTF-16 where these have none."""
+    try:
+        raw = line.encode("cp1252")
+        text, wanted = b"(" + re.sub(rb"[\\()]", rb"\\\g<0>", raw).replace(b"\r", b"\\r").replace(b"\n", b"\\n") + b")", "F1"
+    except UnicodeEncodeError:
+        text, wanted = b"<" + line.encode("utf-16-be", "replace").hex().encode() + b">", "F2"
+    return (b"" if wanted == font else f"/{wanted} 11 Tf ".encode()) + text + b" Tj T*", wanted
+
+
+def _to_unicode() -> bytes:
+    """The map of a font whose codes are UTF-16."""
+    ranges = [f"<{n:02x}00> <{n:02x}ff> <{n:02x}00>" for n in range(256)]
+    parts = "\n".join(f"{len(r)} beginbfrange\n" + "\n".join(r) + "\nendbfrange" for r in (ranges[i : i + 100] for i in range(0, 256, 100)))
+    return f"/CIDInit /ProcSet findresource begin 12 dict begin begincmap /CMapName /U def /CMapType 2 def\n1 begincodespacerange <0000> <ffff> endcodespacerange\n{parts}\nendcmap end end".encode()
+
+
+def pdf(title: str, lines: list[str], per_page: int = 45, compact: bool = False) -> bytes:
+    """A plain PDF document of text lines, in any script.
+
+    compact packs its objects into streams, with a stream of cross references.
+    """
     pages = [lines[i : i + per_page] for i in range(0, len(lines), per_page)] or [[]]
-    objects = ["<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [" + " ".join(f"{4 + 2 * n} 0 R" for n in range(len(pages))) + f"] /Count {len(pages)} >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    bodies: list[tuple[str, bytes | None]] = [
+        ("/Type /Catalog /Pages 2 0 R", None),
+        ("/Type /Pages /Kids [" + " ".join(f"{7 + 2 * n} 0 R" for n in range(len(pages))) + f"] /Count {len(pages)}", None),
+        ("/Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding", None),
+        ("/Type /Font /Subtype /Type0 /BaseFont /Helvetica /Encoding /Identity-H /DescendantFonts [5 0 R] /ToUnicode 6 0 R", None),
+        ("/Type /Font /Subtype /CIDFontType2 /BaseFont /Helvetica /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >>", None),
+        ("", _to_unicode()),
+    ]
     for n, page in enumerate(pages):
-        text = [title, "", *page] if n == 0 else page
-        safe = [t.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") for t in text]
-        stream = "BT /F1 11 Tf 50 790 Td 14 TL " + " ".join(f"({t}) Tj T*" for t in safe) + " ET"
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * n} 0 R >>")
-        objects.append(f"<< /Length {len(stream.encode('cp1252', 'replace'))} >>\nstream\n{stream}\nendstream")
-    out, places = b"%PDF-1.4\n", []
-    for n, body in enumerate(objects, 1):
-        places.append(len(out))
-        out += f"{n} 0 obj\n{body}\nendobj\n".encode("cp1252", "replace")
+        parts, font = [b"BT /F1 11 Tf 50 790 Td 14 TL"], "F1"
+        for line in [title, "", *page] if n == 0 and title else page:
+            shown, font = _shown(line, font)
+            parts.append(shown)
+        bodies.append((f"/Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Contents {8 + 2 * n} 0 R", None))
+        bodies.append(("", b" ".join([*parts, b"ET"])))
+    out, places = bytearray(b"%PDF-1.5\n"), {}
+
+    def put(number: int, info: str, stream: bytes | None, packed: bool) -> None:
+        places[number] = (1, len(out), 0)
+        out.extend(f"{number} 0 obj\n".encode())
+        if stream is None:
+            out.extend(f"<< {info} >>".encode())
+        else:
+            stream, how = (zlib.compress(stream), " /Filter /FlateDecode") if packed else (stream, "")
+            out.extend(f"<< {info} /Length {len(stream)}{how} >>\nstream\n".encode() + stream + b"\nendstream")
+        out.extend(b"\nendobj\n")
+
+    plain = []
+    for number, (info, stream) in enumerate(bodies, 1):
+        if compact and stream is None:
+            plain.append((number, f"<< {info} >>"))
+        else:
+            put(number, info, stream, compact)
+    total = len(bodies) + 1
+    if not compact:
+        start = len(out)
+        out += f"xref\n0 {total}\n0000000000 65535 f \n".encode() + b"".join(f"{places[n][1]:010d} 00000 n \n".encode() for n in range(1, total))
+        return bytes(out) + f"trailer << /Size {total} /Root 1 0 R >>\nstartxref\n{start}\n%%EOF\n".encode()
+    heads, at = [], 0
+    for index, (number, text) in enumerate(plain):
+        heads.append(f"{number} {at}")
+        at += len(text) + 1
+        places[number] = (2, total, index)
+    head = " ".join(heads) + " "
+    put(total, f"/Type /ObjStm /N {len(plain)} /First {len(head)}", (head + " ".join(t for _, t in plain)).encode(), True)
+    places |= {0: (0, 0, 0xFFFF), total + 1: (1, len(out), 0)}
+    rows = [struct.pack(">BIH", *places[n]) for n in range(total + 2)]
+    above = [bytes(7), *rows[:-1]]
+    predicted = b"".join(b"\2" + bytes((x - y) & 255 for x, y in zip(row, up, strict=True)) for row, up in zip(rows, above, strict=True))
     start = len(out)
-    out += f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n".encode() + b"".join(f"{p:010d} 00000 n \n".encode() for p in places)
-    return out + f"trailer << /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{start}\n%%EOF\n".encode()
+    put(total + 1, f"/Type /XRef /Size {total + 2} /W [1 4 2] /Root 1 0 R /DecodeParms << /Predictor 12 /Columns 7 >>", predicted, True)
+    return bytes(out) + f"startxref\n{start}\n%%EOF\n".encode()
+
+
+def pdf_files(docs: DataFrame, per_page: int = 45) -> DataFrame:
+    """(file_id, content): the text of each document as a PDF file, a line of text a line; odd ids in compact form.
+
+    docs: document_id, text. A null text is empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # files are larger than texts
+                ids, texts = (batch.column(c)[at : at + 64].to_pylist() for c in ("document_id", "text"))
+                made = [pdf("", (t or "").split("\n"), per_page, bool(i and i % 2)) for i, t in zip(ids, texts, strict=True)]
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(made, pa.binary())], names=["file_id", "content"])
+
+    return docs.select("document_id", "text").mapInArrow(run, "file_id long, content binary")
