@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,9 +76,16 @@ def detect(joined: str, tried: set[int] | None = None) -> list[Detection]:
         rule = every[n]
         found += [(-rule.priority, m.start() - m.end(), n, m.start(), m.end(), rule.label) for m in rule.pattern.finditer(padded)]
     kept: list[Detection] = []
+    starts: list[int] = []  # of the kept detections that no other kept one holds; their ends ascend with them
+    ends: list[int] = []
     for priority, _, _, start, end, label in sorted(found):
-        if not any(d.start <= start and end <= d.end for d in kept):
-            kept.append(Detection(label, start, end, -priority))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        kept.append(Detection(label, start, end, -priority))
+        first, last = bisect_left(starts, start), bisect_right(ends, end)
+        starts[first : max(first, last)] = [start]
+        ends[first : max(first, last)] = [end]
     return kept
 
 
@@ -91,14 +100,17 @@ def scan(text: str | None) -> dict:
         return out
     for label, phrase in BASE.items():
         if f" {phrase} " in met:
-            starts += [padded.count(" ", 0, m.start()) for m in re.finditer(f"(?= {phrase} )", padded)]
+            starts += [m.start() for m in re.finditer(f"(?= {phrase} )", padded)]
             base.add(label)
     kept = detect(joined, {n for admitted in met.values() for n in admitted})
+    spaces = np.flatnonzero(np.frombuffer(padded.encode("utf-32-le"), np.uint32) == 32) if starts or kept else np.zeros(0, int)
+    before = lambda places: np.searchsorted(spaces, places).tolist()
     if starts:
-        out |= {"n_base": len(starts), "first_word": min(starts), "last_word": max(starts)}
+        out |= {"n_base": len(starts), "first_word": before(min(starts)), "last_word": before(max(starts))}
     score = max([d.priority / 100 for d in kept] + [0.6 if base else 0.0])
     out |= {"base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | {d.label for d in kept})), "score": score}
-    out["spans"] = [{"label": d.label, "first": padded.count(" ", 0, d.start) - 1, "words": padded.count(" ", d.start, d.end) + 1} for d in kept]
+    firsts, lasts = before([d.start for d in kept]), before([d.end for d in kept])
+    out["spans"] = [{"label": d.label, "first": a - 1, "words": b - a + 1} for d, a, b in zip(kept, firsts, lasts, strict=True)]
     return out
 
 
@@ -121,7 +133,8 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words, no labels ('' each), null first and
     last word and score 0. The score is the highest priority of the rules kept,
-    over 100. Rows are independent: repeated rows give repeated results, a null
+    over 100. Whole texts are scanned, in time that grows with their length and
+    no faster. Rows are independent: repeated rows give repeated results, a null
     doc_id stays null, other columns are not read, an empty table gives an
     empty result.
     """
@@ -132,3 +145,22 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every whole text of `documents`; null and empty texts have none, other odd rows as in scan_documents."""
     return scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base places and labels alone, which SQL can tell too."""
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _places(phrase: str) -> str:
+    met = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split(), 1))
+    return f"list_filter(range(0, len(w)), lambda i: {met})"
+
+
+BASE_SQL = (
+    r"WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),"
+    + f" p AS (SELECT doc_id, len(w) AS n, {', '.join(f'{_places(phrase)} AS {label}' for label, phrase in BASE.items())} FROM t),"
+    + """ a AS (SELECT *, list_concat(list_concat(mit, apache), gpl) AS places FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+  concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels FROM a"""
+)

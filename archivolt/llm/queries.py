@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_topk": topk.op3_exact_topk,
     "op4_ann": ann.op4_ann,
     "op5_licenses": licenses.op5_licenses,
+    "license_base": licenses.license_base,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op8_langid": langid.op8_langid,
@@ -20,4 +21,4 @@ QUERIES = {
     "op13_spelling": spelling.op13_spelling,
 }
 
-SQL = {"op3_exact_topk": topk.OP3_SQL, "op6_substring_dedup": substring.OP6_SQL, "op12_filter_audit": filters.OP12_SQL}
+SQL = {"op3_exact_topk": topk.OP3_SQL, "op6_substring_dedup": substring.OP6_SQL, "op12_filter_audit": filters.OP12_SQL, "license_base": licenses.BASE_SQL}

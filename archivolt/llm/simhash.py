@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,14 +105,13 @@ def _grid(distance: int):
 PAIRS = 1 << 17  # held at a time; in a tight group all of them are within the distance
 
 
-def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node: np.ndarray, within: bool, possible, distance: int, alike=None) -> list[tuple[int, int]]:
+def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node: np.ndarray, within: bool, possible, distance: int) -> list[tuple[int, int]]:
     """Edges between a cell's own fingerprints and others, thinned to a forest.
 
     Fingerprints are rows of 64-bit words. `possible` is a lower bound on their
-    distances and excludes most pairs; those it leaves are verified. If `alike`
-    is given, it decides on each pair within the distance, by the places of the
-    two in homes and others. Edges that join what is joined already are left
-    out, so a cell sends fewer edges than it has rows.
+    distances and excludes most pairs; those it leaves are verified. Edges that
+    join what is joined already are left out, so a cell sends fewer edges than
+    it has rows.
     """
     every = np.concatenate([home_node, other_node])
     parent = list(range(len(every)))
@@ -129,7 +127,7 @@ def links(home: np.ndarray, home_node: np.ndarray, other: np.ndarray, other_node
         keep = at != to
         for a, b in zip(at[keep].tolist(), to[keep].tolist(), strict=True):
             x, y = root(parent, a), root(parent, b)
-            if x != y and (alike is None or alike(b, a)):
+            if x != y:
                 parent[x] = y
                 edges.append((int(every[a]), int(every[b])))
     return edges
@@ -142,28 +140,91 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / union if union else 1.0
 
 
-def _cells(words: tuple[str, ...], possible, distance: int, similarity: float | None = None):
-    """Stream over rows sorted by block; hold one pair of blocks at a time.
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start up to its end."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
-    With a similarity, rows have the hashes of their shingles in the column
-    `shingle_set`, and pairs within the distance link if these are that similar.
+
+def similar_edges(sets: list[np.ndarray], first: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect all sets of a Jaccard similarity, thinned to a forest.
+
+    Sets that similar share an element among the rarest n - ceil(s n) + 1 of
+    each, in one order of all elements, so only sets that meet there are
+    compared, and of these only pairs that nothing joins yet. With `first`, a
+    set of one side is compared with those of the other side alone. Empty sets
+    are alike.
     """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, element, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    order = np.lexsort((element, count[element], owner))
+    begin = np.cumsum(sizes) - sizes
+    prefix = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1, 0)
+    taken = order[ranges(begin, begin + prefix)]
+    shared = taken[count[element[taken]] > 1]
+    posting = shared[np.lexsort((owner[shared], element[shared]))]
+    keys, members = element[posting], owner[posting]
+    mine = np.searchsorted(owner[shared], np.arange(len(sets) + 1))  # shared is in order of owners
+    low, high = np.searchsorted(keys, element[shared]), np.searchsorted(keys, element[shared], "right")
+    label, edges = np.arange(len(sets)), []
+    none = np.flatnonzero(sizes == 0)
+    for i in range(len(sets)):
+        of = slice(mine[i], mine[i + 1])
+        met = np.unique(members[ranges(low[of], high[of])]) if sizes[i] else none
+        met = met[met < i]
+        ok = (label[met] != label[i]) & (np.minimum(sizes[met], sizes[i]) >= similarity * np.maximum(sizes[met], sizes[i]) - 1e-6)
+        if first is not None:
+            ok &= first[met] != first[i]
+        for j in met[ok].tolist():
+            if label[j] != label[i] and jaccard(sets[j], sets[i]) >= similarity:
+                label[label == label[j]] = label[i]
+                edges.append((j, i))
+    return edges
+
+
+def _verified(similarity: float):
+    """Edges of similar texts of a pair of blocks; rows (node, shingle_set) come sorted by pair."""
+
+    def flush(rows: list[tuple]) -> list[tuple[int, int]]:
+        own, node = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+        sets = [np.frombuffer(x, dtype="<u8") for r in rows for x in r[2]]
+        return [(int(node[i]), int(node[j])) for i, j in similar_edges(sets, None if rows[0][3] else own, similarity)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("cell", "home_block", "other_block")])
+            own, node, sets = batch.column("own").to_numpy(zero_copy_only=False), np.asarray(batch.column("node")), batch.column("shingle_set").to_pylist()
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            edges: list[tuple[int, int]] = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)], strict=True):
+                key = tuple(keys[:, a].tolist())
+                if key != last and held:
+                    edges += flush(held)
+                    held = []
+                last = key
+                held.append((own[a:b], node[a:b], sets[a:b], key[1] == key[2]))
+            if edges:
+                yield _edges(edges)
+        if held and (edges := flush(held)):
+            yield _edges(edges)
+
+    return run
+
+
+def _cells(words: tuple[str, ...], possible, distance: int):
+    """Stream over rows sorted by block; hold one pair of blocks at a time."""
 
     def flush(rows: list[tuple]) -> list[tuple[int, int]]:
         own, visitor, fp, node = (np.concatenate([r[i] for r in rows]) for i in range(4))
         home, other = own & ~visitor, ~own | visitor
         if len(fp) < 2 or not home.any():
             return []
-        alike = None
-        if similarity is not None:
-            raw = [x for r in rows for x in r[5]]
-            sets = [np.frombuffer(raw[i], dtype="<u8") for i in [*np.flatnonzero(home), *np.flatnonzero(other)]]
-
-            def alike(i: int, j: int) -> bool:
-                a, b = sets[i], sets[j]
-                return min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-6 and jaccard(a, b) >= similarity
-
-        return links(fp[home], node[home], fp[other], node[other], rows[0][4], possible, distance, alike)
+        return links(fp[home], node[home], fp[other], node[other], rows[0][4], possible, distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -176,7 +237,6 @@ def _cells(words: tuple[str, ...], possible, distance: int, similarity: float |
             visitor = batch.column("visitor").to_numpy(zero_copy_only=False)
             fp = np.stack([np.asarray(batch.column(c)) for c in words], axis=1).view(np.uint64)
             node = np.asarray(batch.column("node"))
-            sets = batch.column("shingle_set").to_pylist() if similarity is not None else ()
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             edges: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True):
@@ -185,7 +245,7 @@ def _cells(words: tuple[str, ...], possible, distance: int, similarity: float |
                     edges += flush(held)
                     held = []
                 last = key
-                held.append((own[a:b], visitor[a:b], fp[a:b], node[a:b], key[2] == key[3], sets[a:b]))
+                held.append((own[a:b], visitor[a:b], fp[a:b], node[a:b], key[2] == key[3]))
             if edges:
                 yield _edges(edges)
         if held and (edges := flush(held)):
@@ -300,9 +360,8 @@ def _sets(words: int):
 
 SMALL = 1.25
 SET_ROWS = 1024  # of a block that holds shingles
-GRIDS = 48
+GRIDS = 72
 AXES = 11  # segments whose bit counts make a cell
-SHORT = 32  # shingles up to which a text is in twice the grids
 SPAN = 3.0  # of a cell on the axis of shingle counts, in factors of the similarity
 FEW = 64  # rows of a cell that are compared shift by shift
 
@@ -314,7 +373,7 @@ def grid_axes() -> tuple[np.ndarray, np.ndarray]:
     between texts of a similarity of 0.8 (README.md has the figures).
     """
     random = np.random.default_rng(23)
-    masks = np.zeros((2 * GRIDS, len(LANES)), np.uint64)
+    masks = np.zeros((GRIDS, len(LANES)), np.uint64)
     for g in range(len(masks)):
         for s in random.choice(64 * len(LANES), AXES, replace=False).tolist():
             masks[g, s // 64] |= np.uint64(1 << (s % 64))
@@ -328,10 +387,6 @@ def _cells_of_texts(similarity: float, with_prints: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g in range(len(masks)):
-                if g == GRIDS:
-                    batch = batch.filter(pc.less_equal(batch.column("shingles"), SHORT))
-                if not len(batch):
-                    break
                 fp = np.stack([np.asarray(batch.column(c)) for c in LANES], axis=1).view(np.uint64)
                 n = np.asarray(batch.column("shingles"))
                 span = np.where(n > 0, np.floor((np.log(np.maximum(n, 1)) / -np.log(similarity) + offsets[g]) / SPAN), -1)
@@ -455,7 +510,7 @@ def possible_links(nodes: DataFrame, similarity: float, block_rows: int) -> Data
     number of shingles as axes; texts that meet in a cell of any grid and whose
     bit counts, and then bits, lie within the bound are joined. At a similarity
     of 0.8 two texts share a cell of one grid with a probability of about 0.13,
-    and so of one of 48 with 0.998; at 0.85 with more than 0.9999. README.md has
+    and so of one of 72 with 0.9999. README.md has
     the measured shares. Cells of more than block_rows rows are dealt to pairs
     of blocks.
     """
@@ -479,7 +534,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     few shingles differ in up to a quarter more bits (SMALL), and the bound on
     bits lies four standard deviations above that. What these pairs connect is
     one cell of a second step, which holds the shingles themselves and
-    verifies. Equal texts are one node. Texts without words, null ones too, are
+    compares the texts that share one of their rarest. Equal texts are one node. Texts without words, null ones too, are
     alike. A null doc_id stays null, repeated rows stay separate rows, other
     columns of docs are not read, an empty table gives an empty result.
     """
@@ -489,11 +544,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     maybe = components(possible_links(nodes, similarity, block_rows))
     texts = source.join(maybe.withColumnRenamed("node", "th"), "th").select(F.col("th").alias("node"), F.col("label").alias("cell"), "text")
     sets = texts.mapInArrow(_sets(words), "node long, cell long, shingle_set binary").dropDuplicates(["node"])
-    held = scratch(nodes.select(F.lit(0).alias("grid"), F.lit(False).alias("visitor"), "node", *LANES).join(sets, "node"), "sets")
-    every = lambda a, b: np.ones((len(a), len(b)), bool)
-    bits = 64 * len(LANES)
-    pairs = in_blocks(held.select("grid", "cell", "visitor", "node", *LANES, "shingle_set"), min(block_rows, SET_ROWS))
-    found = components(pairs.mapInArrow(_cells(LANES, every, bits, similarity), "u long, v long"))
+    held = scratch(sets.select(F.lit(0).alias("grid"), F.lit(False).alias("visitor"), "node", "cell", "shingle_set"), "sets")
+    pairs = in_blocks(held, min(block_rows, SET_ROWS))
+    found = components(pairs.mapInArrow(_verified(similarity), "u long, v long"))
     labels = scratch(found.withColumnRenamed("node", "th"), "labels")
     return prints.select("doc_id", "th").join(labels, "th", "left").withColumn("label", F.coalesce("label", "th"))
 

@@ -205,10 +205,10 @@ def fit(words: Vocabulary, toxic: list[np.ndarray], clean: list[np.ndarray], rou
     Documents are numbers of words. Token labels come from the documents'
     labels: tokens of clean documents are clean; in toxic documents the marked
     tokens (`marks_of`) are toxic. Toxic documents without a marked token are
-    left out. Each round reads the next window of each clean document, round and
-    round, and the windows around four of the marked tokens of each toxic one;
-    so within the rounds the fit reads the first 960 words of a clean document
-    whole and, of a longer one, as many windows spread evenly.
+    left out. Each round reads the next windows of each clean document, round and
+    round, and the windows around the next marked tokens of each toxic one: one
+    window and four tokens, and as many more of a long document as it takes to
+    read all of it within the rounds.
     """
     marks = marks_of(words, toxic, clean)
     marked = np.array([any(f in marks for f in forms(w)) for w in words])
@@ -226,16 +226,18 @@ def fit(words: Vocabulary, toxic: list[np.ndarray], clean: list[np.ndarray], rou
     first = np.searchsorted(doc, doc)  # of each mark the number of its document's first mark
     nth, of_doc = np.arange(len(doc)) - first, np.bincount(doc)[doc]
     at = np.maximum(0, places - bad.starts[doc] - WINDOW // 2)
-    every = np.arange(len(good.lengths))
     count = -(-good.lengths // WINDOW)
-    step = np.maximum(count, rounds) // rounds  # of long documents every so many windows
+    per_turn = -(-count // rounds)  # windows of a document in a round
+    every = np.repeat(np.arange(len(count)), per_turn)
+    nth_window = np.arange(len(every)) - np.repeat(np.cumsum(per_turn) - per_turn, per_turn)
+    marks_per_turn = np.maximum(4, -(-of_doc // rounds))
     weights = np.zeros(WIDTH + 1)
     weights[_h("bias")] = -2.0
     square, square_m = np.full(WIDTH + 1, 1e-8), np.full((2, 2), 1e-8)
     for turn in range(rounds):
-        chosen = (nth - 4 * turn) % of_doc < 4
+        chosen = (nth - marks_per_turn * turn) % of_doc < marks_per_turn
         x_bad = bad.windows(doc[chosen], at[chosen])
-        x_good = good.windows(every, turn * step % count * WINDOW)
+        x_good = good.windows(every, (turn * per_turn[every] + nth_window) % count[every] * WINDOW)
         flat = features[np.concatenate([x_bad, x_good]).ravel()]
         y = np.concatenate([marked[x_bad], np.zeros(x_good.shape, bool)]).astype(float)
         u = np.clip(weights[flat].sum(axis=1).reshape(y.shape), -MOST, MOST)
