@@ -87,7 +87,9 @@ def catalogue(keywords: DataFrame, category: str | None = None, inactive: bool =
     return k.orderBy(F.asc_nulls_last("category"), F.asc("term"))
 
 
-def failures(rows: DataFrame, stage: str, error: str, at: Column) -> DataFrame:
+def failures(rows: DataFrame, stage: str, error: str | Column, at: Column) -> DataFrame:
     """Audit rows of documents whose processing failed; the error's first 200 characters."""
-    detail = F.to_json(F.struct(F.lit(stage).alias("stage"), F.lit(error[:200]).alias("error")))
-    return rows.select("document_id").distinct().select(F.lit("error").alias("action"), F.lit("document").alias("resource_type"), F.col("document_id").cast("string").alias("resource_id"), detail.alias("detail"), at.alias("created_at"))
+    said = F.lit(error[:200]) if isinstance(error, str) else F.substring(error, 1, 200)
+    detail = F.to_json(F.struct(F.lit(stage).alias("stage"), F.col("_e").alias("error")))
+    failed = rows.select("document_id", said.alias("_e")).distinct()
+    return failed.select(F.lit("error").alias("action"), F.lit("document").alias("resource_type"), F.col("document_id").cast("string").alias("resource_id"), detail.alias("detail"), at.alias("created_at"))
