@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import OrderedDict
 from functools import lru_cache
 
 import pandas as pd
@@ -220,20 +222,24 @@ def word_similarity(query: str, text: str | None) -> float:
     """Greatest similarity of the query's trigrams with those of any run of the text.
 
     A run opens and closes with a trigram of the query; its similarity is the
-    number of query trigrams in it over the number of trigrams in either.
+    number of query trigrams in it over the number of trigrams in either. One
+    sweep keeps the trigrams met in order of their last places: a run that ends
+    here holds just the latest of them, and one of more than three times the
+    query's is no better than a third.
     """
     q = set(_grams(query))
-    t = _grams(text or "")
-    best, hits = 0.0, [i for i, g in enumerate(t) if g in q]
-    for n, i in enumerate(hits):
-        run: set[str] = set()
-        at = i
-        for j in hits[n:]:
-            run.update(t[at : j + 1])
-            at = j + 1
-            if len(run) > 3 * len(q):  # a longer run is no better than a third
-                break
-            best = max(best, len(run & q) / len(run | q))
+    recent: OrderedDict[str, None] = OrderedDict()
+    best, most = 0.0, 3 * len(q)
+    for g in _grams(text or ""):
+        recent[g] = None
+        recent.move_to_end(g)
+        if g not in q:
+            continue
+        met = 0
+        for n, x in enumerate(itertools.islice(reversed(recent), most), 1):
+            if x in q:
+                met += 1
+                best = max(best, met / (len(q) + n - met))
     return best
 
 

@@ -70,14 +70,14 @@ def term_hits(content: Column, terms: Column) -> Column:
     return F.filter(terms, lambda t: F.contains(low, t))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 30, ascending: bool = False) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 30, ascending: bool = False, lexical: DataFrame | None = None) -> DataFrame:
     """Both legs, fused, with relevance; the k best of those relevant enough.
 
     ascending keeps the weakest fused hits first, for comparison with engines
-    that sort that way.
+    that sort that way. lexical is the second leg where a stored index gives it
+    (`lexical.leg` with LEG_FACTOR * k hits).
     """
-    legs = vector_leg(chunks, queries, LEG_FACTOR * k), lexical_leg(chunks, queries, LEG_FACTOR * k)
-    fused = fuse(*legs)
+    fused = fuse(vector_leg(chunks, queries, LEG_FACTOR * k), lexical_leg(chunks, queries, LEG_FACTOR * k) if lexical is None else lexical)
     terms = queries.select("query_id", text.query_terms(F.lower("query_text")).alias("terms"))
     full = fused.join(chunks.select("chunk_id", "content"), "chunk_id").join(terms, "query_id")
     full = full.withColumn("matched_terms", term_hits(F.col("content"), F.col("terms")))

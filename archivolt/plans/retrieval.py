@@ -57,7 +57,7 @@ def cosine_topk_by_doc_filter(t):
 
 @query(f", {_lexical('chunks', 10)}\nSELECT query_id, chunk_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM l", "chunks", "qs")
 def trigram_topk(t):
-    return r.lexical_leg(t.chunks, t.queries, 10).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return t.lexical("chunks", t.queries, 10).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(f", g AS (SELECT query_id, unnest({TERMS.format(c='lower(query_text)')}) AS term FROM qs)\nSELECT query_id, count(DISTINCT chunk_id) AS chunks FROM g JOIN chunks ON contains(lower(content), term) GROUP BY query_id", "chunks", "qs")
@@ -70,13 +70,13 @@ def keyword_or_match(t):
 
 @query(", ".join(["", VECTOR_LEG.format(k=15), _lexical("vectors", 15), FUSED]) + "\nSELECT query_id, chunk_id, round(score, 8) AS score FROM f", "vectors", "qv")
 def rrf_fusion(t):
-    legs = r.vector_leg(t.vectors, t.query_vectors, 15), r.lexical_leg(t.vectors, t.queries, 15)
+    legs = r.vector_leg(t.vectors, t.query_vectors, 15), t.lexical("vectors", t.queries, 15)
     return r.fuse(*legs).select("query_id", "chunk_id", F.round("score", 8).alias("score"))
 
 
 @query(_hybrid_sql(10) + "\nSELECT query_id, chunk_id, round(score, 8) AS score, relevance, array_to_string(met, ',') AS matched, CAST(rank AS INTEGER) AS rank FROM o", "vectors", "qv")
 def hybrid_search(t):
-    return r.hybrid(t.vectors, t.query_vectors, 10).select("query_id", "chunk_id", F.round("score", 8).alias("score"), "relevance", F.array_join("matched_terms", ",").alias("matched"), "rank")
+    return r.hybrid(t.vectors, t.query_vectors, 10, lexical=t.lexical("vectors", t.query_vectors, 30)).select("query_id", "chunk_id", F.round("score", 8).alias("score"), "relevance", F.array_join("matched_terms", ",").alias("matched"), "rank")
 
 
 @query(_hybrid_sql(10, "ASC") + "\nSELECT query_id, chunk_id, relevance, CAST(rank AS INTEGER) AS rank FROM o", "vectors", "qv")
@@ -228,5 +228,5 @@ def vector_products(t):
 
 @query(", ".join(["", VECTOR_LEG.format(k=15), _lexical("vectors", 15), FUSED]) + "\nSELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) - 1 AS INTEGER) AS rank FROM f QUALIFY rank < 10", "vectors", "qv")
 def rrf_fusion_asc_compat(t):
-    legs = r.vector_leg(t.vectors, t.query_vectors, 15), r.lexical_leg(t.vectors, t.queries, 15)
+    legs = r.vector_leg(t.vectors, t.query_vectors, 15), t.lexical("vectors", t.queries, 15)
     return r.top(r.fuse(*legs), 10, F.asc("score"), F.asc("chunk_id")).select("query_id", "chunk_id", "rank")

@@ -24,6 +24,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 _STORED: dict[tuple[str, str], DataFrame] = {}
+_INDEXES: dict[tuple[str, str, str], str] = {}
 
 
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
@@ -94,6 +95,18 @@ class Tables:
             _STORED[key] = knowledge.match_keywords(self.chunks, self.keywords).persist()
         return _STORED[key]
 
+    def lexical(self, name: str, queries: DataFrame, k: int) -> DataFrame:
+        """Lexical hits in the stored index of a table, which is built once for a session and a folder, as ingestion would."""
+        from archivolt.operators import lexical
+        from archivolt.sources import shared
+
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _INDEXES:
+            path = shared.folder(self.spark, f"index-{name}")
+            lexical.build(getattr(self, name).select("chunk_id", "content"), path)
+            _INDEXES[key] = path
+        return lexical.leg(self.spark, _INDEXES[key], queries, k)
+
     @property
     def acl(self) -> DataFrame:
         return self.raw("documents").where("doc_id % 14 = 0").select(F.col("doc_id").alias("document_id"), F.lit("viewer").alias("role"))

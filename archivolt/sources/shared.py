@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -31,3 +31,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the session may be gone at exit
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new shared folder and read from there: computed once, and no executor's loss undoes it."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
