@@ -89,12 +89,16 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 30, ascending: bool =
 def expand_query(queries: DataFrame, edges: DataFrame, distinct: bool = False, least: int = 0) -> DataFrame:
     """Append the other side of each edge whose one side is in the query, in edge order.
 
-    edges: edge_id, canonical, synonym; a dictionary that every query meets. The canonical side is looked for first.
+    edges: edge_id (a whole number), canonical, synonym. The canonical side is
+    looked for first. Each query is scanned once for all sides of all edges; an
+    empty side is in no query.
     """
-    low = F.lower("query_text")
     e = edges.where((F.length("canonical") >= least) & (F.length("synonym") >= least))
-    hit = F.when(F.contains(low, F.lower("canonical")), F.col("synonym")).when(F.contains(low, F.lower("synonym")), F.col("canonical"))
-    met = meet(queries, e).select("query_id", "edge_id", hit.alias("extra")).where("extra is not null")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.lower("canonical").alias("term")), F.struct(F.lit(1).alias("side"), F.lower("synonym").alias("term")))).alias("s")
+    terms = e.select("edge_id", sides).select((F.col("edge_id").cast("long") * 2 + F.col("s.side")).alias("owner"), "s.term")
+    found = find_terms(queries.select("query_id", F.lower("query_text").alias("_low")), "_low", terms)
+    hits = found.select("query_id", F.explode("hits.owner").alias("_o")).groupBy("query_id", F.floor(F.col("_o") / 2).alias("_e")).agg(F.min(F.col("_o") % 2).alias("_side"))
+    met = hits.join(e, F.col("_e") == F.col("edge_id")).select("query_id", "edge_id", F.when(F.col("_side") == 0, F.col("synonym")).otherwise(F.col("canonical")).alias("extra"))
     if distinct:
         met = met.groupBy("query_id", "extra").agg(F.min("edge_id").alias("edge_id"))
     extra = met.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("edge_id", "extra"))).alias("_x"))
@@ -121,8 +125,11 @@ def expand_by_groups(queries: DataFrame, edges: DataFrame, least: int = 4) -> Da
     form = F.col("form")
     forms = edges.select("canonical", F.explode(F.array("canonical", "synonym")).alias("form")).distinct().withColumn("_f", text.normal_term(form))
     asked = queries.select("query_id", text.normal_term(F.col("query_text")).alias("_n"))
-    inside = (F.length("_f") >= least) & F.contains("_n", "_f")
-    hit = meet(asked, forms.select("canonical", "_f").distinct()).where((F.col("_n") == F.col("_f")) | inside).select("query_id", "_n", "canonical").distinct()
+    known = forms.select("canonical", "_f", F.xxhash64("_f").alias("owner")).distinct()
+    found = find_terms(asked, "_n", known.where(F.length("_f") >= least).select("owner", F.col("_f").alias("term")).distinct())
+    inside = found.select("query_id", "_n", F.explode("hits.owner").alias("owner")).join(known, "owner").where(F.contains("_n", "_f"))
+    whole = asked.join(known, F.col("_n") == F.col("_f"))
+    hit = inside.select("query_id", "_n", "canonical").union(whole.select("query_id", "_n", "canonical")).distinct()
     return hit.join(forms, "canonical").where("_f <> _n").select("query_id", "canonical", "form")
 
 

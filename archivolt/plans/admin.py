@@ -56,12 +56,11 @@ def dedupe_by_hash(t):
     return l.dedupe_by_hash(files).select("file_id", "file_hash")
 
 
-@query("SELECT DISTINCT lower(category) || '-new' AS term FROM keywords WHERE category IS NOT NULL AND lower(category) <> 'verbs'", "keywords")
+@query("SELECT term, category FROM catalogue WHERE keyword_id % 2 = 1", "catalogue")
 def import_anti_join(t):
-    names = t.keywords.where("category is not null").select(F.concat(F.lit(" "), F.lower("category"), F.lit("-new ")).alias("term"), F.lit("x").alias("category"))
-    header = t.spark.sql("SELECT * FROM VALUES ('Term', 'category'), ('', 'x'), (NULL, 'y'), ('the', 'x') AS t(term, category)")
-    stored = t.keywords.select("term").union(t.spark.sql("SELECT 'verbs-new' AS term"))
-    return l.import_keywords(stored, names.union(header)).select("term")
+    names = t.catalogue.select(F.concat(F.lit(" "), "term", F.lit(" ")).alias("term"), "category")
+    header = t.spark.sql("SELECT * FROM VALUES ('Term', 'category'), ('', 'x'), (NULL, 'y') AS t(term, category)")
+    return l.import_keywords(t.catalogue.where("keyword_id % 2 = 0"), names.union(header)).select("term", "category")
 
 
 @query("SELECT 'documents' AS name, count(*) AS n FROM docs WHERE NOT (document_id % 5 = 0 AND status <> 'processing') UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id IN (SELECT document_id FROM docs WHERE NOT (document_id % 5 = 0 AND status <> 'processing')) UNION ALL SELECT 'chunk_keywords', count(*) FROM ck WHERE document_id IN (SELECT document_id FROM docs WHERE NOT (document_id % 5 = 0 AND status <> 'processing'))", "docs", "chunks", "ck")
@@ -112,27 +111,29 @@ def json_path_projection(t):
     return t.raw("events").select("event_id", k.alias("k")).where("k is not null")
 
 
-@query("SELECT keyword_id, term, CASE WHEN term = 'was' THEN true WHEN term = 'the' THEN false ELSE is_active END AS is_active, CASE WHEN keyword_id = 3 THEN 'words' ELSE category END AS category FROM keywords UNION ALL SELECT 15, 'fresh', true, 'legal'", "keywords")
+@query("SELECT keyword_id, term, CASE WHEN term = 'was' THEN true WHEN term = 'the' THEN false ELSE is_active END AS is_active, CASE WHEN keyword_id = 3 THEN 'words' ELSE category END AS category FROM catalogue UNION ALL SELECT (SELECT max(keyword_id) + 1 FROM catalogue), 'fresh', true, 'legal'", "catalogue")
 def keyword_upsert(t):
-    k = t.keywords.withColumn("category", F.col("category").cast("string"))
+    k = t.catalogue.withColumn("category", F.col("category").cast("string"))
     k = l.upsert_keyword(l.upsert_keyword(k, "was", None), "fresh", "legal")
     return l.patch_keyword(l.delete_keyword(k, 1), 3, domain="words").select("keyword_id", "term", "is_active", "category")
 
 
-@query("SELECT canonical, synonym FROM synonyms WHERE canonical <> 'license' UNION ALL SELECT 'license', unnest(['license', 'permit', 'Grant'])", "synonyms")
+@query("SELECT canonical, synonym FROM edges WHERE canonical <> 'license' UNION ALL SELECT 'license', unnest(['license', 'permit', 'Grant'])", "edges")
 def synonym_upsert(t):
-    return l.replace_synonyms(t.synonyms, "license", ["permit ", "PERMIT", "Grant", ""], "legal").select("canonical", "synonym")
+    return l.replace_synonyms(t.edges, "license", ["permit ", "PERMIT", "Grant", ""], "legal").select("canonical", "synonym")
 
 
-@query("SELECT * FROM (VALUES ('canon', 'one'), ('canon', 'two'), ('one', 'canon'), ('two', 'canon')) AS t(canonical, synonym)")
+@query("SELECT DISTINCT p_brand AS canonical, p_name AS synonym FROM part UNION SELECT DISTINCT p_name, p_brand FROM part")
 def synonym_seed_edges(t):
-    groups = t.spark.sql("SELECT * FROM VALUES (1, 'canon', array('canon', 'one', 'two', 'one'), 'c'), (2, 'one', array('canon'), 'c') AS t(group_id, canonical, forms, category)")
+    """A group for each brand: its names, and the brand itself among them."""
+    names = F.sort_array(F.collect_list("p_name"))
+    groups = t.raw("part").groupBy(F.col("p_brand").alias("canonical")).agg(F.min("p_partkey").alias("group_id"), F.concat(F.array(F.first("p_brand")), names).alias("forms"), F.min("p_type").alias("category"))
     return l.seed_edges(groups).select("canonical", "synonym")
 
 
-@query("SELECT keyword_id, term FROM keywords WHERE keyword_id > 5", "keywords")
+@query("SELECT keyword_id, term FROM catalogue WHERE keyword_id % 5 = 0", "catalogue")
 def seed_missing(t):
-    return l.seed_missing(t.keywords.where("keyword_id <= 5"), t.keywords, "term").select("keyword_id", "term")
+    return l.seed_missing(t.catalogue.where("keyword_id % 5 <> 0"), t.catalogue, "term").select("keyword_id", "term")
 
 
 @query("SELECT 'conversations' AS name, count(DISTINCT conv_id) AS n FROM conversations WHERE conv_id % 10 <> 3 UNION ALL SELECT 'messages', count(*) FROM conversations WHERE conv_id % 10 <> 3 UNION ALL SELECT 'keywords', count(*) FILTER (WHERE keyword_id % 2 = 0) FROM keywords UNION ALL SELECT 'proposals', count(*) FROM docs WHERE document_id % 10 = 3 OR document_id % 10 = 0", "keywords", "docs")

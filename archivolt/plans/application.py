@@ -176,9 +176,9 @@ def metadata_light(t):
     return t.documents.where("lang is not null").select("document_id", F.when(parts.isNotNull(), F.array_join(parts, ",")).alias("light"))
 
 
-@query("SELECT keyword_id, term, category, CAST(row_number() OVER (ORDER BY category NULLS LAST, term) AS INTEGER) AS place FROM keywords WHERE is_active", "keywords")
+@query("SELECT keyword_id, term, category, CAST(row_number() OVER (ORDER BY category NULLS LAST, term) AS INTEGER) AS place FROM catalogue WHERE is_active", "catalogue")
 def keyword_listing(t):
-    listed = workflow.catalogue(t.keywords)
+    listed = workflow.catalogue(t.catalogue)
     w = Window.partitionBy("is_active").orderBy(F.asc_nulls_last("category"), F.asc("term"))
     return listed.select("keyword_id", "term", "category", F.row_number().over(w).alias("place"))
 

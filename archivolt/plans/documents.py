@@ -173,10 +173,10 @@ def last_n_memory(t):
 PAGED = "(SELECT * FROM (VALUES (1, 1, [1, 2]), (2, 1, [1]), (3, 1, [3]), (4, 2, [1, 9]), (5, 4, [1]), (6, 9, [1])) AS t(chunk_id, document_id, pages))"
 
 
-@query(f"SELECT chunk_id, min(score) AS ocr_score, arg_min(engine, score) AS ocr_engine, coalesce(min(score) < 45, false) AS low_confidence FROM (SELECT chunk_id, document_id, unnest(pages) AS page FROM {PAGED}) LEFT JOIN (SELECT * FROM ocr_pages WHERE score IS NOT NULL) USING (document_id, page) GROUP BY chunk_id", "ocr_pages")
+@query("SELECT chunk_id, min(score) AS ocr_score, arg_min(engine, score * 1000000 + page) AS ocr_engine, coalesce(min(score) < 45, false) AS low_confidence FROM (SELECT chunk_id, document_id, unnest([page, page + 1]) AS page FROM chunks) LEFT JOIN (SELECT * FROM ocr_pages WHERE score IS NOT NULL) USING (document_id, page) GROUP BY chunk_id", "ocr_pages")
 def ocr_worst_page(t):
-    c = t.spark.sql("SELECT * FROM VALUES (1, 1, array(1, 2)), (2, 1, array(1)), (3, 1, array(3)), (4, 2, array(1, 9)), (5, 4, array(1)), (6, 9, array(1)) AS t(chunk_id, document_id, page_numbers)")
-    return ocr.worst_page(c, t.ocr_pages)
+    page = F.col("page_numbers")[0]
+    return ocr.worst_page(t.chunks.select("chunk_id", "document_id", F.array(page, page + 1).alias("page_numbers")), t.ocr_pages)
 
 
 @query("SELECT document_id, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM ocr_pages WHERE score < 45 GROUP BY document_id", "ocr_pages")
@@ -202,10 +202,10 @@ def word_box_search(t):
     return ocr.find_words(t.boxes, "LICENS").select("id", "text")
 
 
-@query(f"SELECT DISTINCT canonical, {NORM.format(c='canonical')} AS normal, replace({NORM.format(c='canonical')}, ' ', '') AS compact FROM synonyms", "synonyms")
+@query(f"SELECT DISTINCT canonical, {NORM.format(c='canonical')} AS normal, replace({NORM.format(c='canonical')}, ' ', '') AS compact FROM edges", "edges")
 def normalize_terms(t):
     c = F.col("canonical")
-    return t.synonyms.select("canonical", text.normal_term(c).alias("normal"), text.compact_term(c).alias("compact")).distinct()
+    return t.edges.select("canonical", text.normal_term(c).alias("normal"), text.compact_term(c).alias("compact")).distinct()
 
 
 @query("SELECT document_id, ['admin', 'editor', 'assistant', 'auditor', 'assistant', 'viewer', 'assistant'][document_id % 7 + 1] AS role FROM docs", "docs")

@@ -80,9 +80,9 @@ def corpus_domains(t):
     return k.corpus_domains(t.keywords, t.chunk_keywords)
 
 
-@query("SELECT category, count(*) AS terms FROM keywords WHERE is_active AND category IS NOT NULL GROUP BY category", "keywords")
+@query("SELECT category, count(*) AS terms FROM catalogue WHERE is_active AND category IS NOT NULL GROUP BY category", "catalogue")
 def catalogue_domains(t):
-    return k.catalogue_domains(t.keywords)
+    return k.catalogue_domains(t.catalogue)
 
 
 KNOWN = "(SELECT lower(term) FROM keywords UNION SELECT lower(canonical) FROM synonyms UNION SELECT lower(synonym) FROM synonyms)"

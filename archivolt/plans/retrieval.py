@@ -84,44 +84,45 @@ def hybrid_search_asc_compat(t):
     return r.hybrid(t.vectors, t.query_vectors, 10, ascending=True).select("query_id", "chunk_id", "relevance", "rank")
 
 
-@query(f"SELECT query_id, array_to_string({TERMS.format(c='query_text')}, ',') AS terms FROM qs", "qs")
+@query(f"SELECT query_id, array_to_string({TERMS.format(c='query_text')}, ',') AS terms FROM asked", "asked")
 def query_terms_filter(t):
-    return t.queries.select("query_id", F.array_join(text.query_terms(F.col("query_text")), ",").alias("terms"))
+    return t.asked.select("query_id", F.array_join(text.query_terms(F.col("query_text")), ",").alias("terms"))
 
 
-EXPAND = """, x AS (SELECT query_id, edge_id, CASE WHEN contains(lower(query_text), lower(canonical)) THEN synonym WHEN contains(lower(query_text), lower(synonym)) THEN canonical END AS extra FROM qs, synonyms)
-SELECT q.query_id, concat_ws(' ', query_text, e.extra) AS expanded FROM qs q LEFT JOIN (SELECT query_id, string_agg(extra, ' ' ORDER BY edge_id) AS extra FROM x WHERE extra IS NOT NULL GROUP BY query_id) e USING (query_id)"""
+EXPAND = """, x AS (SELECT query_id, edge_id, CASE WHEN contains(lower(query_text), lower(canonical)) THEN synonym WHEN contains(lower(query_text), lower(synonym)) THEN canonical END AS extra FROM asked, edges)
+SELECT q.query_id, concat_ws(' ', query_text, e.extra) AS expanded FROM asked q LEFT JOIN (SELECT query_id, string_agg(extra, ' ' ORDER BY edge_id) AS extra FROM x WHERE extra IS NOT NULL GROUP BY query_id) e USING (query_id)"""
 
 
-@query(EXPAND, "qs", "synonyms")
+@query(EXPAND, "asked", "edges")
 def synonym_expand_query(t):
-    return r.expand_query(t.queries, t.synonyms).select("query_id", "expanded")
+    return r.expand_query(t.asked, t.edges).select("query_id", "expanded")
 
 
 NORM = "trim(regexp_replace(lower(regexp_replace(strip_accents({c}), '[^\\w\\s]|_', ' ', 'g')), '\\s+', ' ', 'g'))"
 
 
-@query(f""", fm AS (SELECT canonical, canonical AS form FROM synonyms UNION SELECT canonical, synonym FROM synonyms),
+@query(f""", fm AS (SELECT canonical, canonical AS form FROM edges UNION SELECT canonical, synonym FROM edges),
 keyed AS (SELECT canonical, {NORM.format(c='form')} AS key FROM fm UNION SELECT canonical, replace({NORM.format(c='form')}, ' ', '') FROM fm),
-asked AS (SELECT term, unnest([{NORM.format(c='term')}, replace({NORM.format(c='term')}, ' ', '')]) AS key FROM (VALUES ('DNI'), ('licence'), ('Und'), ('nada')) AS t(term))
-SELECT term, array_to_string(list_sort(list(DISTINCT {NORM.format(c='form')})), ',') AS forms FROM (SELECT DISTINCT term, canonical FROM asked JOIN keyed USING (key)) JOIN fm USING (canonical) GROUP BY term""", "synonyms")
+asked AS (SELECT term, unnest([{NORM.format(c='term')}, replace({NORM.format(c='term')}, ' ', '')]) AS key FROM (SELECT DISTINCT upper(n_name) AS term FROM nation UNION SELECT DISTINCT p_name FROM part UNION SELECT unnest(['DNI', 'licence', 'Und', 'nada'])))
+SELECT term, array_to_string(list_sort(list(DISTINCT {NORM.format(c='form')})), ',') AS forms FROM (SELECT DISTINCT term, canonical FROM asked JOIN keyed USING (key)) JOIN fm USING (canonical) GROUP BY term""", "edges")
 def synonym_expand_term(t):
-    asked = t.spark.sql("SELECT * FROM VALUES ('DNI'), ('licence'), ('Und'), ('nada') AS t(term)")
-    return r.expand_term(asked, t.synonyms).select("term", F.array_join("forms", ",").alias("forms"))
+    more = t.spark.sql("SELECT * FROM VALUES ('DNI'), ('licence'), ('Und'), ('nada') AS t(term)")
+    asked = t.raw("nation").select(F.upper("n_name").alias("term")).union(t.raw("part").select("p_name")).union(more).distinct()
+    return r.expand_term(asked, t.edges).select("term", F.array_join("forms", ",").alias("forms"))
 
 
-@query(f""", u AS (SELECT canonical, min(edge_id) AS edge_id, arg_min(synonym, edge_id) AS synonym FROM synonyms GROUP BY canonical, {NORM.format(c='synonym')})
-SELECT canonical, c.category, string_agg(u.synonym, ',' ORDER BY u.edge_id) AS variants FROM u JOIN (SELECT canonical, arg_min(category, edge_id) AS category FROM synonyms GROUP BY canonical) c USING (canonical) GROUP BY canonical, c.category""", "synonyms")
+@query(f""", u AS (SELECT canonical, min(edge_id) AS edge_id, arg_min(synonym, edge_id) AS synonym FROM edges GROUP BY canonical, {NORM.format(c='synonym')})
+SELECT canonical, c.category, string_agg(u.synonym, ',' ORDER BY u.edge_id) AS variants FROM u JOIN (SELECT canonical, arg_min(category, edge_id) AS category FROM edges GROUP BY canonical) c USING (canonical) GROUP BY canonical, c.category""", "edges")
 def synonym_groups(t):
-    return r.synonym_groups(t.synonyms).select("canonical", "category", F.array_join("variants", ",").alias("variants"))
+    return r.synonym_groups(t.edges).select("canonical", "category", F.array_join("variants", ",").alias("variants"))
 
 
-@query(f""", fm AS (SELECT canonical, canonical AS form FROM synonyms UNION SELECT canonical, synonym FROM synonyms),
-asked AS (SELECT query_id, {NORM.format(c='query_text')} AS n FROM qs),
-hit AS (SELECT DISTINCT query_id, n, canonical FROM asked JOIN fm ON n = {NORM.format(c='form')} OR (length({NORM.format(c='form')}) >= 4 AND contains(n, {NORM.format(c='form')})))
-SELECT query_id, canonical, form FROM hit JOIN fm USING (canonical) WHERE {NORM.format(c='form')} <> n""", "qs", "synonyms")
+@query(f""", fm AS (SELECT canonical, canonical AS form FROM edges UNION SELECT canonical, synonym FROM edges),
+an AS (SELECT query_id, {NORM.format(c='query_text')} AS n FROM asked),
+hit AS (SELECT DISTINCT query_id, n, canonical FROM an JOIN fm ON n = {NORM.format(c='form')} OR (length({NORM.format(c='form')}) >= 4 AND contains(n, {NORM.format(c='form')})))
+SELECT query_id, canonical, form FROM hit JOIN fm USING (canonical) WHERE {NORM.format(c='form')} <> n""", "asked", "edges")
 def synonym_expand_groups(t):
-    return r.expand_by_groups(t.queries, t.synonyms)
+    return r.expand_by_groups(t.asked, t.edges)
 
 
 @query("SELECT document_id, count(*) AS chunks FROM chunks c WHERE visibility <> 'restricted' OR document_id IN (SELECT document_id FROM acl WHERE role = 'viewer') GROUP BY document_id", "chunks", "acl")

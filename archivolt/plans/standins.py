@@ -15,10 +15,7 @@ SYNONYMS = """(1, 'license', 'licence', 'legal'), (2, 'license', 'permission', '
 (5, 'General Public', 'GPL', 'legal'), (6, 'and', 'und', 'words'), (7, 'und', 'and', 'words'), (8, 'D N I', 'documento nacional', 'id'), (9, 'license', 'Licence', 'legal'),
 (10, 'presion arterial', 'tension', 'clinical')"""
 QUERIES = """(1, 'general public license version', 7), (2, 'the idiot and the fool', 21), (3, 'los que la ción', 40), (4, 'mit license released', 133)"""
-SAMPLES = """(1, 'Paciente 12345678A con telefono +34 612 345 678.'), (2, 'nacido el: 14/03/1985 en Lima, HC 12345'), (3, 'nacida 1-2-40 Av. Grau 123'),
-(4, 'nacido 99/99/9999'), (5, 'sin datos'), (6, 'escriba a ana.lopez+x@mail.example.org hoy'), (7, 'tarjeta 4111 1111 1111 1111 y X1234567Z'), (8, CAST(NULL AS STRING)), (9, 'nacida 29/02/2004')"""
-OCR = """(1, 1, 90.0, 'tess'), (1, 2, 30.0, 'rapid'), (1, 3, 44.9, 'tess'), (2, 1, 99.0, 'tess'), (3, 1, 12.0, 'rapid'), (4, 1, CAST(NULL AS DOUBLE), 'tess')"""
-BOXES = """(1, 'License', 500, 100, 362, 40, 180, 1262, 1947), (2, 'word', 10, 20, 30, 8, 90, 600, 800), (3, 'LICENSED', 10, 20, 0, 0, 270, 600, 800), (4, 'x', 1, 2, 3, 4, 0, 600, 800)"""
+NO_VOWELS = "[^aeiouAEIOU]"
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -81,9 +78,41 @@ class Tables:
     def synonyms(self) -> DataFrame:
         return values(self.spark, SYNONYMS, "edge_id, canonical, synonym, category")
 
+    @property
+    def catalogue(self) -> DataFrame:
+        """The keywords and a term for each part."""
+        p = self.raw("part").select(
+            (F.col("p_partkey") + 1000).cast("int").alias("keyword_id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("term"),
+            F.when(F.col("p_size") % 10 != 0, F.lower("p_type")).alias("category"), (F.col("p_size") % 3 + 1).alias("priority"), (F.col("p_partkey") % 11 != 0).alias("is_active"),
+        )
+        return self.keywords.unionByName(p)
+
+    @property
+    def edges(self) -> DataFrame:
+        """The synonyms, the nations of each region and the names of each brand."""
+        n = self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        n = n.select((F.col("n_nationkey") + 100).alias("edge_id"), F.lower("r_name").alias("canonical"), F.lower("n_name").alias("synonym"), F.lit("places").alias("category"))
+        p = self.raw("part").select((F.col("p_partkey") + 1000).cast("int").alias("edge_id"), F.lower("p_brand").alias("canonical"), F.col("p_name").alias("synonym"), F.lower("p_type").alias("category"))
+        return self.synonyms.unionByName(n).unionByName(p)
+
+    @property
+    def asked(self) -> DataFrame:
+        """What users said in conversations, as questions."""
+        return self.raw("conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query_text"))
+
     @property
     def samples(self) -> DataFrame:
-        return values(self.spark, SAMPLES, "id, text")
+        """Whole texts with what is not ASCII left out, and a sentence of personal data each; some are null."""
+        n = F.col("doc_id")
+        text = lambda c: c.cast("string")
+        more = (
+            F.when(n % 6 == 0, F.concat(F.lit(" Paciente "), F.lpad(text(n), 8, "0"), F.lit("A con telefono +34 612 345 678.")))
+            .when(n % 6 == 1, F.concat(F.lit(" nacido el: "), text(n % 31 + 1), F.lit("/"), text(n % 12 + 1), F.lit("/"), text(n % 90 + 1930), F.lit(" en Lima, HC "), text(n + 10000)))
+            .when(n % 6 == 2, F.concat(F.lit(" nacida "), text(n % 28 + 1), F.lit("-"), text(n % 12 + 1), F.lit("-"), F.lpad(text(n % 100), 2, "0"), F.lit(" Av. Grau "), text(n % 500)))
+            .when(n % 6 == 3, F.concat(F.lit(" escriba a "), F.col("source"), F.lit("@mail.example.org hoy")))
+            .when(n % 6 == 4, F.concat(F.lit(" tarjeta 4111 1111 1111 1111 y X"), F.lpad(text(n % 10000000), 7, "0"), F.lit("Z")))
+        )
+        return self.raw("documents").select(n.alias("id"), F.concat(F.regexp_replace("text", r"[^\x20-\x7E\n]+", " "), more).alias("text"))
 
     @property
     def chunk_keywords(self) -> DataFrame:
@@ -138,11 +167,21 @@ class Tables:
 
     @property
     def ocr_pages(self) -> DataFrame:
-        return values(self.spark, OCR, "document_id, page, score, engine").select("document_id", "page", F.col("score").cast("double").alias("score"), "engine")
+        """Pages of documents with the share of vowels as a score; some have none."""
+        page = F.col("page_numbers")[0].alias("page")
+        vowels, size = F.sum(F.length(F.regexp_replace("content", NO_VOWELS, ""))), F.sum(F.length("content"))
+        scored = self.chunks.groupBy("document_id", page).agg(F.floor(vowels * 1300 / size).alias("s"))
+        score = F.when(F.col("document_id") % 50 != 0, F.col("s").cast("double") / 10)
+        return scored.select("document_id", "page", score.alias("score"), F.when(F.col("page") % 2 == 0, "rapid").otherwise("tess").alias("engine"))
 
     @property
     def boxes(self) -> DataFrame:
-        return values(self.spark, BOXES, "id, text, x, y, w, h, angle, page_w, page_h")
+        """The first word of each chunk in a box."""
+        i, word = F.col("chunk_index"), F.split("content", " ")[0]
+        return self.chunks.select(
+            F.col("chunk_id").alias("id"), word.alias("text"), (i * 37 % 500).alias("x"), (i % 50 * 14).alias("y"), (F.length(word) * 8).alias("w"), F.lit(12).alias("h"),
+            (F.col("document_id") % 4 * 90).cast("int").alias("angle"), F.lit(600).alias("page_w"), F.lit(800).alias("page_h"),
+        )
 
     def all(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in ("documents", "chunks", "keywords", "chunk_keywords", "audit", "messages", "users")}
@@ -166,7 +205,16 @@ CTES = {
     "qv": (("qs",), "SELECT query_id, query_text, embedding AS query_vector FROM qs JOIN embeddings USING (vec_id)"),
     "keywords": ((), f"SELECT * FROM (VALUES {_duck(KEYWORDS)}) AS t(keyword_id, term, category, priority, is_active)"),
     "synonyms": ((), f"SELECT * FROM (VALUES {_duck(SYNONYMS)}) AS t(edge_id, canonical, synonym, category)"),
-    "samples": ((), f"SELECT * FROM (VALUES {_duck(SAMPLES)}) AS t(id, text)"),
+    "catalogue": (("keywords",), """SELECT * FROM keywords UNION ALL SELECT CAST(p_partkey + 1000 AS INTEGER), p_name || ' ' || p_partkey, CASE WHEN p_size % 10 <> 0 THEN lower(p_type) END, p_size % 3 + 1, p_partkey % 11 <> 0 FROM part"""),
+    "edges": (("synonyms",), """SELECT * FROM synonyms UNION ALL SELECT n_nationkey + 100, lower(r_name), lower(n_name), 'places' FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT CAST(p_partkey + 1000 AS INTEGER), lower(p_brand), p_name, lower(p_type) FROM part"""),
+    "asked": ((), "SELECT conv_id * 100 + turn AS query_id, text AS query_text FROM conversations WHERE role = 'user'"),
+    "samples": ((), r"""SELECT doc_id AS id, regexp_replace(text, '[^\x20-\x7E\n]+', ' ', 'g') || CASE doc_id % 6
+  WHEN 0 THEN ' Paciente ' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || 'A con telefono +34 612 345 678.'
+  WHEN 1 THEN ' nacido el: ' || (doc_id % 31 + 1) || '/' || (doc_id % 12 + 1) || '/' || (doc_id % 90 + 1930) || ' en Lima, HC ' || (doc_id + 10000)
+  WHEN 2 THEN ' nacida ' || (doc_id % 28 + 1) || '-' || (doc_id % 12 + 1) || '-' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || ' Av. Grau ' || (doc_id % 500)
+  WHEN 3 THEN ' escriba a ' || source || '@mail.example.org hoy'
+  WHEN 4 THEN ' tarjeta 4111 1111 1111 1111 y X' || lpad(CAST(doc_id % 10000000 AS VARCHAR), 7, '0') || 'Z' END AS text FROM documents"""),
     "ck": (("chunks", "keywords"), f"""SELECT chunk_id, document_id, keyword_id, CAST(n AS BIGINT) AS match_count FROM (
   SELECT chunk_id, document_id, keyword_id, len(regexp_extract_all(folded, '\\b' || regexp_escape({FOLD.format(c="term")}) || '\\b')) AS n
   FROM (SELECT chunk_id, document_id, {FOLD.format(c="content")} AS folded FROM chunks), keywords WHERE contains(folded, {FOLD.format(c="term")})) WHERE n > 0"""),
@@ -177,8 +225,10 @@ CTES = {
     "messages": ((), """SELECT conv_id AS conversation_id, turn, role, text AS content, f.feedback FROM conversations LEFT JOIN (
   SELECT doc_id, CASE WHEN toxic = 1 THEN 'review' WHEN quality = 1 THEN 'useful' ELSE 'not_useful' END AS feedback FROM labels) f ON f.doc_id = conv_id"""),
     "snapshots": ((), "SELECT event_type AS kpi, CAST(ts AS DATE) AS computed_at, round(avg(value), 4) AS value FROM events GROUP BY ALL"),
-    "ocr_pages": ((), f"SELECT document_id, page, CAST(score AS DOUBLE) AS score, engine FROM (VALUES {_duck(OCR)}) AS t(document_id, page, score, engine)"),
-    "boxes": ((), f"SELECT * FROM (VALUES {_duck(BOXES)}) AS t(id, text, x, y, w, h, angle, page_w, page_h)"),
+    "ocr_pages": (("chunks",), """SELECT document_id, page, CASE WHEN document_id % 50 <> 0 THEN CAST((sum(length(regexp_replace(content, '[^aeiouAEIOU]', '', 'g'))) * 1300) // sum(length(content)) AS DOUBLE) / 10 END AS score,
+  CASE WHEN page % 2 = 0 THEN 'rapid' ELSE 'tess' END AS engine FROM chunks GROUP BY document_id, page"""),
+    "boxes": (("chunks",), """SELECT chunk_id AS id, split_part(content, ' ', 1) AS text, chunk_index * 37 % 500 AS x, chunk_index % 50 * 14 AS y, CAST(length(split_part(content, ' ', 1)) * 8 AS INTEGER) AS w, 12 AS h,
+  CAST(document_id % 4 * 90 AS INTEGER) AS angle, 600 AS page_w, 800 AS page_h FROM chunks"""),
 }
 
 
