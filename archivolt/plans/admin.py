@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archivolt.functions import fixed
+from archivolt.functions import fixed, variant
 from archivolt.operators import lifecycle as l
 from archivolt.plans.catalog import query
 
@@ -111,6 +111,20 @@ def json_path_projection(t):
     return t.raw("events").select("event_id", k.alias("k")).where("k is not null")
 
 
+@query("""SELECT event_id, CAST(json_extract_string(p, '$.k') AS INTEGER) AS k, json_extract_string(p, '$.of.user') AS user_text, CAST(json_array_length(p, '$.tags') AS INTEGER) AS tags, CAST(NULL AS INTEGER) AS none,
+'{"of":' || json_extract_string(p, '$.of') || ',"tags":' || json_extract_string(p, '$.tags') || '}' AS light FROM (
+SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN '{"of":{"user":' || user_id || '},"tags":[' || repeat('1,', CAST(event_id % 3 AS INTEGER)) || '0],' || substr(props, 2) END AS p FROM events)""")
+def variant_paths(t):
+    """Typed paths of the events' properties as VARIANT, and what is left without a key; text that is no JSON is null."""
+    user, ones = F.col("user_id").cast("string"), F.expr("repeat('1,', CAST(event_id % 3 AS INT))")
+    whole = F.concat(F.lit('{"of":{"user":'), user, F.lit('},"tags":['), ones, F.lit("0],"), F.expr("substr(props, 2)"))
+    v = t.raw("events").withColumn("v", variant.parsed(F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{"), "props")).otherwise(whole)))
+    return v.select(
+        "event_id", variant.path("v", "$.k", "int").alias("k"), variant.path("v", "$.of.user", "string").alias("user_text"),
+        F.array_size(variant.path("v", "$.tags", "array<int>")).alias("tags"), variant.path("v", "$.of", "int").alias("none"), variant.light("v", "k").alias("light"),
+    )
+
+
 @query("SELECT keyword_id, term, CASE WHEN term = 'was' THEN true WHEN term = 'the' THEN false ELSE is_active END AS is_active, CASE WHEN keyword_id = 3 THEN 'words' ELSE category END AS category FROM catalogue UNION ALL SELECT (SELECT max(keyword_id) + 1 FROM catalogue), 'fresh', true, 'legal'", "catalogue")
 def keyword_upsert(t):
     k = t.catalogue.withColumn("category", F.col("category").cast("string"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archivolt.functions import fields, fixed, pii, text
+from archivolt.functions import fields, fixed, pii, tables, text
 from archivolt.operators import chunking, ocr
 from archivolt.plans.catalog import query
 from archivolt.plans.retrieval import NORM
@@ -51,11 +51,21 @@ def pii_mask_documents(t):
     return t.documents.select("document_id", F.sha2(pii.mask(F.col("text")), 256).alias("masked"))
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT id, '{kind}' AS kind, '{label}' AS label, unnest(regexp_extract_all(text, '{_re2(p)}')) AS match FROM samples" for kind, p, label in fixed.PII) + ")", "samples")
+PII_ROWS = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT id, '{kind}' AS kind, '{label}' AS label, unnest(regexp_extract_all(text, '{_re2(p)}')) AS match FROM samples" for kind, p, label in fixed.PII) + ")"
+
+
+@query(PII_ROWS, "samples")
 def pii_detect(t):
     return pii.found(t.samples, "text").select("id", "kind", "label", "match")
 
 
+@query(PII_ROWS, "samples")
+def personal_data_function(t):
+    """The same rows by the table function of SQL."""
+    tables.register(t.spark)
+    return t.spark.sql("SELECT s.id, p.kind, p.label, p.match FROM {samples} AS s, LATERAL personal_data(s.text) AS p", samples=t.samples)
+
+
 def _counts(c: str) -> str:
     parts = []
     for _, p, label in fixed.PII:
@@ -116,6 +126,15 @@ def chunk_fold(t):
     return chunking.chunk_pages(joined).select("document_id", "chunk_index", "content", F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ",").alias("pages"), "token_count", "edad")
 
 
+@query(FOLD_SQL, "chunks")
+def chunk_fold_function(t):
+    """The chunks by the table function of SQL."""
+    tables.register(t.spark)
+    page, age = F.col("page_numbers")[0].alias("page"), F.max("edad").alias("age")
+    grouped = t.chunks.groupBy("document_id", page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n").alias("text"), age)
+    return t.spark.sql("SELECT document_id, chunk_index, content, array_join(transform(page_numbers, p -> CAST(p AS STRING)), ',') AS pages, token_count, edad FROM chunk_fold(TABLE({pages}))", pages=grouped)
+
+
 TITLED = "(?m)" + fixed.HEADING
 
 
