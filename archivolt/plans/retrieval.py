@@ -55,6 +55,19 @@ def cosine_topk_by_doc_filter(t):
     return r.vector_leg(t.vectors.where("document_id % 3 = 0"), t.query_vectors, 5).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f", {VECTOR_LEG.format(k=10)}\nSELECT query_id, chunk_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM v", "vectors", "qv")
+def vector_graph_topk(t):
+    """The same hits by the stored graphs."""
+    found = t.graph(t.query_vectors, 10)
+    return found.select(F.col("query_id").cast("int").alias("query_id"), "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f", vectors2 AS (SELECT * FROM vectors WHERE document_id % 3 = 0), {VECTOR_LEG.format(k=5).replace('FROM vectors', 'FROM vectors2')}\nSELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM v", "vectors", "qv")
+def vector_graph_by_doc_filter(t):
+    found = t.graph(t.query_vectors, 5, t.vectors.where("document_id % 3 = 0"))
+    return found.select(F.col("query_id").cast("int").alias("query_id"), "chunk_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f", {_lexical('chunks', 10)}\nSELECT query_id, chunk_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM l", "chunks", "qs")
 def trigram_topk(t):
     return t.lexical("chunks", t.queries, 10).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")

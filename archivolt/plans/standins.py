@@ -136,6 +136,18 @@ class Tables:
             _INDEXES[key] = path
         return lexical.leg(self.spark, _INDEXES[key], queries, k)
 
+    def graph(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """Nearest vectors in the stored graphs, which are built once for a session and a folder."""
+        from archivolt.operators import graph
+        from archivolt.sources import shared
+
+        key = (self.spark.sparkContext.applicationId, self.dir, "graph")
+        if key not in _INDEXES:
+            path = shared.folder(self.spark, "graph")
+            graph.build(self.vectors.select("chunk_id", "embedding"), path)
+            _INDEXES[key] = path
+        return graph.leg(self.spark, _INDEXES[key], queries, k, allowed=allowed)
+
     @property
     def acl(self) -> DataFrame:
         return self.raw("documents").where("doc_id % 14 = 0").select(F.col("doc_id").alias("document_id"), F.lit("viewer").alias("role"))
