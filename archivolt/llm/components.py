@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm.common import discard, scratch
 
-EDGES_PER_TASK, KEPT_NODES = 1 << 20, 1 << 19
+EDGES_PER_TASK, KEPT_NODES, LEAST_TASKS = 1 << 20, 1 << 19, 4
 
 
 def root(parent: dict[int, int] | list[int], x: int) -> int:
@@ -42,14 +42,20 @@ def thinned(edges: DataFrame) -> DataFrame:
     """A scratch table of fewer edges that connect the same nodes: a forest of each task's share.
 
     Links found many times over, as those of a large group in many grids, would
-    else be read in every round. Forgetting a node keeps edges, never loses
-    one, so memory is bounded and the components are the same.
+    else be read in every round. Forests of many tasks are thinned again by
+    fewer, while that halves them, so what is left grows with the nodes and not
+    with the tasks. Forgetting a node keeps edges, never loses one, so memory is
+    bounded and the components are the same.
     """
-    clean = scratch(edges.where("u is not null and v is not null and u <> v").select("u", "v"), "edges")
-    tasks = max(4, math.ceil(clean.count() / EDGES_PER_TASK))
-    out = scratch(clean.coalesce(tasks).mapInArrow(_forest, "u long, v long"), "edges")
-    discard(clean)
-    return out
+    left = scratch(edges.where("u is not null and v is not null and u <> v").select("u", "v"), "edges")
+    count = left.count()
+    while True:
+        tasks = max(LEAST_TASKS, math.ceil(count / EDGES_PER_TASK))
+        out = scratch(left.coalesce(tasks).mapInArrow(_forest, "u long, v long"), "edges")
+        discard(left)
+        before, left, count = count, out, out.count()
+        if tasks == LEAST_TASKS or 2 * count > before:
+            return left
 
 
 def components(edges: DataFrame) -> DataFrame:
