@@ -20,6 +20,7 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("path").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content")
 
 
+BATCH_CHARS = 1 << 22  # of texts sent on together: a batch costs as much as reading a small file
 PAGES = pa.schema([("page", pa.int32()), ("text", pa.string()), ("error", pa.string())])
 
 
@@ -31,18 +32,28 @@ def page_texts(files: DataFrame, extractor: Extractor | None = None) -> DataFram
     """
     reader = extractor or PdfExtractor()
 
+    def table(kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * (1 + len(PAGES))
+        return pa.record_batch([pa.array(c, f) for c, f in zip(columns, [kind, *PAGES.types], strict=True)], names=["file_id", *PAGES.names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind, held, size = batch.column("file_id").type, [], 0
             for n in range(batch.num_rows):
+                file = batch.column("file_id")[n].as_py()
                 try:
                     content = batch.column("content")[n].as_py()
                     if content is None:
                         raise ValueError("no content")
-                    rows = [(page, text, None) for page, text in sorted(reader.pages(content).items())]
+                    rows = [(file, page, text, None) for page, text in sorted(reader.pages(content).items())]
                 except Exception as e:  # one bad file must not fail the others
-                    rows = [(None, None, str(e))]
-                ids = pa.array([batch.column("file_id")[n].as_py()] * len(rows), batch.column("file_id").type)
-                yield pa.record_batch([ids, *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PAGES, strict=True)]] if rows else [ids, *[pa.array([], f.type) for f in PAGES]], names=["file_id", *PAGES.names])
+                    rows = [(file, None, None, str(e))]
+                held += rows
+                size += sum(len(text or "") for _, _, text, _ in rows)
+                if size > BATCH_CHARS:
+                    yield table(kind, held)
+                    held, size = [], 0
+            yield table(kind, held)
 
     kind = files.schema["file_id"].dataType.simpleString()
     return files.select("file_id", "content").mapInArrow(run, f"file_id {kind}, page int, text string, error string")

@@ -168,3 +168,36 @@ def test_synonyms_of_sheets(spark, tmp_path):
     known = spark.createDataFrame([("tos", "tos")], "canonical string, synonym string")
     got = {tuple(r) for r in readers.synonym_sheets(spark, str(tmp_path / "s.xlsx"), known).collect()}
     assert got == {("fiebre", "calentura", "signos"), ("dolor", "dolor", "signos")}
+
+
+def test_letters_of_a_font_are_read_by_tables():
+    """A page's letters are looked up together; fonts and their programs are made once for a file, not for a page."""
+    from archivolt.sources import pdf as reader
+
+    lines = ["The quick brown fox (jumps) over" * 3, "ñandú €", "中文 text"] * 40
+    made = [sinks.pdf("", lines, 5, compact) for compact in (False, True)]
+    calls, code, start = [], reader.Font._code, reader.Font.__init__
+    try:
+        reader.Font._code = lambda self, c: calls.append("code") or code(self, c)
+        reader.Font.__init__ = lambda self, *a: calls.append("font") or start(self, *a)
+        for file in made:
+            calls.clear()
+            pages = reader.PdfExtractor().pages(file)
+            assert "\n".join(pages[n] for n in sorted(pages)) == "\n".join(x.strip() for x in lines)
+            assert calls.count("font") == 2 and calls.count("code") < 400
+    finally:
+        reader.Font._code, reader.Font.__init__ = code, start
+
+
+def test_pages_of_many_files_travel_together(spark, monkeypatch):
+    """A batch of small files gives one batch of pages, not one for each file."""
+    from archivolt.sources import readers as module
+
+    files = spark.createDataFrame([], "file_id int, content binary")
+    captured = {}
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, schema, **k: captured.setdefault("f", f) and self)
+    module.page_texts(files)
+    batch = module.pa.record_batch([module.pa.array(range(21)), module.pa.array([sinks.pdf("", [f"line {n}"]) for n in range(20)] + [None])], names=["file_id", "content"])
+    out = list(captured["f"](iter([batch])))
+    assert len(out) == 1 and out[0].num_rows == 21 and out[0].column("text").to_pylist()[:20] == [f"line {n}" for n in range(20)]
+    assert out[0].column("error").to_pylist()[20] == "no content"
