@@ -116,6 +116,33 @@ def search_shard(x: np.ndarray, links: list[list[list[int]]], q: np.ndarray, k:
     return sorted(best, key=lambda b: (-b[0], b[1]))[:k], len(seen_scores)
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with a vector in double precision, summed from the first component to the last, so that equal rows have equal ones."""
+    out = np.zeros(len(x))
+    for column, v in zip(x.T.astype(np.float64), q.astype(np.float64), strict=True):
+        out += column * v
+    return out
+
+
+def complete(x: np.ndarray, raw: np.ndarray, q: np.ndarray, found: list[int], k: int, allowed: np.ndarray | None = None) -> tuple[list[int], np.ndarray]:
+    """The k nearest nodes and their cosines, given what a search found: all that may be as near as its k-th hit are compared.
+
+    x holds unit vectors in single precision, whose error the margin covers.
+    Nodes as near as the k-th are all returned.
+    """
+    size = np.sqrt(products(q[None], q))[0]
+    exact = lambda places: np.array([]) if not len(places) else np.array(products(raw[places], q) / (np.sqrt(sum(c * c for c in raw[places].T)) * size))
+    known = np.sort(exact(found))[::-1]
+    least = known[k - 1] - 1e-5 if len(known) >= k else -np.inf
+    rough = x @ (q / size).astype(np.float32)
+    places = np.flatnonzero((rough >= least) if allowed is None else (rough >= least) & allowed)
+    scores = exact(places)
+    if len(scores) > k:
+        keep = scores >= np.sort(scores)[-k]
+        places, scores = places[keep], scores[keep]
+    return places.tolist(), scores
+
+
 def _build(shard: tuple, rows: pa.Table) -> pa.Table:
     ids = rows.column("chunk_id").to_numpy()
     x = np.array(rows.column("embedding").to_pylist(), np.float32)
@@ -136,11 +163,13 @@ def build(chunks: DataFrame, path: str, shard_rows: int = SHARD_ROWS) -> None:
     dealt.groupBy("shard").applyInArrow(_build, NODES).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
-def leg(spark: SparkSession, path: str, queries: DataFrame, k: int, ef: int = 2 * EF, allowed: DataFrame | None = None) -> DataFrame:
+def leg(spark: SparkSession, path: str, queries: DataFrame, k: int, ef: int = 2 * EF, allowed: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """(query_id, chunk_id, similarity, rank, computed): the k nearest found of each question, by cosine.
 
     Every shard is searched for every question, and the k best of each are
-    merged. `allowed` (chunk_id) filters before the cut. computed is the number
+    merged. `allowed` (chunk_id) filters before the cut. With `exact` a check
+    follows in each shard that adds what its graph missed, so the hits are those
+    of brute force, ties by chunk_id. computed is the number
     of similarities computed for a question in the shard that a hit is from.
     """
     nodes = spark.read.schema(NODES).parquet(path)
@@ -160,8 +189,12 @@ def leg(spark: SparkSession, path: str, queries: DataFrame, k: int, ef: int = 2
             q = unit(np.array([vector], np.float32))[0]
             if len(order) and q.any():
                 hits, computed = search_shard(x, links, q, k, max(ef, k), None if ok.all() else ok)
-                exact = unit(raw[[i for _, i in hits]]) @ unit(np.array([vector], np.float64))[0] if hits else []
-                rows += [(query_id, int(ids[i]), float(s), computed) for (_, i), s in zip(hits, exact, strict=True)]
+                places, wide = [i for _, i in hits], np.array(vector, np.float64)
+                if exact:
+                    places, scores = complete(x, raw, wide, places, k, None if ok.all() else ok)
+                else:
+                    scores = unit(raw[places]) @ unit(wide[None])[0] if places else []
+                rows += [(query_id, int(ids[i]), float(s), computed) for i, s in zip(places, scores, strict=True)]
         columns = zip(*rows, strict=True) if rows else [[]] * len(_HITS)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _HITS, strict=True)], schema=_HITS)
 

@@ -50,3 +50,18 @@ def test_stored_graphs_over_shards(spark, tmp_path):
     few = graph.leg(spark, path, queries, 10, allowed=allowed)
     assert few.where("chunk_id % 5 <> 0").count() == 0
     assert graph.recall(few, retrieval.vector_leg(allowed.where("chunk_id < 2000"), queries, 10)) >= 0.98
+
+
+def test_checked_hits_are_those_of_brute_force(spark, tmp_path):
+    """What a graph misses, among vectors without any structure and copies of one, the check adds."""
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(size=(3000, 64)), np.repeat(r.normal(size=(1, 64)), 60, axis=0)]).astype(np.float32)
+    chunks = spark.createDataFrame([(n, [float(c) for c in v]) for n, v in enumerate(x)], "chunk_id long, embedding array<float>")
+    queries = spark.createDataFrame([(n, [float(c) for c in x[n] + (0 if n > 2990 else r.normal(size=64))]) for n in (*range(60), 3030)], "query_id int, query_vector array<float>")
+    path = str(tmp_path / "graph")
+    graph.build(chunks, path, shard_rows=1600)
+    rows = lambda df: {(h.query_id, h.rank): (h.chunk_id, round(h.similarity, 10)) for h in df.collect()}
+    for allowed in (None, chunks.where("chunk_id % 7 = 0")):
+        want = rows(retrieval.vector_leg(chunks if allowed is None else allowed, queries, 10))
+        assert rows(graph.leg(spark, path, queries, 10, ef=4, allowed=allowed, exact=True)) == want
+    assert rows(graph.leg(spark, path, queries, 10, ef=4)) != rows(retrieval.vector_leg(chunks, queries, 10))
