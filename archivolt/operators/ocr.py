@@ -55,6 +55,18 @@ def page_text(words: DataFrame) -> DataFrame:
     return g.select("document_id", "page", F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"), "score")
 
 
+def page_of(words: Column) -> Column:
+    """The same of one page whose words are an array of structs (text, conf) in their order, for `inline`: n, text and score, nothing without words.
+
+    A page's words then stay in its row, and nothing has to be dealt out.
+    """
+    named = F.transform(words, lambda w: F.struct(F.trim(w["text"]).alias("text"), w["conf"].try_cast("int").alias("conf")))
+    kept = F.filter(named, lambda w: (w["text"] != "") & (F.coalesce(w["conf"], F.lit(-1)) > WORD_CONFIDENCE))
+    score = lambda k: F.aggregate(k, F.lit(0.0), lambda s, w: s + w["conf"]) / F.size(k)
+    page = lambda k: F.struct(F.size(k).cast("long").alias("n"), F.array_join(F.transform(k, lambda w: w["text"]), " ").alias("text"), score(k).alias("score"))
+    return F.transform(F.filter(F.array(kept), lambda k: F.size(k) > 0), page)
+
+
 def angle(found: Column, confidence: Column, failed: Column, upright: Column, turned: Column) -> Column:
     """The angle to turn a page by: that of the orientation test, unless it failed or saw 0 without confidence.
 

@@ -169,3 +169,22 @@ def test_terms_are_found_in_one_pass(spark, most):
             got[r.id, h.owner] = got.get((r.id, h.owner), 0) + h.n
     assert got == {(1, 7): 3, (1, 8): 1, (1, 11): 2, (5, 7): 2, (5, 8): 1, (5, 10): 2, (5, 11): 1}
     assert find_terms(rows, "text", terms.limit(0)).count() == 0 and find_terms(rows.limit(0), "text", terms).count() == 0
+
+
+def test_a_page_with_its_words_in_one_row(spark):
+    """The same text and score as of single words, and nothing is dealt out."""
+    from archivolt.operators import ocr
+
+    words = [(1, [("a ", "90"), ("", "80"), (" b", "21"), ("c", "20"), ("d", "x"), (None, "50")]), (2, [("z", "3")]), (3, []), (4, None)]
+    pages = spark.createDataFrame(words, "document_id int, words array<struct<text:string,conf:string>>")
+    got = pages.select("document_id", F.inline(ocr.page_of(F.col("words"))))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    each = pages.select("document_id", F.lit(1).alias("page"), F.posexplode("words").alias("n", "w")).select("document_id", "page", "n", "w.*")
+    want = ocr.page_text(ocr.words_of(each)).collect()
+    assert [(r.document_id, r.n, r.text, r.score) for r in got.collect()] == [(r.document_id, 2, r.text, r.score) for r in want] == [(1, 2, "a b", 55.5)]
+
+
+def test_ocr_words_shuffles_nothing(spark):
+    from archivolt.plans import catalog
+
+    assert "Exchange" not in catalog.QUERIES["ocr_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
