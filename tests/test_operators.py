@@ -188,3 +188,20 @@ def test_ocr_words_shuffles_nothing(spark):
     from archivolt.plans import catalog
 
     assert "Exchange" not in catalog.QUERIES["ocr_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_dictionary_of_many_equal_terms_stays_off_the_driver(spark, monkeypatch):
+    """Edges with the same sides are one term of the scan; what the driver collects does not grow with the edges."""
+    from archivolt.operators import retrieval, terms
+
+    sent = []
+    automaton = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: sent.append(len(v)) or automaton(self, v))
+    edges = spark.range(3000).selectExpr("cast(id as int) edge_id", "concat('brand ', id % 3) canonical", "concat('Name ', id % 5) synonym")
+    asked = spark.createDataFrame([(1, "a name 2 or brand 1"), (2, "none"), (3, None)], "query_id int, query_text string")
+    got = {r.query_id: r.expanded for r in retrieval.expand_query(asked, edges).collect()}
+    extra = [f"Name {i % 5}" if i % 3 == 1 else "brand " + str(i % 3) for i in range(3000) if i % 3 == 1 or i % 5 == 2]
+    assert got == {1: " ".join(["a name 2 or brand 1", *extra]), 2: "none", 3: None} and max(sent) == 8
+    sent.clear()
+    found = terms.find_terms(asked, "query_text", spark.createDataFrame([(n, t) for n, t in enumerate(["name", "brand", "none", "or"])], "owner int, term string"), 2)
+    assert sorted((r.query_id, h.owner) for r in found.collect() for h in r.hits) == [(1, 0), (1, 1), (1, 3), (2, 2)] and not sent
