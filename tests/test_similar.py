@@ -49,3 +49,17 @@ def test_best_of_all_tasks(spark):
         rows = [(-len(plain(t) & plain(q)) / len(plain(t) | plain(q)), i) for i, t in enumerate(texts) if t and any(w in t.lower() for w in q.split())]
         want[n] = {rank: (i, round(-s, 12)) for rank, (s, i) in enumerate(sorted(rows)[:12])}
     assert got == want
+
+
+def test_full_text_without_postings_is_one_pass(spark):
+    """The hits of the stored postings, without stemming or dealing out all texts."""
+    from archivolt.operators import fts
+
+    words = "fiebre fiebres tratamiento tratamientos alta dolor de cabeza license the".split()
+    texts = [" ".join(words[(n * m) % 10] for m in range(1, 2 + n % 9)) for n in range(200)] + ["fiebr", "", None, "FIEBRE alta"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").repartition(3)
+    queries = spark.createDataFrame([(1, "tratamiento de fiebre"), (2, "licens"), (3, "zzzz"), (4, "dolores de cabeza")], "query_id int, query_text string")
+    rows = lambda df: {(r.query_id, r.rank): (r.chunk_id, round(r.similarity, 12), round(r.density, 12)) for r in df.collect()}
+    scan = fts.text_leg(chunks, queries, 7)
+    assert rows(scan) == rows(fts.text_leg(chunks.where("content is not null"), queries, 7, postings=fts.index(chunks))) != {}
+    assert "Join" not in scan._jdf.queryExecution().optimizedPlan().toString()
