@@ -63,3 +63,9 @@ def test_full_text_without_postings_is_one_pass(spark):
     scan = fts.text_leg(chunks, queries, 7)
     assert rows(scan) == rows(fts.text_leg(chunks.where("content is not null"), queries, 7, postings=fts.index(chunks))) != {}
     assert "Join" not in scan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_hits_are_filtered_where_they_are_read(spark):
+    """The contents of all chunks are not dealt out for a few hits."""
+    plan = catalog.QUERIES["hybrid_search"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "rightHint=(strategy=broadcast)" in plan
